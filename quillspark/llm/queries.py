@@ -1,12 +1,13 @@
 """The registered queries of the corpus operators and their SQL."""
 
-from . import decontaminate, exact_dedup, mixing, warc
+from . import decontaminate, exact_dedup, mixing, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE = {
     "op1_warc": warc.OP1_SQL,
