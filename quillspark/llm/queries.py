@@ -1,12 +1,13 @@
 """The registered queries of the corpus operators and their SQL."""
 
-from . import decontaminate, exact_dedup, jaccard_join, mixing, suffix_dedup, warc
+from . import decontaminate, exact_dedup, jaccard_join, language_id, mixing, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_language_id": language_id.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
