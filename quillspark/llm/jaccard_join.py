@@ -363,9 +363,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
     marked = docs.withColumns({"_r1": k1, "_r2": k2})
     out = marked.join(kept, (F.col("_r1") == F.col("_k1")) & (F.col("_r2") == F.col("_k2")), "left_semi")
-    dropped = found.groupBy("_k1", "_k2", "n_shingles").count().where("count > 1 and n_shingles > 0").isEmpty()
-    if not dropped:
-        out = out.where("_r1 is not null").dropDuplicates(["_r1", "_r2"])
+    if not found.groupBy("_k1", "_k2").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["_r1", "_r2"])
     return out.drop("_r1", "_r2")
 
 

@@ -1,18 +1,22 @@
 """The registered queries of the corpus operators and their SQL."""
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, mixing, suffix_dedup, warc
+from . import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quote_links, secret_scan, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_quote_links": quote_links.op4_quote_links,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_language_id": language_id.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE = {
     "op1_warc": warc.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op4_quote_links": quote_links.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }

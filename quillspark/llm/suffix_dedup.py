@@ -127,9 +127,14 @@ def repeated(pieces: list[bytes], positions: list[int], depth: int) -> list[np.n
 
 
 def _pieces(text: np.ndarray, gram: np.ndarray, length: int):
-    """(anchor, first position, positions) of the pieces of one text of at least ``length`` bytes."""
+    """(anchor, first position, positions) of the pieces of one text of at least ``length`` bytes.
+
+    The anchor of a string is the first of its least K-grams; a piece ends where that one
+    changes, by its value or, in periodic text, by its place alone. So strings of one piece differ.
+    """
     m = window_min(gram, length - K + 1)
-    first = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+    left = gram[: len(m) - 1] == m[:-1]
+    first = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | left))
     count = np.diff(np.append(first, len(m)))
     return m[first], first, count
 
