@@ -1,4 +1,244 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables, and the SQL that DuckDB can run for them."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import charsets
+from ..functions import text as tx
+from ..functions.transliterate import uyghur_cyrillic, uyghur_latin, uyghur_new_script
+from ..operators import corpus as cp
+from ..operators import detect as dt
+from ..operators import evaluate as ev
+from ..operators import mixed as mx
+from ..operators import profiles as pf
+from ..operators import sampling as sm
+from ..shipping import ensure_shipped
+from ..sources.readers import paragraphs
+from . import oracle
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_shipped(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def normalize_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", tx.normalise(F.col("text")).alias("norm"))
+
+
+def tokenize(spark, sf_dir):
+    """Every word with its place."""
+    words = documents(spark, sf_dir).select("doc_id", tx.tokens(tx.normalise(F.col("text"))).alias("words"))
+    return words.select("doc_id", F.posexplode("words").alias("pos", "word"))
+
+
+def token_stats(spark, sf_dir):
+    words = documents(spark, sf_dir).select("doc_id", tx.tokens(tx.normalise(F.col("text"))).alias("w"))
+    longest = F.coalesce(F.array_max(F.transform("w", lambda x: F.length(x))), F.lit(0))
+    return words.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), longest.cast("long").alias("longest"))
+
+
+def script_letter_counts(spark, sf_dir):
+    counts = documents(spark, sf_dir).select("doc_id", tx.script_counts(tx.normalise(F.col("text"))).alias("c"))
+    return counts.select("doc_id", *(F.col(f"c.{s}").alias(s.lower()) for s in charsets.SCRIPTS))
+
+
+def dominant_script(spark, sf_dir):
+    f = dt.text_features(documents(spark, sf_dir), "doc_id", "text")
+    return f.select("doc_id", "script", "n_script", F.bround("script_share", 6).alias("script_share"), F.col("n_words").cast("long").alias("n_words"))
+
+
+def ngram_counts(spark, sf_dir):
+    """How often and in how many texts every n-gram occurs."""
+    f = documents(spark, sf_dir).select("doc_id", tx.tokens(tx.normalise(F.col("text"))).alias("words"))
+    grams = pf.ngram_counts(pf.word_counts(f, ["doc_id"], F.col("words")), ["doc_id"])
+    return grams.groupBy("ngram").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n_docs"))
+
+
+def ngram_top300(spark, sf_dir):
+    f = dt.text_features(documents(spark, sf_dir), "doc_id", "text")
+    return dt.top_text_ngrams(f, "doc_id").select("doc_id", "ngram", "cnt", "rank")
+
+
+def cue_scores(spark, sf_dir):
+    f = dt.text_features(documents(spark, sf_dir), "doc_id", "text")
+    return dt.cue_scores(f, "doc_id").select("doc_id", "language_code", F.col("cue_sum").cast("long").alias("cue_sum"), F.col("unique_sum").cast("long").alias("unique_sum"))
+
+
+def distinctive_scores(spark, sf_dir):
+    f = dt.text_features(documents(spark, sf_dir), "doc_id", "text")
+    sums = f.select("doc_id", F.explode(dt.distinctive_sums(F.col("norm"))).alias("language_code", "weight"))
+    return sums.where("weight > 0").select("doc_id", "language_code", F.bround("weight", 4).alias("weight"))
+
+
+def rank_distance(spark, sf_dir):
+    f = dt.text_features(documents(spark, sf_dir), "doc_id", "text")
+    return dt.rank_distances(f, "doc_id").select("doc_id", "language_code", F.bround("distance", 9).alias("distance"))
+
+
+def build_profiles(spark, sf_dir):
+    """A profile of all texts of each declared language."""
+    docs = documents(spark, sf_dir)
+    grams = pf.ngram_counts(docs.select("lang", F.explode(tx.tokens(tx.normalise(F.col("text")))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.lit(0)).alias("first")), ["lang"])
+    return cp.ranked(grams.withColumnRenamed("cnt", "n"), ["lang"], "ngram", pf.PROFILE_SIZE).select("lang", "ngram", F.col("n").alias("cnt"), F.col("rank").cast("long").alias("rank"))
+
+
+_FLAT = ["script", "language_code", "confidence", "resolution", "label"]
+
+
+def _alternatives(col="alternatives"):
+    return F.array_join(F.transform(col, lambda a: F.concat(a["language_code"], F.lit(":"), F.format_string("%.4f", a["score"]))), " ")
+
+
+def detect(spark, sf_dir):
+    """Relational detection of every document."""
+    return dt.detect(documents(spark, sf_dir), "doc_id").select("doc_id", "script", "language_code", "confidence", "resolution", "label")
+
+
+def detect_rowlocal(spark, sf_dir):
+    """The same by the Arrow function, without a shuffle."""
+    found = dt.with_detection(documents(spark, sf_dir)).select("doc_id", "detection.*")
+    return found.select("doc_id", "script", "language_code", "confidence", "resolution", "label")
+
+
+def detect_alternatives(spark, sf_dir):
+    found = dt.detect(documents(spark, sf_dir), "doc_id").select("doc_id", F.posexplode("alternatives").alias("place", "a"))
+    return found.select("doc_id", "a.language_code", "a.score")
+
+
+def detect_confusion(spark, sf_dir):
+    """Which language, or only which script, the texts of each declared language resolve to."""
+    docs = dt.with_detection(documents(spark, sf_dir))
+    return docs.groupBy("lang", F.col("detection.resolution").alias("resolution"), F.coalesce("detection.language_code", F.lit("und")).alias("detected")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _cases(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", F.col("lang").alias("expected_language"), F.lit("Latn").alias("script"), F.col("source").alias("variety"), F.when(F.col("doc_id") % 2 == 0, "even").alias("alphabet"), F.size(tx.split_words(F.col("text"))).alias("n"), "text").withColumn(
+        "word_count", F.when(F.col("n") < 100, 10).when(F.col("n") < 1000, 100).otherwise(1000)
+    )
+
+
+def eval_totals(spark, sf_dir):
+    return ev.totals(ev.evaluate(_cases(spark, sf_dir)))
+
+
+def eval_grouping_sets(spark, sf_dir):
+    return ev.breakdown(ev.evaluate(_cases(spark, sf_dir)))
+
+
+def eval_confusions(spark, sf_dir):
+    return ev.confusions(ev.evaluate(_cases(spark, sf_dir)))
+
+
+def eval_quality_checks(spark, sf_dir):
+    """Rows of ``documents`` that break the invariants of a case set."""
+    checks = {
+        "has_letter": F.col("text").rlike(charsets.java_class("letter")),
+        "no_replacement_character": ~F.col("text").contains("�"),
+        "latin_share_over_095": tx.script_share(F.col("text"), "Latn") > 0.95,
+        "all_words_lexical": tx.all_lexical(tx.split_words(F.col("text"))),
+        "chars_match": F.length("text") == F.col("n_chars"),
+    }
+    return ev.violations(documents(spark, sf_dir), checks)
+
+
+def duplicate_texts(spark, sf_dir):
+    return ev.duplicates(documents(spark, sf_dir), "text").select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "n")
+
+
+def detect_mixed_spans(spark, sf_dir):
+    """Spans of every conversation turn, by span algebra."""
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    return mx.mixed_spans(turns, "key").select("key.conv_id", "key.turn", "start", "end", "script", "language_code", "confidence", "resolution")
+
+
+def detect_mixed_summary(spark, sf_dir):
+    """The same turns by the Arrow function, one row each."""
+    m = dt.with_mixed(table(spark, sf_dir, "conversations"))
+    return m.select("conv_id", "turn", F.col("mixed.primary.language_code").alias("language_code"), F.size("mixed.segments").cast("long").alias("n_spans"), F.array_join("mixed.language_codes", " ").alias("languages"), "mixed.is_mixed_script", "mixed.is_mixed_language", "mixed.is_mixed", "mixed.has_unresolved_segments")
+
+
+def clause_boundaries(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    return mx.boundaries(turns, "key", "text").select("key.conv_id", "key.turn", F.array_join("cuts", " ").alias("cuts"))
+
+
+def _letters(spark, sf_dir):
+    return cp.char_counts(documents(spark, sf_dir), "lang", "text")
+
+
+def exclusive_letters(spark, sf_dir):
+    return cp.exclusive_letters(_letters(spark, sf_dir))
+
+
+def script_shares(spark, sf_dir):
+    return cp.script_shares(_letters(spark, sf_dir)).select("sample", "script", "n", F.bround("share", 9).alias("share"))
+
+
+def diagnostic_counts(spark, sf_dir):
+    return cp.diagnostic_counts(_letters(spark, sf_dir)).select("kind", "sample", "char", "n")
+
+
+def top_letters(spark, sf_dir):
+    return cp.ranked(_letters(spark, sf_dir), ["sample"], "char", 20).select("sample", "char", "n", F.col("rank").cast("long").alias("rank"))
+
+
+def top_words(spark, sf_dir):
+    return cp.top_words(cp.sample_words(documents(spark, sf_dir), "lang", "doc_id", "text")).select("sample", "word", "n", F.col("rank").cast("long").alias("rank"))
+
+
+def top_bigrams(spark, sf_dir):
+    return cp.top_bigrams(cp.sample_words(documents(spark, sf_dir), "lang", "doc_id", "text")).select("sample", "bigram", "n", F.col("rank").cast("long").alias("rank"))
+
+
+def html_paragraphs(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", paragraphs(F.col("html")).alias("p"))
+    return pages.select("page_id", F.posexplode("p").alias("place", "paragraph"))
+
+
+def first_n_words(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", tx.first_words(F.col("text"), 1000).alias("words"))
+
+
+def lexical_words(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.size(tx.lexical_words(F.col("text"))).cast("long").alias("n_lexical"), F.size(tx.split_words(F.col("text"))).cast("long").alias("n_words"))
+
+
+def latin_share(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.bround(tx.script_share(F.col("text"), "Latn"), 9).alias("share"))
+
+
+def text_digests(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+def window_cases(spark, sf_dir):
+    """Random windows of the benchmark's texts, each text a line."""
+    lines = table(spark, sf_dir, "benchmark").select(F.lit("bench").alias("key"), F.col("item_id").alias("line"), "text")
+    return sm.case_ids(sm.window_cases(lines, lengths=(1, 2, 3, 5)), "bench")
+
+
+def uyghur_transliterate(spark, sf_dir):
+    ensure_shipped(spark)
+    words = ["ھەر بىر ئىنسان", "يا يۇ يو", "چاي شەھەر غەرب ڭ"]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id long, text string")
+    return rows.select("id", uyghur_latin(F.col("text")).alias("latin"), uyghur_cyrillic(F.col("text")).alias("cyrillic"), uyghur_new_script(F.col("text")).alias("new_script"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        normalize_text, tokenize, token_stats, script_letter_counts, dominant_script, ngram_counts, ngram_top300, cue_scores, distinctive_scores, rank_distance,
+        build_profiles, detect, detect_rowlocal, detect_alternatives, detect_confusion, eval_totals, eval_grouping_sets, eval_confusions, eval_quality_checks, duplicate_texts,
+        detect_mixed_spans, detect_mixed_summary, clause_boundaries, exclusive_letters, script_shares, diagnostic_counts, top_letters, top_words, top_bigrams,
+        html_paragraphs, first_n_words, lexical_words, latin_share, text_digests, window_cases, uyghur_transliterate,
+    )
+}
+ORACLE = oracle.statements()
