@@ -27,10 +27,11 @@ def test_profile_order(spark):
 def test_word_functions(spark):
     df = spark.createDataFrame([(" a  b c\n12 d-e ",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(tx.first_words(F.col("t"), 3)).collect()] == ["a b c", "", None]
-    assert df.limit(1).select(tx.first_words_laid_out(F.col("t"), 2)).first()[0] == " a  b"
+    full = df.where("t like ' a%'")
+    assert full.select(tx.first_words_laid_out(F.col("t"), 2)).first()[0] == " a  b"
     with pytest.raises(Exception, match="fewer than 9"):
-        df.limit(1).select(tx.first_words_laid_out(F.col("t"), 9)).collect()
-    assert df.select(tx.lexical_words(F.col("t"))).first()[0] == ["a", "b", "c", "d-e"]
+        full.select(tx.first_words_laid_out(F.col("t"), 9)).collect()
+    assert full.select(tx.lexical_words(F.col("t"))).first()[0] == ["a", "b", "c", "d-e"]
     assert df.select(tx.ordered_unique(F.array(F.lit("b"), F.lit(None), F.lit("a"), F.lit("b")))).first()[0] == ["b", "a"]
     assert df.select(tx.percentage(F.lit(1369), F.lit(2048)), tx.percentage(F.lit(0), F.lit(0))).first()[:] == ("66.8%", "n/a")
 
@@ -114,7 +115,7 @@ def test_evaluation(spark):
 def test_corpus(spark):
     docs = spark.createDataFrame([("a", 1, "Straße aa bb aa"), ("b", 1, "aa cc é"), ("c", 1, "где"), ("c", 2, "漢字")], "s string, d int, t string")
     letters = cp.char_counts(docs, "s", "t")
-    assert {(r.sample, r.char, r.n) for r in cp.exclusive_letters(letters).where("sample in ('a', 'b')").collect()} == {("a", "s", 3), ("a", "t", 1), ("a", "r", 1), ("a", "b", 2), ("b", "c", 2), ("b", "é", 1)}
+    assert {(r.sample, r.char, r.n) for r in cp.exclusive_letters(letters).where("sample in ('a', 'b')").collect()} == {("a", "s", 3), ("a", "e", 1), ("a", "t", 1), ("a", "r", 1), ("a", "b", 2), ("b", "c", 2), ("b", "é", 1)}
     shares = {(r.sample, r.script): r.share for r in cp.script_shares(letters).collect()}
     assert shares["c", "Cyrillic"] == 0.6 and shares["c", "Han"] == 0.4
     words = cp.sample_words(docs, "s", "d", "t")
