@@ -328,7 +328,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     member = staged(family.join(sets.select("sid", "rep", "copies", "n"), "sid"), "members")
     weight = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / FAMILY_TOKENS), F.ceil(F.count(F.lit(1)) / FAMILY_SETS)).cast("int").alias("nb"))
     asked = member.join(weight, "root").select("root", "sid", "copies", "nb", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int").alias("block"), F.col("rep._k1").alias("_k1"), F.col("rep._k2").alias("_k2"))
-    texts = base.select("_k1", "_k2", "text").join(asked, ["_k1", "_k2"]).select("root", "sid", "nb", "block", "copies", "text")
+    texts = base.select("_k1", "_k2", "text").join(asked.hint("merge"), ["_k1", "_k2"]).select("root", "sid", "nb", "block", "copies", "text")
     tokens = texts.mapInArrow(_tokens(words), "grp long, sid long, block int, copies long, tokens array<long>")
     tokens = tokens.repartition("grp").sortWithinPartitions("grp", "sid")
     counted = staged(tokens.mapInArrow(_count(similarity), "sid long, root long, links long"), "links")
