@@ -51,22 +51,22 @@ def cue_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, w, w in unique[k]) for k, ws in fixed.CUES.items() for w in dict.fromkeys(ws)], "cue_language string, word string, is_unique boolean")
 
 
-def distinctive_sums(norm: Column) -> Column:
+def distinctive_sums(norm: Column, script: Column | None = None) -> Column:
     """``map<language, weighted count of its distinctive characters>``, not yet divided.
 
-    Characters of equal weight are counted together, by what their deletion removes.
+    With ``script`` only languages written in it are looked at; the others' values are null.
     """
+    written: dict[str, list[str]] = {}
+    for _, language, s, _ in fixed.PROFILES:
+        written.setdefault(language, []).append(s)
     n = F.length(norm)
     items = []
     for language, weights in fixed.DISTINCTIVE.items():
-        by: dict[float, str] = {}
-        for c, w in weights.items():
-            by[w] = by.get(w, "") + c
         total = None
-        for w, chars in by.items():
-            one = (n - F.length(F.translate(norm, chars, ""))) * F.lit(w)
+        for c, w in weights.items():
+            one = (n - F.length(F.replace(norm, F.lit(c), F.lit("")))) * F.lit(w)
             total = one if total is None else total + one
-        items += [F.lit(language), total]
+        items += [F.lit(language), total if script is None else F.when(script.isin(written[language]), total)]
     return F.create_map(*items)
 
 
@@ -115,7 +115,7 @@ def rank_distances(features: DataFrame, id_col: str, path: str = STORE) -> DataF
 def language_scores(docs: DataFrame, id_col: str, text_col: str, path: str = STORE) -> DataFrame:
     """One row per text and candidate language with all that its score is made of."""
     features = text_features(docs, id_col, text_col)
-    light = features.select(id_col, "script", "n_script", "script_share", "n_words", F.when(F.col("script").isNotNull(), distinctive_sums(F.col("norm"))).alias("sums"))
+    light = features.select(id_col, "script", "n_script", "script_share", "n_words", distinctive_sums(F.col("norm"), F.col("script")).alias("sums"))
     pairs = light.where("script is not null").join(F.broadcast(_languages(docs.sparkSession, path)), "script")
     cues, far = cue_scores(features, id_col), rank_distances(features, id_col, path)
     joined = pairs.join(cues, [id_col, "language_code"], "left").join(far, [id_col, "language_code"], "left")
@@ -156,13 +156,19 @@ def label_of(script: Column, language: Column) -> Column:
     return F.concat(F.coalesce(names_of(fixed.SCRIPT_NAMES, script), F.lit("Unknown script")), F.lit(" · "), known)
 
 
-def softmax(entries: Column) -> Column:
-    """Entries with ``raw`` and ``language_order``: sorted by score, with ``score`` rounded to six places."""
-    most = F.array_max(F.transform(entries, lambda e: e["raw"]))
-    ordered = F.array_sort(F.transform(entries, lambda e: F.struct(e["language_order"], e["raw"], e["language_code"], e["distinctive"], e["cue"], e["unique_cue"])))
-    with_exp = F.transform(ordered, lambda e: F.struct((-F.exp(e["raw"] - most)).alias("minus"), e["language_order"].alias("language_order"), e["language_code"].alias("language_code"), e["distinctive"].alias("distinctive"), e["cue"].alias("cue"), e["unique_cue"].alias("unique_cue")))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, e: a - e["minus"])
-    return F.transform(F.array_sort(with_exp), lambda e: F.struct(e["language_code"].alias("language_code"), F.bround(-e["minus"] / total(with_exp), 6).alias("score"), e["distinctive"].alias("distinctive"), e["cue"].alias("cue"), e["unique_cue"].alias("unique_cue")))
+def with_softmax(frame: DataFrame, entries: str, most: str) -> DataFrame:
+    """Adds ``ranked``: entries (raw, language_order, language_code, ...) by score, with ``score`` rounded to six places.
+
+    ``most`` is the column of their greatest raw score. Each step is a column that more than one
+    other refers to, so that none is evaluated again for every element of the next.
+    """
+    rest = ("language_code", "distinctive", "cue", "unique_cue")
+    ordered = F.array_sort(F.transform(entries, lambda e: F.struct(e["language_order"], e["raw"], *(e[k] for k in rest))))
+    out = frame.withColumn("_ordered", ordered)
+    out = out.withColumn("_exps", F.transform("_ordered", lambda e: F.struct((-F.exp(e["raw"] - F.col(most))).alias("minus"), e["language_order"].alias("language_order"), *(e[k].alias(k) for k in rest))))
+    out = out.withColumn("_total", F.aggregate("_exps", F.lit(0.0), lambda a, e: a - e["minus"]))
+    out = out.withColumn("ranked", F.transform(F.array_sort("_exps"), lambda e: F.struct(F.bround(-e["minus"] / F.col("_total"), 6).alias("score"), *(e[k].alias(k) for k in rest))))
+    return out.where(F.col("_total") > 0)
 
 
 def detect(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STORE) -> DataFrame:
@@ -174,8 +180,8 @@ def detect(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STO
     ensure_shipped(docs.sparkSession)
     scores = language_scores(docs, id_col, text_col, path)
     entry = F.struct("raw", "language_order", "language_code", "distinctive", "cue", "unique_cue")
-    per = scores.groupBy(id_col, "script", "n_script", "script_share", "n_words").agg(F.collect_list(entry).alias("entries"))
-    ranked = per.select(id_col, "script", "n_script", "script_share", "n_words", softmax(F.col("entries")).alias("ranked"))
+    per = scores.groupBy(id_col, "script", "n_script", "script_share", "n_words").agg(F.collect_list(entry).alias("entries"), F.max("raw").alias("most"))
+    ranked = with_softmax(per, "entries", "most")
     first = F.element_at("ranked", 1)
     second = F.when(F.size("ranked") > 1, F.element_at("ranked", 2)["score"]).otherwise(0.0)
     best = F.struct(first["score"].alias("top"), (first["score"] - second).alias("margin"), *(first[k].alias(k) for k in ("language_code", "distinctive", "cue", "unique_cue")))
