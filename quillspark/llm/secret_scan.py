@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -202,9 +202,10 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, sample_
     text = F.coalesce(F.col(text_col), F.lit(""))
     likely = text.rlike(r"""(?i)(password|passwd|secret|token|api_?key)["']? *[:=]|(?-i)AKIA[A-Z0-9]{14}|(?-i)[0-9a-f]{16}""")
     hashed = docs.select(F.xxhash64(text).alias("h"), text.alias("text"), likely.alias("likely"))
-    keys = hashed.select("h", "likely").distinct()
+    keys = staged(hashed.select("h", "likely").distinct(), "hashes")
     chosen = keys.where("likely").orderBy("h").limit(sample_docs).unionByName(keys.orderBy("h").limit(sample_docs // 4)).select("h").distinct()
     found = hashed.join(F.broadcast(chosen), "h", "left_semi").select("text").distinct().mapInArrow(_examples, "kind string, word string").distinct()
+    found = staged(found, "examples")
     by: dict[str, list[str]] = {}
     for kind in ("assign", "access", "hex", "other"):
         rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("word"), "word").limit(sample).collect()
