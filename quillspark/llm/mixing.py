@@ -146,6 +146,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = rows.join(dims, rows["source"].eqNullSafe(dims["source"])).drop(dims["source"]).join(classes, ["k", "size"])
     width = F.ceil(F.col("n") / RANK_ROWS)
     placed = placed.withColumn("_b", F.floor((F.shiftrightunsigned("_h", 33) * width) / F.lit(2.0**31)).cast("long"))
+    # dealt out by bucket, so that a class of very many documents is spread over tasks
+    placed = placed.repartition("k", "size", "_b")
     per_bucket = placed.groupBy("k", "size", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("k", "size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     per_bucket = per_bucket.select("k", "size", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
