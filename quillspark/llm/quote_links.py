@@ -81,18 +81,19 @@ def reply_order(linked: DataFrame, thread: str | None, order: str) -> DataFrame:
     """Adds ``root`` and ``depth``: the first message of a chain of replies, and how far it is.
 
     Parents are earlier than their replies, so (root, depth, order) reads a conversation in reply
-    order. Pointers double every round; each round is staged, and a message is one row in it.
+    order. Pointers double every round; each round is staged; only messages still on their way take part in it.
     """
     t = F.col(thread) if thread else F.lit(0)
     now = linked.select(t.alias("_t"), F.col(order).cast("long").alias("_o"), F.col("parent").alias("_up")).where("_o is not null").groupBy("_t", "_o").agg(F.max("_up").alias("_up"))
-    now = staged(now.select("_t", "_o", F.coalesce("_up", "_o").alias("_up"), F.col("_up").isNotNull().cast("long").alias("_d")), "replies")
-    while True:
-        up = now.select(F.col("_t").alias("_t2"), F.col("_o").alias("_o2"), F.col("_up").alias("_up2"), F.col("_d").alias("_d2"))
-        step = now.join(up, F.col("_t").eqNullSafe(F.col("_t2")) & (F.col("_up") == F.col("_o2")), "left")
-        step = staged(step.select("_t", "_o", F.coalesce("_up2", "_up").alias("_up"), (F.col("_d") + F.coalesce("_d2", F.lit(0))).alias("_d"), (F.coalesce("_up2", "_up") != F.col("_up")).alias("_moved")), "replies")
-        now = step.drop("_moved")
-        if step.where("_moved").isEmpty():
-            break
+    first = now.select("_t", "_o", F.coalesce("_up", "_o").alias("_up"), F.col("_up").isNotNull().cast("long").alias("_d"), F.col("_up").isNull().alias("_end"))
+    first = staged(first, "replies")
+    settled, moving = first.where("_end"), first.where("not _end")
+    while not moving.isEmpty():  # pointers that have reached a first message are not looked up again
+        to = settled.unionByName(moving).select(F.col("_t").alias("_t2"), F.col("_o").alias("_o2"), F.col("_up").alias("_up2"), F.col("_d").alias("_d2"), F.col("_end").alias("_end2"))
+        step = moving.join(to, F.col("_t").eqNullSafe(F.col("_t2")) & (F.col("_up") == F.col("_o2")), "left")
+        step = staged(step.select("_t", "_o", F.coalesce("_up2", "_up").alias("_up"), (F.col("_d") + F.coalesce("_d2", F.lit(0))).alias("_d"), F.coalesce("_end2", F.lit(True)).alias("_end")), "replies")
+        settled, moving = settled.unionByName(step.where("_end")), step.where("not _end")
+    now = settled
     left = linked.withColumns({"_t0": t, "_o0": F.col(order).cast("long")})
     named = now.select("_t", "_o", F.col("_up").alias("root"), F.col("_d").alias("depth"))
     return left.join(named, F.col("_t0").eqNullSafe(F.col("_t")) & (F.col("_o0") == F.col("_o")), "left").drop("_t", "_o", "_t0", "_o0")
