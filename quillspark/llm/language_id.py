@@ -19,7 +19,7 @@ BUCKETS = 1 << 15
 #: Labelled texts that the model is fitted on, per language and altogether, and landmarks among them.
 PER_LANGUAGE, MOST_TEXTS, LANDMARKS = 200, 4000, 256
 RIDGE = 1e-2
-#: Texts below this score are rejected by ``accepted``.
+#: Texts with less evidence than this are rejected by ``accepted``.
 REJECT_BELOW = 0.25
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -62,10 +62,15 @@ def _features(batches):
 
 
 class Model:
-    """``labels`` and the weight of each bucket for each label."""
+    """``labels``, the weight of each bucket for each label, and what evidence is measured by.
 
-    def __init__(self, labels: list[str], weights: np.ndarray, bias: np.ndarray):
+    ``seen`` marks the buckets that a label's texts hold; a text's coverage is the share of its own
+    among them. ``alien`` and ``clean`` are the coverages that stand for evidence 0 and 1.
+    """
+
+    def __init__(self, labels: list[str], weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, alien: np.ndarray, clean: np.ndarray):
         self.labels, self.weights, self.bias = labels, weights, bias
+        self.seen, self.alien, self.clean = seen, alien, clean
 
 
 def fit(labels: list[str], bits: list[bytes], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -75,6 +80,9 @@ def fit(labels: list[str], bits: list[bytes], landmarks: int = LANDMARKS, ridge:
     landmarks' P (unit rows) the features of x are k(x, landmarks) W^-1/2; a ridge solution b gives
     the score k(x, landmarks) W^-1/2 b. Since k is linear in the presence vector, P^T W^-1/2 b is
     one weight per bucket, and a batch of texts is scored by a product of matrices.
+
+    The scores of a text sum to one over the labels, so the best of them says nothing of whether the
+    text is in any of these languages; its coverage by the label's texts does, see ``_evidence``.
     """
     x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
     x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
@@ -96,7 +104,26 @@ def fit(labels: list[str], bits: list[bytes], landmarks: int = LANDMARKS, ridge:
     each *= len(y) / each.sum()
     a = (phi - centre) * each[:, None]
     b = np.linalg.solve((phi - centre).T @ a + ridge * np.eye(phi.shape[1]), a.T @ (y - mean))
-    return Model(names, (p.T @ (root @ b)).astype(np.float32), mean - centre @ b)
+    return Model(names, (p.T @ (root @ b)).astype(np.float32), mean - centre @ b, *_evidence(x, y))
+
+
+def _evidence(x: np.ndarray, y: np.ndarray):
+    """What each label's texts hold, and the coverage of strange and of clean texts by it.
+
+    Clean is what 99 of 100 of the label's texts reach, each by the others; strange is the mean of the
+    texts of other labels, or of random buckets if that is more. Where the two are not apart, or
+    there is no other text, strange is 0, so that a language with few texts rejects the less.
+    """
+    held = (x > 0).astype(np.float32)
+    often = y.T.astype(np.float32) @ held
+    size = np.maximum(held.sum(axis=1, keepdims=True), 1)
+    by_any, by_others = held @ (often > 0).T / size, held @ (often > 1).T / size
+    alien, clean = np.zeros(y.shape[1]), np.zeros(y.shape[1])
+    for k in range(y.shape[1]):
+        own = y[:, k] > 0
+        clean[k] = np.quantile(by_others[own, k], 0.01)
+        alien[k] = max((often[k] > 0).mean(), by_any[~own, k].mean() if (~own).any() else 0.0)
+    return (often > 0).T.astype(np.float32), np.where(alien < clean, alien, 0.0), clean
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, most: int = MOST_TEXTS) -> Model | None:
@@ -115,41 +142,50 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     return fit([k.split("\x00")[1] for k, _ in rows], [v for _, v in rows])
 
 
-def _predict(model: Model | None):
+def _predict(model: Model | None, evidence: bool):
     def run(batches):
         flags = np.zeros(BUCKETS, bool)
         for batch in batches:
-            lang, score = [], []
+            lang, score, sure = [], [], []
             texts = batch.column("text")
             for row, data, offs in chunks(texts):
                 x, known = np.zeros((len(offs) - 1, len(model.labels) if model else 1), np.float32), []
+                cover = np.zeros_like(x)
                 for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
                     letters = b > a and _LETTER.search(texts[row + i].as_py()) is not None
                     known.append(bool(letters and model))
                     if known[-1]:
                         has = present(data[a:b], flags)
                         x[i] = model.weights[has].sum(axis=0) / np.sqrt(len(has))
+                        if evidence:
+                            cover[i] = model.seen[has].mean(axis=0)
                 s = x + (model.bias if model else 0)
                 best = s.argmax(axis=1)
                 for i, ok in enumerate(known):
                     lang.append(model.labels[best[i]] if ok else "und")
                     score.append(float(min(max(s[i, best[i]], 0.0), 1.0)) if ok else 0.0)
+                    if evidence:
+                        k = best[i]
+                        span = model.clean[k] - model.alien[k] if ok else 0.0
+                        sure.append(float(min(max((cover[i, k] - model.alien[k]) / span, 0.0), 1.0)) if span > 0 else float(ok))
             rest = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(lang), pa.array(score, pa.float64())], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+            more = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())} | ({"evidence": pa.array(sure, pa.float64())} if evidence else {})
+            yield pa.RecordBatch.from_arrays([*rest, *more.values()], [*(c for c in batch.schema.names if c != "text"), *more])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list | None = None, evidence: bool = False) -> DataFrame:
     """``lang_pred`` and ``score`` (0 to 1) of every whole text, from the text alone.
 
     Null texts and those without a letter are ``und`` with score 0, and so are all if there is no
-    model. ``keep`` names the columns that stay beside them.
+    model. ``keep`` names the columns that stay beside them. ``evidence`` adds a column of that name, 0 to 1:
+    where the text's coverage by the predicted language lies between strange and clean texts.
     """
     keep = list(keep or [])
     base = docs.select(*keep, F.col(text_col).alias("text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "text"]
-    return base.mapInArrow(_predict(model), ", ".join([*kinds, "lang_pred string", "score double"]))
+    return base.mapInArrow(_predict(model, evidence), ", ".join([*kinds, "lang_pred string", "score double", *["evidence double"] * evidence]))
 
 
 def held_out(doc_id):
@@ -158,11 +194,11 @@ def held_out(doc_id):
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = REJECT_BELOW) -> DataFrame:
-    """``docs`` without what has no language: ``und``, or a score under ``below``. Columns stay."""
+    """``docs`` without what has no language: ``und``, or evidence under ``below``. Columns stay."""
     model = train(docs.where(~held_out(F.col(id_col))), lang_col, text_col, id_col)
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    scored = predict(docs.select(k1, k2, F.col(text_col)), model, text_col, ["_k1", "_k2"])
-    bad = scored.where((F.col("lang_pred") == "und") | (F.col("score") < below)).select(F.col("_k1").alias("_b1"), F.col("_k2").alias("_b2")).distinct()
+    scored = predict(docs.select(k1, k2, F.col(text_col)), model, text_col, ["_k1", "_k2"], evidence=True)
+    bad = scored.where((F.col("lang_pred") == "und") | (F.col("evidence") < below)).select(F.col("_k1").alias("_b1"), F.col("_k2").alias("_b2")).distinct()
     return docs.join(bad, (k1 == F.col("_b1")) & (k2 == F.col("_b2")), "left_anti")
 
 

@@ -104,6 +104,19 @@ def test_language(spark):
     assert [r.lang_pred for r in language_id.predict(docs.limit(2), None).collect()] == ["und"] * 2
 
 
+def test_unseen_language_is_rejected(spark):
+    rng = random.Random(4)
+    kinds = {"aa": "the and of with ing".split(), "bb": "der und nicht ein keit".split(), "cc": "les une pour être çon".split(), "dd": "los que para con del".split()}
+    rows = [(i, " ".join(rng.choice(kinds[lang]) for _ in range(rng.randint(3, 60))), lang, "x") for i in range(300) for lang in [list(kinds)[i % 4]]]
+    strange = [(1000, "Все люди рождаются свободными и равными", None, "x"), (1001, "szyby wyłączyć gżegżółka myśmy", None, "x"), (1002, "ᚠᛇᚻ ᛒᛦᚦ ᚠᚱᚩᚠᚢᚱ " * 300, None, "x")]
+    docs = spark.createDataFrame(rows + strange, "doc_id long, text string, lang string, score string").repartition(3)
+    assert {r.doc_id for r in language_id.accepted(docs).collect()} == set(range(300))
+    # one label, or one text of a label: nothing to compare with, and clean texts stay
+    few = spark.createDataFrame([r for r in rows if r[2] == "aa"] + rows[1:2] + strange, docs.schema)
+    left = {r.doc_id for r in language_id.accepted(few).collect()}
+    assert {r[0] for r in rows if r[2] == "aa"} <= left and not left & {1000, 1002}
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     import __spark_entry__
