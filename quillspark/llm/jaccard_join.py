@@ -183,12 +183,12 @@ def _tokens(words):
     def run(batches):
         for batch in batches:
             root, sid, nb, block, copies = (batch.column(c).to_numpy() for c in ("root", "sid", "nb", "block", "copies"))
-            rows, group, sets, held = [], [], [], 0
+            rows, group, cross, sets, held = [], [], [], [], 0
 
             def out():
                 r = np.array(rows, np.int64)
                 offsets = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
-                return pa.RecordBatch.from_arrays([pa.array(np.array(group, np.int64)), pa.array(sid[r]), pa.array(block[r]), pa.array(copies[r]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["grp", "sid", "block", "copies", "tokens"])
+                return pa.RecordBatch.from_arrays([pa.array(np.array(group, np.int64)), pa.array(sid[r]), pa.array(block[r]), pa.array(cross, pa.bool_()), pa.array(copies[r]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["grp", "sid", "block", "cross", "copies", "tokens"])
 
             for row, data, offs in chunks(batch.column("text")):
                 for i, t in enumerate(shingles(data, offs, words), row):
@@ -197,11 +197,12 @@ def _tokens(words):
                         pair = f"{int(root[i])}:{min(b, c)}:{max(b, c)}" if nb[i] > 1 else f"{int(root[i])}"
                         group.append(xxhash.xxh3_64_intdigest(pair) - (1 << 63))
                         rows.append(i)
+                        cross.append(b != c)
                         sets.append(t)
                         held += 8 * len(t)
                     if held > 4 << 20:
                         yield out()
-                        rows, group, sets, held = [], [], [], 0
+                        rows, group, cross, sets, held = [], [], [], [], 0
             if rows:
                 yield out()
 
@@ -212,7 +213,7 @@ def _count(similarity):
     """Exact links of every set inside its group, and a spanning forest of them."""
     whole, part = _ratio(similarity)
 
-    def one(sid, block, copies, sets):
+    def one(sid, block, cross, copies, sets):
         keep = np.unique(sid, return_index=True)[1]
         sid, block, copies, sets = sid[keep], block[keep], copies[keep], [sets[k] for k in keep]
         m = len(sid)
@@ -236,7 +237,7 @@ def _count(similarity):
         common = np.rint(common).astype(np.int64)
         linked = part * common >= whole * (size[:, None] + size[None, :] - common)
         np.fill_diagonal(linked, False)
-        if len(np.unique(block)) > 1:  # a pair of blocks counts the pairs between them alone
+        if cross:  # two blocks count the pairs between them alone, also where one of them is empty
             linked &= block[:, None] != block[None, :]
         label = np.arange(m)
         i, j = np.nonzero(np.triu(linked))
@@ -247,10 +248,11 @@ def _count(similarity):
         for batch in _whole_groups(batches, "grp"):
             group = batch.column("grp").to_numpy()
             sid, block, copies = (batch.column(c).to_numpy() for c in ("sid", "block", "copies"))
+            cross = batch.column("cross").to_numpy(zero_copy_only=False)
             tokens = batch.column("tokens")
             values, at = tokens.values.to_numpy().view(U), tokens.offsets.to_numpy()
             edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
-            done = [one(sid[a:b], block[a:b], copies[a:b], [values[at[k] : at[k + 1]] for k in range(a, b)]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            done = [one(sid[a:b], block[a:b], cross[a], copies[a:b], [values[at[k] : at[k + 1]] for k in range(a, b)]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*done, strict=True)], ["sid", "root", "links"])
 
     return run
@@ -329,7 +331,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weight = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / FAMILY_TOKENS), F.ceil(F.count(F.lit(1)) / FAMILY_SETS)).cast("int").alias("nb"))
     asked = member.join(weight, "root").select("root", "sid", "copies", "nb", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int").alias("block"), F.col("rep._k1").alias("_k1"), F.col("rep._k2").alias("_k2"))
     texts = base.select("_k1", "_k2", "text").join(asked.hint("merge"), ["_k1", "_k2"]).select("root", "sid", "nb", "block", "copies", "text")
-    tokens = texts.mapInArrow(_tokens(words), "grp long, sid long, block int, copies long, tokens array<long>")
+    tokens = texts.mapInArrow(_tokens(words), "grp long, sid long, block int, cross boolean, copies long, tokens array<long>")
     tokens = tokens.repartition("grp").sortWithinPartitions("grp", "sid")
     counted = staged(tokens.mapInArrow(_count(similarity), "sid long, root long, links long"), "links")
     links = counted.groupBy("sid").agg(F.sum("links").alias("links"))

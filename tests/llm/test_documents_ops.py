@@ -190,6 +190,17 @@ def test_jaccard(spark, monkeypatch, limits):
         assert left.columns == frame(spark, rows).columns
 
 
+def test_jaccard_empty_blocks(spark, monkeypatch):
+    """Families of two and three sets in more blocks than some of them fill."""
+    monkeypatch.setattr(jaccard_join, "FAMILY_TOKENS", 50)
+    rows = []
+    for k in range(24):
+        base = [f"v{k}x{i}" for i in range(60)]
+        rows += [(10 * k + i, " ".join(base + [f"end{i}"]), "s") for i in range(2 + k % 2)]
+    got = jaccard_join.jaccard_join(frame(spark, rows))
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_near(rows)
+
+
 def brute_removed(rows, n=100):
     seen, out = set(), []
     for i, t, *_ in sorted(rows):
