@@ -45,6 +45,32 @@ def runs_for(recall: float) -> int:
     return math.ceil(-math.log(1 - recall))
 
 
+def deep_runs(recall: float, similarity: float, depth: int) -> tuple[int, int]:
+    """Runs until a pair at the threshold meets with this probability ``depth`` levels down, and the depth.
+
+    The larger set of m tokens selects each with probability p = 1 / (similarity m); of a pair of
+    unequal sets at the threshold, at least s = ceil(similarity m) are shared. A path takes no token twice, so
+    a level d leaves s - d of them. Depth is less where the least s is. Sizes up to 1,000 are tried; from
+    there on the probability is below that of Poisson branching by less than a hundredth, which is allowed for.
+    """
+    whole, part = _ratio(similarity)
+    pairs = [(m, s) for m in range(2, 1001) if (s := -(-whole * m // part)) < m]
+    if not pairs:
+        return runs_for(recall), 1
+    depth = max(1, min(depth, min(s for _, s in pairs)))
+    least = 1.0
+    for m, s in pairs:
+        p, meets = min(1.0, part / (whole * m)), 1.0
+        for level in range(depth - 1, -1, -1):
+            meets = 1 - (1 - p * meets) ** (s - level)
+        least = min(least, meets)
+    poisson = 1.0
+    for _ in range(depth):
+        poisson = 1 - math.exp(-poisson)
+    least = min(least, 0.99 * poisson)
+    return math.ceil(math.log(1 - recall) / math.log(1 - least)) if least < 1 else 1, depth
+
+
 def paths(tokens: np.ndarray, run_seeds: np.ndarray, similarity: float):
     """Leaves of one set as rows (level 1, 2, 3), 0 where a path has ended."""
     m = len(tokens)
@@ -91,9 +117,9 @@ def sketch(tokens: np.ndarray) -> bytes:
 SUMMARY = "_k1 long, _k2 long, key binary, n int, sketch binary, l1 array<long>, l2 array<long>, l3 array<long>"
 
 
-def _summaries(words, similarity, runs):
+def _summaries(words, similarity, runs, first=0):
     def run(batches):
-        run_seeds = seeds(runs, 5)
+        run_seeds = seeds(runs, 5)[first:]
         for batch in batches:
             key, n, sk, leaves = [], [], [], [[], [], []]
             for _, data, offs in chunks(batch.column("text")):
@@ -266,9 +292,10 @@ def _ratio(similarity):
     return f.numerator, f.denominator
 
 
-def _buckets(sets: DataFrame, depth: int) -> DataFrame:
-    """``bucket, sid``: sets that share a path, in buckets of BUCKET sets or in pairs of blocks."""
-    out, above = None, None
+def _buckets(sets: DataFrame, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """``bucket, sid``: sets that share a path, in buckets of BUCKET sets or in pairs of blocks; and
+    ``sid`` of the sets of larger buckets on the first level, if there are any and a next level."""
+    out, above, hot = None, None, None
     for level in range(1, depth + 1):
         if level == 1:
             now = sets.select("sid", F.explode(F.array_distinct("l1")).alias("bucket"))
@@ -294,8 +321,10 @@ def _buckets(sets: DataFrame, depth: int) -> DataFrame:
         out = small if out is None else out.unionByName(small)
         above = size.where(F.col("sets") > BUCKET).select(F.col("bucket").alias("large"))
         if last or above.isEmpty():
-            return out
-    return out
+            return out, hot
+        if level == 1:
+            hot = met.where(F.col("sets") > BUCKET).select("sid").distinct()
+    return out, hot
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
@@ -310,7 +339,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are 64-bit hashes. Where all ids of a class are null, so is its class_id.
 
     Paths that two sets share put them in one bucket; a bucket that is too large is split by
-    the next level, and what the last level leaves is compared in pairs of blocks. In a bucket sketches
+    the next level, and what the last level leaves is compared in pairs of blocks. Paths may end in
+    a large bucket, so its sets make further runs, as many as the last level needs for ``recall``. In a bucket sketches
     are compared by brute force, with a margin of over five standard deviations. The components
     of these candidates, families, then have all their pairs counted exactly, in pairs of blocks
     as well, each pair in one place. Pairs are never rows: a task gives a count for each set and
@@ -324,7 +354,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *(F.first(f"l{i}").alias(f"l{i}") for i in (1, 2, 3))
     )
     sets = staged(sets.select(F.monotonically_increasing_id().alias("sid"), "*"), "sets")
-    buckets = _buckets(sets.select("sid", "l1", "l2", "l3"), depth)
+    runs, (most, depth) = runs_for(recall), deep_runs(recall, similarity, depth)
+    buckets, hot = _buckets(sets.select("sid", "l1", "l2", "l3"), depth)
+    if hot is not None and most > runs:
+        asked = hot.join(sets.select("sid", F.col("rep._k1").alias("_k1"), F.col("rep._k2").alias("_k2")), "sid")
+        texts = base.select("_k1", "_k2", "text").join(asked.hint("merge"), ["_k1", "_k2"]).select("sid", "text")
+        further = texts.mapInArrow(_summaries(words, similarity, most, runs), SUMMARY.replace("_k1 long, _k2 long", "sid long"))
+        further = further.groupBy("sid").agg(*(F.first(f"l{i}").alias(f"l{i}") for i in (1, 2, 3)))
+        buckets = buckets.unionByName(_buckets(staged(further, "further"), depth)[0])
     met = buckets.join(sets.select("sid", "sketch"), "sid").repartition("bucket").sortWithinPartitions("bucket", "sid")
     family = components(met.mapInArrow(_alike(similarity), "a long, b long")).withColumnRenamed("node", "sid")
     member = staged(family.join(sets.select("sid", "rep", "copies", "n"), "sid"), "members")

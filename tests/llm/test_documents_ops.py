@@ -190,6 +190,18 @@ def test_jaccard(spark, monkeypatch, limits):
         assert left.columns == frame(spark, rows).columns
 
 
+def test_jaccard_short_texts_in_large_buckets(spark, monkeypatch):
+    """Pairs of 4 and 5 shingles that share 4, where every bucket is too large but on the last level."""
+    assert jaccard_join.deep_runs(0.9999999, 0.8, 3) == (53, 3) and jaccard_join.deep_runs(0.9999999, 0.5, 3)[1] == 1
+    monkeypatch.setattr(jaccard_join, "BUCKET", 1)
+    rows = []
+    for k in range(2000):
+        w = [f"v{k}x{i}" for i in range(9)]
+        rows += [(2 * k, " ".join(w), "s"), (2 * k + 1, " ".join(w[:8]), "s")]
+    got = jaccard_join.jaccard_join(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, i // 2 * 2, 1) for i in range(4000)}
+
+
 def test_jaccard_empty_blocks(spark, monkeypatch):
     """Families of two and three sets in more blocks than some of them fill."""
     monkeypatch.setattr(jaccard_join, "FAMILY_TOKENS", 50)
