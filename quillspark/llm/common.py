@@ -53,6 +53,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text):
     """Lower-case A-Z alone. ``lower`` does just that for ASCII and is far cheaper there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

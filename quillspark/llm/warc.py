@@ -1,7 +1,10 @@
 """WARC archives as a PySpark data source: writer, planned reader, revisit records.
 
 Executors write and read archives themselves, so the folder must be one that all of them
-reach: a path, ``file:`` or any scheme that ``pyarrow.fs`` opens.
+reach: a path, ``file:`` or any scheme that ``pyarrow.fs`` opens. Beside each archive lies an index,
+an Arrow file with one batch for each part of the archive that a task reads: the headers
+that predicates can name, and where each record begins. Records that a predicate rejects are
+neither read nor unpacked.
 """
 
 from __future__ import annotations
@@ -30,14 +33,15 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .common import shared_dir, table
+from .common import shared_dir, staged, table
 
 MIN_REVISIT_BYTES = 1000
-#: Bytes of an archive for one read task; the writer notes a record start at least this often.
-SPLIT_BYTES = 8 << 20
+#: Repeated digests are broadcast up to so many bytes.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of an archive for one read task, a batch of its index.
+SPLIT_BYTES = 32 << 20
 FILE_BYTES = 256 << 20
 BLOCK = 1 << 16
-INPUT = "page_id long, url string, payload string, record_type string, payload_digest string, payload_bytes long, refers_to long, refers_url string"
 RECORD = "page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, content_type string, payload binary"
 #: Columns that a predicate can be pushed to, with the header that holds each.
 HEADERS = {"page_id": "x-page-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "x-refers-to-page", "content_type": "content-type"}
@@ -52,21 +56,56 @@ def filesystem(path: str):
     return pafs.LocalFileSystem(), path
 
 
+def escaped(url: str | None) -> str:
+    """A URL that fits into a header line."""
+    return "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "about:blank")
+
+
 def record_bytes(row) -> bytes:
     """One WARC/1.1 record. A revisit keeps the HTTP header, with the full length, and no payload."""
     body = (row.payload or "").encode() if row.record_type == "response" else b""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row.payload_bytes}\r\n\r\n".encode()
     name = lambda k: uuid.uuid5(uuid.NAMESPACE_URL, f"page:{k}").urn
-    uri = "".join(c if c > " " else f"%{ord(c):02X}" for c in row.url or "about:blank")
-    head = ["WARC/1.1", f"WARC-Type: {row.record_type}", f"WARC-Record-ID: <{name(row.page_id)}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{row.payload_digest}", "Content-Type: application/http;msgtype=response"]
+    head = ["WARC/1.1", f"WARC-Type: {row.record_type}", f"WARC-Record-ID: <{name(row.page_id)}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {escaped(row.url)}", f"WARC-Payload-Digest: sha1:{row.payload_digest}", f"Content-Type: {CONTENT}"]
     if row.page_id is not None:
         head.append(f"X-Page-Id: {row.page_id}")
     if row.record_type == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{name(row.refers_to)}>", f"X-Refers-To-Page: {row.refers_to}"]
+        if row.refers_url:
+            head.append(f"WARC-Refers-To-Target-URI: {escaped(row.refers_url)}")
     head.append(f"Content-Length: {len(http) + len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http + body + b"\r\n\r\n"
 
 
+class Archive:
+    """An archive and its index in the making."""
+
+    def __init__(self, fs, root: str, packed: bool):
+        self.name, self.size, self.parts, self.begin = f"part-{uuid.uuid4().hex}.warc{'.gz' * packed}", 0, 0, 0
+        self.out = fs.open_output_stream(f"{root}/{self.name}", compression=None)
+        self.side = fs.open_output_stream(f"{root}/{self.name}{INDEX}", compression=None)
+        self.index, self.rows = pa.ipc.new_file(self.side, ENTRY), []
+
+    def add(self, row, data: bytes) -> None:
+        if self.size - self.begin >= SPLIT_BYTES:
+            self.flush()
+        refers = row.refers_to if row.record_type == "revisit" else None
+        self.rows.append((row.page_id, row.record_type, escaped(row.url), row.payload_digest, refers, CONTENT, self.size, len(data)))
+        self.out.write(data)
+        self.size += len(data)
+
+    def flush(self) -> None:
+        self.index.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows, strict=True), ENTRY, strict=True)], schema=ENTRY))
+        self.rows, self.begin, self.parts = [], self.size, self.parts + 1
+
+    def close(self) -> dict:
+        self.flush()
+        self.index.close()
+        self.side.close()
+        self.out.close()
+        return {"name": self.name, "parts": self.parts}
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list
@@ -84,26 +123,19 @@ class WarcWriter(DataSourceWriter):
     def write(self, rows):
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        done, out = [], None
+        done, archive = [], None
         for row in rows:
             data = record_bytes(row)
             if self.gzip:
                 z = zlib.compressobj(1, zlib.DEFLATED, 31)
                 data = z.compress(data) + z.flush()
-            if out is None:
-                entry = {"name": f"part-{uuid.uuid4().hex}.warc{'.gz' * self.gzip}", "size": 0, "starts": [0]}
-                out = fs.open_output_stream(f"{root}/{entry['name']}", compression=None)
-            elif entry["size"] - entry["starts"][-1] >= SPLIT_BYTES:
-                entry["starts"].append(entry["size"])
-            out.write(data)
-            entry["size"] += len(data)
-            if entry["size"] >= FILE_BYTES:
-                out.close()
-                done.append(entry)
-                out = None
-        if out is not None:
-            out.close()
-            done.append(entry)
+            archive = archive or Archive(fs, root, self.gzip)
+            archive.add(row, data)
+            if archive.size >= FILE_BYTES:
+                done.append(archive.close())
+                archive = None
+        if archive:
+            done.append(archive.close())
         return Written(done)
 
     def commit(self, messages):
@@ -118,21 +150,27 @@ class WarcWriter(DataSourceWriter):
         for m in messages:
             for f in m.files if m else []:
                 fs.delete_file(f"{root}/{f['name']}")
+                fs.delete_file(f"{root}/{f['name']}{INDEX}")
 
 
 @dataclass
-class Span(InputPartition):
+class Part(InputPartition):
+    """A batch of an archive's index, or an archive without one (-1)."""
+
     file: str
-    start: int
-    end: int
+    part: int
 
 
 class Blocks:
     """Bytes of an archive from ``start`` on, unpacked member by member if it is gzip."""
 
-    def __init__(self, stream, start: int, packed: bool):
-        self.stream, self.packed, self.at, self.raw, self.z, self.out = stream, packed, start, b"", None, b""
-        stream.seek(start)
+    def __init__(self, stream, start: int, packed: bool, indexed: bool = False):
+        self.stream, self.packed, self.indexed, self.z, self.unpacked = stream, packed, indexed, None, 0
+        self.seek(start)
+
+    def seek(self, start: int) -> None:
+        self.at, self.raw, self.out = start, b"", b""
+        self.stream.seek(start)
 
     def member(self) -> bool:
         """Go to the next record; ``at`` is its offset. False at the end of the file."""
@@ -158,6 +196,7 @@ class Blocks:
             got = self.z.decompress(self.raw, BLOCK)
             self.raw = self.z.unconsumed_tail if not self.z.eof else self.z.unused_data
             if got:
+                self.unpacked += len(got)
                 return got
         return b""
 
@@ -191,9 +230,13 @@ class Blocks:
             self.stream.seek(n - len(self.out), 1)
             self.out = b""
 
-    def end(self, unread: int) -> None:
-        """Leave a record of whose block ``unread`` bytes are left."""
-        if self.packed:  # the member's end is where the next one starts
+    def end(self, unread: int, indexed: bool) -> None:
+        """Leave a record of whose block ``unread`` bytes are left.
+
+        With an index its end need not be found: ``at`` is then None, and the next record is sought."""
+        if indexed and unread:
+            self.at = None
+        elif self.packed:  # the member's end is where the next one starts
             self.out = b""
             while self.more():
                 pass
@@ -219,7 +262,7 @@ def matches(value, test) -> bool:
 
 class WarcReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.payload, self.tests = options["path"], options.get("payload", "full"), []
+        self.path, self.payload, self.tests, self.unpacked = options["path"], options.get("payload", "full"), [], 0
 
     def pushFilters(self, filters):
         for f in filters:
@@ -235,27 +278,53 @@ class WarcReader(DataSourceReader):
                 files = json.loads(f.read())
         except FileNotFoundError:  # archives from elsewhere: a task for each file
             found = fs.get_file_info(pafs.FileSelector(root, recursive=True)) if fs.get_file_info(root).type == pafs.FileType.Directory else [fs.get_file_info(root)]
-            return [Span(f.path, 0, f.size) for f in found if f.path.endswith((".warc", ".warc.gz"))]
-        return [Span(f"{root}/{f['name']}", a, b) for f in files for a, b in zip(f["starts"], [*f["starts"][1:], f["size"]], strict=True)]
+            return [Part(f.path, -1) for f in found if f.path.endswith((".warc", ".warc.gz"))]
+        return [Part(f"{root}/{f['name']}", k) for f in files for k in range(f["parts"])]
 
-    def read(self, span):
-        if span is None:
+    def read(self, part):
+        if part is None:
             return
         fs, _ = filesystem(self.path)
         rows, held = [], 0
-        with fs.open_input_file(span.file) as stream:
-            src = Blocks(stream, span.start, span.file.endswith(".gz"))
-            while src.member() and src.at < span.end:
-                row, size = self.record(src)
-                if row:
-                    rows.append(row)
-                    held += size + 200
+        with fs.open_input_file(part.file) as stream:
+            src = Blocks(stream, 0, part.file.endswith(".gz"), part.part >= 0)
+            for row, size in self.indexed(fs, part, src) if part.part >= 0 else self.scanned(src):
+                rows.append(row)
+                held += size + 200
                 if held >= 4 << 20 or len(rows) >= 5000:
                     yield batch(rows)
                     rows, held = [], 0
+            self.unpacked = src.unpacked
         if rows:
             yield batch(rows)
 
+    def indexed(self, fs, part: Part, src: Blocks):
+        """Records that the index lets pass; those between them are jumped over."""
+        with fs.open_input_file(part.file + INDEX) as side:
+            entries = pa.ipc.open_file(side).get_batch(part.part)
+        keep = list(range(entries.num_rows))
+        for t in self.tests:
+            values = entries.column(t.attribute[0])
+            keep = [i for i in keep if matches(values[i].as_py(), t)]
+        begin, size = entries.column("begin").to_pylist(), entries.column("size").to_pylist()
+        there = None
+        for i in keep:
+            if begin[i] != there:
+                src.seek(begin[i])
+            if not src.member():
+                raise ValueError(f"{part.file} ends before its index")
+            found = self.record(src)
+            if found[0]:
+                yield found
+            there = begin[i] + size[i] if src.at is not None else None
+
+    def scanned(self, src: Blocks):
+        """All records in order: without an index a packed record has to be unpacked to be passed over."""
+        while src.member():
+            found = self.record(src)
+            if found[0]:
+                yield found
+
     def record(self, src: Blocks):
         """(row or None, bytes that it holds). The WARC header decides whether anything behind it is read."""
         first, _, rest = src.until(b"\r\n\r\n").partition(b"\r\n")
@@ -266,7 +335,7 @@ class WarcReader(DataSourceReader):
         number = lambda k: int(head[k]) if head.get(k, "").lstrip("-").isdigit() else None
         row = {"page_id": number("x-page-id"), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "payload_bytes": None, "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None, "refers_to": number("x-refers-to-page"), "content_type": head.get("content-type"), "payload": None}
         if not all(matches(row[t.attribute[0]], t) for t in self.tests):
-            src.end(left)
+            src.end(left, src.indexed)
             return None, 0
         held = 0
         if self.payload != "none" and (row["content_type"] or "").startswith("application/http"):
@@ -286,10 +355,12 @@ class WarcReader(DataSourceReader):
                 row["payload"] = b"".join(src.take(left))
                 row |= {"payload_bytes": len(row["payload"]), "payload_digest": hashlib.sha1(row["payload"]).hexdigest()}
                 held, left = left, 0
-        src.end(left)
+        src.end(left, src.indexed)
         return row, held
 
 
+INDEX, CONTENT = ".index", "application/http;msgtype=response"
+ENTRY = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("content_type", pa.string()), ("begin", pa.int64()), ("size", pa.int64())])
 ARROW = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("content_type", pa.string()), ("payload", pa.binary())])
 
 
@@ -322,15 +393,19 @@ def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"), F.sha1(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
-    # Payloads stay where they are unless they are repeated: only digests are shuffled.
-    repeated = (
-        base.where(F.col("payload_bytes") >= min_bytes)
-        .groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
-    joined = base.join(repeated, ["payload_digest", "payload_bytes"], "left")
+    # Payloads stay where they are: digests alone are grouped. Few repeated ones are broadcast; many are
+    # first joined to page ids and digests, so that pages of one digest are spread by their ids.
+    same = ["payload_digest", "payload_bytes"]
+    large = base.where(F.col("payload_bytes") >= min_bytes)
+    repeated = large.groupBy(*same).agg(F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n"))
+    repeated = staged(repeated.where("n > 1").drop("n"), "repeated")
+    size = repeated.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("first_url"), F.lit(0)) + 128), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        joined = base.join(F.broadcast(repeated), same, "left")
+    else:
+        named = large.select("page_id", *same).distinct().join(repeated, same)
+        named = named.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_d"), "first", "first_url")
+        joined = base.join(named, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_d")), "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id",
@@ -353,8 +428,9 @@ def write_warc(rows: DataFrame, path: str, compression: str = "gzip") -> None:
 def read_warc(spark: SparkSession, path: str, payload: str = "full") -> DataFrame:
     """Records of the archives below ``path``.
 
-    A predicate on the record type or a header column is decided on the WARC header, before the
-    block behind it is read; ``payload`` says whether the block is kept, only measured and
+    A predicate on the record type or a header column is decided on the index: rejected records are
+    neither read nor unpacked. Archives from elsewhere have no index; there it is decided on the
+    WARC header, before the block behind it is read. ``payload`` says whether the block is kept, only measured and
     hashed, or passed over.
     """
     spark.dataSource.register(WarcSource)
@@ -365,7 +441,7 @@ def read_warc(spark: SparkSession, path: str, payload: str = "full") -> DataFram
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(records(table(spark, sf_dir, "pages")), path)
-    return read_warc(spark, path, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+    return read_warc(spark, path, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP1_SQL = """
