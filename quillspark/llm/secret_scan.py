@@ -16,14 +16,20 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+SHORTEST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
-#: Labelled credentials of each kind, and other candidates, that the automata are learnt from,
-#: and the documents that they are taken from: those of least hash, whole.
-SAMPLE, SAMPLE_DOCS = 400, 4000
+#: Strings of each kind, and other candidates, that the formats are learnt and calibrated on, and the
+#: documents that they are taken from: those of least hash, whole.
+SAMPLE, SAMPLE_DOCS = 600, 4000
+#: A kind with fewer labelled strings than this gives no format (``Formats.skipped`` names it).
+LEAST = 5
 ALPHA = 0.05
-#: A candidate is a secret if a format explains it this much better, bits per symbol and in all.
-BITS_EACH, BITS_ALL = 0.5, 14.0
+#: Every third string is withheld from learning. Of the withheld credentials of a kind this share
+#: may be less typical of it than the rule asks for; of the withheld other strings so many may pass.
+MISSED, FALSE = 0.02, 0.001
+#: A credential is at least this much likelier than an ordinary string, in bits.
+MARGIN = 8.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -144,36 +150,74 @@ class Automaton:
 
 
 class Formats:
-    """Automata of credentials by kind and of other candidates, and the rule between them."""
+    """Automata of credentials by kind and of other candidates, and the rule between them.
 
-    def __init__(self, by_kind: dict[str, list[str]], other: list[str]):
-        self.kinds = [Automaton([symbols(w) for w in sorted(words)]) for _, words in sorted(by_kind.items()) if len(words) >= 5]
-        self.other = Automaton([symbols(w) for w in sorted(other)])
-        self.memo: dict[str, bool] = {}
+    A string is a secret if it is typical of a kind (its length is between those of the learnt ones, and its bits
+    per symbol under the kind's automaton reach what all but MISSED of the withheld credentials of the
+    kind reach) and if that automaton explains it better than the one of other strings by
+    ``limit`` bits: MARGIN, or more if more than FALSE of the withheld other strings would
+    pass. Punctuation is a symbol like any other, so a form that no credential has is not typical.
+    """
 
-    def is_secret(self, word: str) -> bool:
+    def __init__(self, by_kind: dict[str, list[str]], other: list[str], least: int = LEAST):
+        self.skipped = {k: len(words) for k, words in by_kind.items() if len(words) < least}
+        learn, held = {}, {}
+        for kind, words in [*sorted(by_kind.items()), ("other", other)]:
+            words = sorted(set(words), key=lambda w: hashlib.sha256(w.encode()).digest())
+            learn[kind] = [symbols(w) for i, w in enumerate(words) if i % 3 or len(words) < 3]
+            held[kind] = [symbols(w) for w in words[::3]]
+        self.other = Automaton(sorted(learn["other"]))
+        self.kinds = {k: Automaton(sorted(learn[k])) for k in sorted(by_kind) if k not in self.skipped}
+        self.typical = {k: _quantile([a.score(w) / (len(w) + 1) for w in held[k]], MISSED) for k, a in self.kinds.items()}
+        self.lengths = {k: (min(map(len, learn[k])), max(map(len, learn[k]))) for k in self.kinds}
+        self.limit = MARGIN
+        self.memo: dict[str, float] = {}
+        ratios = sorted(self.bits(w) for w in held["other"])
+        if ratios:
+            self.limit = max(MARGIN, _quantile(ratios, 1 - FALSE) + 1e-9)
+        self.memo.clear()
+
+    def bits(self, word: str) -> float:
+        """By how many bits the best format that the string is typical of explains it better than other strings are explained; -inf if it is typical of none."""
         s = symbols(word)
         known = self.memo.get(s)
         if known is None:
-            best = max((a.score(s) for a in self.kinds), default=-math.inf) - self.other.score(s)
-            known = best >= max(BITS_ALL, BITS_EACH * len(s))
+            scores = ((k, a.score(s)) for k, a in self.kinds.items())
+            fitting = [x for k, x in scores if x / (len(s) + 1) >= self.typical[k] and self.lengths[k][0] <= len(s) <= self.lengths[k][1]]
+            known = max(fitting) - self.other.score(s) if fitting else -math.inf
             if len(self.memo) >= 1 << 17:
                 self.memo.clear()
             if len(s) <= 200:
                 self.memo[s] = known
         return known
 
+    def is_secret(self, word: str) -> bool:
+        return self.bits(word) >= self.limit
+
+
+def _quantile(values: list[float], q: float) -> float:
+    """The value that a share ``q`` of all lies below."""
+    ordered = sorted(values)
+    return ordered[min(int(q * len(ordered)), len(ordered) - 1)]
+
 
 def candidates(text: str, spans: list) -> list[tuple[int, int]]:
-    """Candidate strings that no base span touches."""
+    """Runs of credential characters outside of base spans.
+
+    A run that a base span cuts gives the parts around the span, each if it is long enough.
+    """
     out, k = [], 0
     ordered = sorted((a, b) for a, _, b in spans)
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
+        a, end = m.span()
         while k < len(ordered) and ordered[k][1] <= a:
             k += 1
-        if all(y <= a or x >= b for x, y in ordered[k : k + 3]):
-            out.append((a, b))
+        j = k
+        while a < end:
+            x, y = ordered[j] if j < len(ordered) else (end, end)
+            if min(x, end) - a >= SHORTEST:
+                out.append((a, min(x, end)))
+            a, j = max(a, y), j + 1
     return out
 
 
@@ -184,20 +228,19 @@ def _examples(batches):
             text = text.as_py() or ""
             spans = base_spans(text)
             for a, kind, b in spans:
-                word = ASSIGN.match(text, a)[2] if kind == 0 else text[a:b]
                 out["kind"].append(KINDS[kind])
-                out["word"].append(word[:200])
-            for a, b in candidates(text, spans)[:50]:
+                out["word"].append(ASSIGN.match(text, a)[2] if kind == 0 else text[a:b])
+            for a, b in candidates(text, spans):
                 out["kind"].append("other")
-                out["word"].append(text[a:b][:200])
+                out["word"].append(text[a:b])
         yield pa.RecordBatch.from_pydict(out)
 
 
-def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, sample_docs: int = SAMPLE_DOCS) -> Formats:
-    """Formats learnt from a bounded sample: base matches are the labelled credentials.
+def examples(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, sample_docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
+    """``kind -> strings`` of a bounded sample: base matches are the labelled credentials.
 
-    The ``sample_docs`` texts of least hash that hold a base match, and as many of any kind, are
-    read whole; of what they give, the ``sample`` strings of least hash per kind are learnt.
+    The ``sample_docs`` texts of least hash that hold a base match, and a quarter as many of any kind, are
+    read whole; of all the strings they give, the ``sample`` of least hash per kind are taken, whole too.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     likely = text.rlike(r"""(?i)(password|passwd|secret|token|api_?key)["']? *[:=]|(?-i)AKIA[A-Z0-9]{14}|(?-i)[0-9a-f]{16}""")
@@ -206,46 +249,56 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, sample_
     chosen = keys.where("likely").orderBy("h").limit(sample_docs).unionByName(keys.orderBy("h").limit(sample_docs // 4)).select("h").distinct()
     found = hashed.join(F.broadcast(chosen), "h", "left_semi").select("text").distinct().mapInArrow(_examples, "kind string, word string").distinct()
     found = staged(found, "examples")
-    by: dict[str, list[str]] = {}
-    for kind in ("assign", "access", "hex", "other"):
-        rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("word"), "word").limit(sample).collect()
-        by[kind] = [r["word"] for r in rows]
+    return {kind: [r["word"] for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("word"), "word").limit(sample).collect()] for kind in ("assign", "access", "hex", "other")}
+
+
+def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, sample_docs: int = SAMPLE_DOCS) -> Formats:
+    """Formats learnt from ``examples``."""
+    by = examples(docs, text_col, sample, sample_docs)
     other = by.pop("other")
     return Formats(by, other)
 
 
+def assess(formats: Formats, credentials: list[str], other: list[str]) -> dict[str, float]:
+    """Recall over strings known to be credentials, and precision against others, by format alone."""
+    hit, wrong = sum(map(formats.is_secret, credentials)), sum(map(formats.is_secret, other))
+    return {"recall": hit / max(1, len(credentials)), "precision": hit / max(1, hit + wrong), "false_rate": wrong / max(1, len(other))}
+
+
 def _scan(formats: Formats):
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format")}
+            out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format", "format_bits")}
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                more = [(a, 3, b) for a, b in candidates(text, base) if formats.is_secret(text[a:b])]
+                scored = [((a, 3, b), formats.bits(text[a:b])) for a, b in candidates(text, base)]
+                more = [(span, bits) for span, bits in scored if bits >= formats.limit]
                 listed = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-                for k, v in zip(out, (*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + more)), len(more)), strict=True):
+                row = (*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + [s for s, _ in more])), len(more), [bits for _, bits in more])
+                for k, v in zip(out, row, strict=True):
                     out[k].append(v)
             rest = [c for c in batch.schema.names if c != "text"]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], [*rest, *out])
 
     return run
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", formats: Formats | None = None) -> DataFrame:
-    """Secrets in every whole text: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format``.
+    """Secrets in every whole text: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format, format_bits``.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind, joined by commas;
-    the whole match of a base pattern counts. ``format`` spans are the further strings of 12
-    and more credential characters that a learnt format explains better than ordinary strings
-    by BITS_EACH per symbol and BITS_ALL together. Null is empty: no span, the digest of an empty
+    the whole match of a base pattern counts. ``format`` spans are the further strings of SHORTEST
+    and more credential characters that ``Formats`` takes for secrets, and ``format_bits`` their
+    likelihood ratios, in order. Null is empty: no span, the digest of an empty
     string. Repeated rows repeat their results, an empty table gives none. Without ``formats``
     they are learnt from ``docs``.
     """
     formats = formats or train(docs, text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(_scan(formats), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
+    return base.mapInArrow(_scan(formats), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long, format_bits array<double>")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
