@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import free, staged, table
 
 #: White space of a token count: space and U+0009 to U+000D.
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -46,17 +46,19 @@ def rate(x, lam, cap: float = CAP):
     return np.minimum(cap, np.exp(np.minimum(x * lam, 50.0)))
 
 
-def solve_dual(hist: DataFrame, state: list[dict], cap: float = CAP, rounds: int = 80, tolerance: float = 1e-9) -> dict:
+def solve_dual(hist: DataFrame, state: list[dict], cap: float = CAP, rounds: int = 200, tolerance: float = 1e-9) -> dict:
     """Newton's method on the convex dual, a multiplier for each source's token constraint.
 
     Minimising the relative entropy of the rates to one under "sum of size x rate = target"
     and "rate <= cap" gives rate = min(cap, exp(lambda x size)). Each iteration is one
     distributed aggregation (gradient and curvature for all sources at once) over the
-    histogram of sizes; the driver holds the dual vector alone. A bracket guards the steps.
+    histogram of sizes; the driver holds the dual vector, a number for each source. A bracket
+    guards the steps; it is widened twofold until it holds the root. A constraint that is not met
+    to ``tolerance`` after ``rounds`` is an error.
     """
     spark = hist.sparkSession
     lam = {s["k"]: 0.0 for s in state}
-    low, high = {k: -60.0 for k in lam}, {k: 60.0 for k in lam}
+    low, high = dict.fromkeys(lam, -math.inf), dict.fromkeys(lam, math.inf)
     goal = {s["k"]: s["target"] / s["scale"] for s in state}
     live = {s["k"] for s in state if s["scale"] > 0}
     for s in state:  # all at the limit: no finite multiplier
@@ -80,17 +82,28 @@ def solve_dual(hist: DataFrame, state: list[dict], cap: float = CAP, rounds: int
         )
         for k, g, h in sums.collect():  # a row for each constraint
             miss = g - goal[k]
-            if abs(miss) <= tolerance * max(goal[k], 1e-12):
+            if abs(miss) <= tolerance * goal[k]:
                 live.discard(k)
                 continue
             (high if miss > 0 else low)[k] = lam[k]
-            step = lam[k] - miss / h if h > 0 else math.inf
-            lam[k] = step if low[k] < step < high[k] else (low[k] + high[k]) / 2
-            if high[k] - low[k] < 1e-13:
-                live.discard(k)
+            lam[k] = next_multiplier(lam[k], miss, h, low[k], high[k])
+    if live:
+        raise RuntimeError(f"no multiplier within {tolerance} of the target after {rounds} rounds for sources {sorted(live)}")
     return lam
 
 
+def next_multiplier(now: float, miss: float, curvature: float, low: float, high: float) -> float:
+    """The Newton step if the bracket holds it; else its middle, or twice as far where it has no end."""
+    wide = high - low == math.inf
+    reach = max(1.0, 2 * abs(now)) if wide else 0.0
+    step = now - miss / curvature if curvature > 0 else math.inf
+    if low < step < high and (not wide or abs(step - now) <= 8 * reach):
+        return step
+    if not wide:
+        return (low + high) / 2
+    return now - reach if miss > 0 else now + reach
+
+
 def _copies(pdf: pd.DataFrame) -> pd.DataFrame:
     """Whole copies for the size classes of one source, largest first, the rest carried on."""
     pdf = pdf.sort_values("size", ascending=False)
@@ -116,12 +129,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     least hash get the extra copy, so reruns agree. An empty table gives no rows.
 
     A hot source is no group anywhere: sums are combined before the shuffle, the copies of a source
-    are set on its histogram of sizes, and ranks are taken in hash buckets of bounded size.
+    are set on its histogram of sizes, and ranks are taken in hash buckets of bounded size. The driver
+    holds a row for each source: sources are the constraints of the dual.
     """
+    return _mixed(docs, id_col, text_col, source_col, weights, cap).drop("_row")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP) -> DataFrame:
+    """``docs``, all its columns, with what ``mix`` says of each row: ``size, source_size, target, rate, copies, taken``.
+
+    Columns of ``docs`` with such a name give way to them. ``repeated_documents`` writes the copies out.
+    """
+    row = free(docs, "row")
+    kept = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
+    figures = ["size", "source_size", "target", "rate", "copies", "taken"]
+    found = _mixed(kept, id_col, text_col, source_col, weights, cap, row).select(F.col("_row").alias(row), *figures)
+    lower = {c.lower() for c in figures}
+    return kept.drop(*(c for c in docs.columns if c.lower() in lower)).join(found, row).drop(row)
+
+
+def repeated_documents(mixed: DataFrame) -> DataFrame:
+    """The training set itself: every row of ``mixed_documents`` as often as it has copies."""
+    nth = free(mixed, "copy")
+    return mixed.where("copies > 0").withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop(nth)
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, cap: float, row_col: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN)).cast("long")
     rows = staged(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.monotonically_increasing_id().alias("_row")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(id_col).cast("string")).alias("_h"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row")),
         "sizes",
     )
     hist = staged(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
@@ -155,7 +192,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return (
         placed.join(per_bucket, ["k", "size", "_b"])
         .withColumn("copies", F.col("base") + F.when(F.col("_before") + rank <= F.col("extra"), 1).otherwise(0))
-        .select("doc_id", "source", F.col("size").cast("long").alias("size"), F.col("source_size"), "target", "rate", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+        .select("doc_id", "source", F.col("size").cast("long").alias("size"), F.col("source_size"), "target", "rate", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), "_row")
     )
 
 
