@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, table
+from .common import ascii_lower, free, staged, table
 
 #: A digest is heavy from this share of the rows on; at most 1 / HEAVY_SHARE digests are.
 HEAVY_SHARE = 1 / 1024
@@ -32,7 +32,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``heavy_share``, perhaps with others; a second pass counts just those exactly. The
     verified winners, at most ``1 / heavy_share`` rows, are broadcast and settle their
     copies map-side. Only the remaining digests are shuffled, and none of those has more
-    than that share of the rows.
+    than that share of the rows; their groups are combined map-side and joined back.
     """
     small = staged(digests(docs, id_col, text_col), "digests")
     total = small.count()
@@ -49,8 +49,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     assert n_heavy <= 1 / heavy_share + 1, n_heavy
     heavy = small.join(F.broadcast(winners), "text_sha256")
     rest = small.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-    same = Window.partitionBy("text_sha256")
-    light = rest.withColumns({"_keep": F.max(by).over(same), "group_size": F.count(F.lit(1)).over(same)})
+    # sums are combined before the shuffle, so a digest just below the share is no group in a task
+    groups = rest.groupBy("text_sha256").agg(F.max(by).alias("_keep"), F.count(F.lit(1)).alias("group_size"))
+    light = rest.join(groups, "text_sha256")
     return heavy.unionByName(light).select(
         "doc_id",
         F.col("_keep.doc_id").alias("keep_id"),
@@ -68,14 +69,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     so rows of equal id and text lose all but one as well.
     """
     found = exact_duplicates(docs, id_col, text_col)
-    keep = found.where("kept").select(F.col("doc_id").alias("_k_id"), F.col("text_sha256").alias("_k_sha"))
-    again = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    out = docs.withColumn("_k_sha0", sha)
-    out = out.join(keep, F.col(id_col).eqNullSafe(F.col("_k_id")) & (F.col("_k_sha0") == F.col("_k_sha")), "left_semi")
-    if not again.isEmpty():
-        out = out.withColumn("_k_id0", F.col(id_col)).dropDuplicates(["_k_id0", "_k_sha0"]).drop("_k_id0")
-    return out.drop("_k_sha0")
+    sha, key = free(docs, "sha"), free(docs, "key")
+    keep = found.where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(free(docs, "kept_sha")))
+    again = not found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    out = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
+    out = out.join(keep, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(sha) == F.col(keep.columns[1])), "left_semi")
+    if again:
+        out = out.withColumn(key, F.col(id_col)).dropDuplicates([key, sha]).drop(key)
+    return out.drop(sha)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
