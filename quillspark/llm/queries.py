@@ -19,4 +19,5 @@ ORACLE = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op4_quote_links": quote_links.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op10_suffix_dedup": suffix_dedup.OP10_SQL,
 }

@@ -2,7 +2,9 @@
 
 A string of ``length`` bytes is known by the least hash among its ``K``-grams, its anchor, so equal
 strings have equal anchors at equal offsets. Neighbouring positions with the same anchor
-form a piece; pieces meet by anchor, and the suffixes of those that meet are sorted.
+form a piece; pieces meet by anchor, and the suffixes of those that meet are sorted. Where very
+many pieces meet, they are halved by what equal strings share beside the anchor, again and again,
+until the buckets are small.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from .textkit import U, chunks, grams, mix, window_min
 
 LENGTH = 100
 K = 24
-#: Different pieces of one anchor that one task sorts together; beyond that, see ``_crowded``.
-PIECES = 2000
+#: Different pieces that one bucket holds; larger ones are split, see ``_split``.
+PIECES = 256
 
 
 def two_stage_sort(text: np.ndarray, depth: int) -> np.ndarray:
@@ -190,20 +192,20 @@ def _cut(length):
     def run(batches):
         for batch in batches:
             texts, asked = batch.column("text"), batch.column("pieces")
-            rows, out, held = [], {k: [] for k in ("anchor", "start", "count", "piece")}, 0
+            rows, out, held = [], {k: [] for k in ("anchor", "start", "count", "crowded", "piece")}, 0
             for i in range(batch.num_rows):
                 data = (texts[i].as_py() or "").encode()
                 for p in asked[i].as_py():
                     rows.append(i)
-                    for k in ("anchor", "start", "count"):
+                    for k in ("anchor", "start", "count", "crowded"):
                         out[k].append(p[k])
                     out["piece"].append(data[p["start"] : p["start"] + p["count"] + length - 1])
                     held += length
                 if held > 8 << 20 or i == batch.num_rows - 1:
                     if rows:
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column("ord").take(pa.array(rows)), pa.array(out["anchor"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["count"], pa.int32()), pa.array(out["piece"], pa.binary())],
-                            ["ord", "anchor", "start", "count", "piece"],
+                            [batch.column("ord").take(pa.array(rows)), pa.array(out["anchor"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["count"], pa.int32()), pa.array(out["crowded"], pa.bool_()), pa.array(out["piece"], pa.binary())],
+                            ["ord", "anchor", "start", "count", "crowded", "piece"],
                         )
                     rows, out, held = [], {k: [] for k in out}, 0
 
@@ -249,16 +251,64 @@ def _sorted(rows, anchor, length):
     yield pa.RecordBatch.from_arrays([rows.column("ord").take(pa.array(pick, pa.int64())), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["ord", "start", "count"])
 
 
-def _crowded(pieces: DataFrame, length: int) -> DataFrame:
-    """The exact way for an anchor with more pieces than one task should hold.
+def _split(length):
+    """Both halves of each piece: the strings with the more, and with the less, in front of the anchor.
 
-    Every position becomes a row with its whole string; the first place of each string is a
-    minimum, combined before the shuffle, so that no string gathers its occurrences anywhere.
+    A string of ``length`` bytes has ``lo`` to ``hi`` bytes before its anchor. In the half from ``mid`` on
+    all strings hold the ``mid`` bytes before the anchor and those up to ``length - hi`` behind it; in the other
+    half, the ``lo`` before it and those up to ``length - mid + 1`` behind. These bytes go into the key, so
+    equal strings keep equal keys, and each split nearly halves what a key leaves open: after as many
+    as the bits of ``length`` a key holds a single string.
     """
-    at = pieces.select("ord", "start", F.posexplode(F.expr(f"transform(sequence(1, count), i -> substring(piece, i, {length}))")).alias("i", "string"))
-    at = at.select("string", F.struct("ord", (F.col("start") + F.col("i")).cast("int").alias("start")).alias("here"))
-    first = at.groupBy("string").agg(F.min("here").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return at.join(first, "string").where("here <> first").select("here.ord", "here.start", F.lit(1).alias("count"))
+
+    def run(batches):
+        for batch in batches:
+            rows, out = [], {k: [] for k in ("anchor", "start", "count", "at", "lo", "hi", "piece")}
+            cols = [batch.column(c).to_pylist() for c in out]
+            for i, (anchor, start, count, at, lo, hi, piece) in enumerate(zip(*cols, strict=True)):
+                if at < 0:
+                    at = int(np.argmin(grams(np.frombuffer(piece, np.uint8)[:length], K)))
+                mid = (lo + hi + 1) // 2
+                cut = min(max(at - mid + 1, 0), count)  # so many strings are in the first half
+                for a, b, low, high in ((0, cut, mid, hi), (cut, count, lo, mid - 1)):
+                    if a < b:
+                        shared = piece[at - low : at + length - high]
+                        key = hashlib.blake2b(b"%d %d %d " % (anchor, low, high) + shared, digest_size=8).digest()
+                        rows.append(i)
+                        for k, v in zip(out, (int.from_bytes(key, "big", signed=True), start + a, b - a, at - a, low, high, piece[a : b + length - 1]), strict=True):
+                            out[k].append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("ord").take(pa.array(rows, pa.int64())), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["ord", *out])
+
+    return run
+
+
+def _refined(crowd: DataFrame, length: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """(pieces of small buckets, runs that repeat as a whole) of the pieces of crowded anchors.
+
+    Each round splits the pieces, lets equal halves collapse to the first of them (a minimum that is combined
+    before the shuffle) and sets aside what is alone with its key or in a small bucket.
+    """
+    kind = crowd.schema["ord"].dataType.simpleString()
+    plain, again = None, []
+    now = crowd.select("ord", "anchor", "start", "count", F.lit(-1).alias("at"), F.lit(0).alias("lo"), F.lit(length - K).alias("hi"), "piece")
+    for _ in range(length.bit_length() + 1):
+        halves = now.mapInArrow(_split(length), f"ord {kind}, anchor long, start int, count int, at int, lo int, hi int, piece binary")
+        halves = staged(halves.withColumn("content", F.xxhash64("piece")), "halves")
+        first = F.min(F.struct("ord", "start")).alias("first")
+        groups = halves.groupBy("anchor", "content").agg(first, F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("count", "at", "lo", "hi", "piece")))
+        groups = staged(groups, "groups")
+        here = F.struct("ord", "start").alias("here")
+        copies = halves.select("anchor", "content", here, "count").join(groups.where("n > 1").select("anchor", "content", "first"), ["anchor", "content"])
+        again.append(copies.where("here <> first").select("here.ord", "here.start", "count"))
+        met = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
+        left = groups.join(met, "anchor").select("first.ord", "anchor", "first.start", "count", "at", "lo", "hi", "piece", "pieces")
+        small = left.where(F.col("pieces") <= PIECES).select("ord", "anchor", "start", "count", "piece")
+        plain = small if plain is None else plain.unionByName(small)
+        now = left.where(F.col("pieces") > PIECES).drop("pieces")
+        if now.isEmpty():
+            return plain, again
+    raise RuntimeError("a key of whole strings holds different ones")
 
 
 def _emit(length, keep):
@@ -299,20 +349,22 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     contents = staged(pieces.groupBy("anchor", "content").agg(F.min(F.struct("ord", "start")).alias("first"), F.first("count").alias("count"), F.count(F.lit(1)).alias("n")), "contents")
     again = pieces.join(contents.where("n > 1").select("anchor", "content", "first"), ["anchor", "content"]).select(here, "first", "count").where("here <> first").select("here.ord", "here.start", "count")
     met = staged(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1"), "met")
-    asked = contents.join(met, "anchor").select(F.col("first.ord").alias("ord"), F.struct("anchor", F.col("first.start").alias("start"), "count").alias("p"))
+    crowded = F.col("pieces") > PIECES
+    asked = contents.join(met, "anchor").select(F.col("first.ord").alias("ord"), F.struct("anchor", F.col("first.start").alias("start"), "count", crowded.alias("crowded")).alias("p"))
     asked = asked.groupBy("ord").agg(F.collect_list("p").alias("pieces"))  # at most the document's own
-    cut = texts.join(asked, "ord").mapInArrow(_cut(length), f"ord {kind}, anchor long, start int, count int, piece binary")
-    crowds = met.where(F.col("pieces") > PIECES).select("anchor")
-    crowded = not crowds.isEmpty()
-    if crowded:
+    cut = texts.join(asked, "ord").mapInArrow(_cut(length), f"ord {kind}, anchor long, start int, count int, crowded boolean, piece binary")
+    copies = [again]
+    if not met.where(crowded).isEmpty():
         cut = staged(cut, "cut")
-        plain = cut.join(crowds, "anchor", "left_anti")
+        plain, more = _refined(cut.where("crowded").drop("crowded"), length)
+        cut = cut.where("not crowded").drop("crowded").unionByName(plain)
+        copies += more
     else:
-        plain = cut
-    runs = plain.repartition("anchor").sortWithinPartitions("anchor", "ord", "start").mapInArrow(_sort_buckets(length), f"ord {kind}, start int, count int")
-    runs = staged(runs, "runs").unionByName(staged(again, "again"))
-    if crowded:
-        runs = runs.unionByName(_crowded(cut.join(crowds, "anchor"), length).withColumn("count", F.col("count").cast("int")))
+        cut = cut.drop("crowded")
+    runs = cut.repartition("anchor").sortWithinPartitions("anchor", "ord", "start").mapInArrow(_sort_buckets(length), f"ord {kind}, start int, count int")
+    runs = staged(runs, "runs")
+    for more in copies:
+        runs = runs.unionByName(staged(more, "again"))
     return runs
 
 
@@ -347,3 +399,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS i FROM d)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM p) WHERE r > 1),
+g AS (SELECT doc_id, i, i > 100 + lag(i) OVER w OR lag(i) OVER w IS NULL AS new FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM k GROUP BY doc_id, run),
+edge AS (SELECT doc_id, a, coalesce(lag(b) OVER w, 0) AS before, b, lead(a) OVER w IS NULL AS final FROM run WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+kept AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || max(CASE WHEN final THEN substr(h, CAST(2 * b + 1 AS BIGINT)) ELSE '' END) AS h
+  FROM edge JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
