@@ -1,4 +1,4 @@
-"""Detection of one text at a time, for Arrow functions, streams and spans."""
+"""Detection of batches of texts without a shuffle, for Arrow functions, streams and spans."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import unicodedata
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
+
 from ..resources import fixed
 from . import charsets
 
@@ -15,6 +17,10 @@ TOP = 300
 SIZES = (2, 3, 4)
 CLAUSE = re.compile(r"(?:\r\n|\r|\n|[.!?;:]+)[\t \f\v]*")
 _FOLD = str.maketrans(dict.fromkeys(fixed.APOSTROPHES, "'"))
+_CURLY = frozenset(fixed.APOSTROPHES) - {"'"}
+#: Rows of n-grams that are counted together, and how many distinct n-grams and words a worker remembers from
+#: batch to batch; a single text may have more.
+ROWS, KNOWN = 1 << 20, 1 << 18
 
 
 def normalise(text: str) -> str:
@@ -31,7 +37,7 @@ def _word_pattern():
 
 def tokens(norm: str) -> list[str]:
     """Words of a normalised text."""
-    folded = norm.translate(_FOLD)
+    folded = norm if norm.isascii() or _CURLY.isdisjoint(norm) else norm.translate(_FOLD)
     general, plain = _word_pattern()
     return (plain if folded.isascii() else general).findall(folded)
 
@@ -41,29 +47,26 @@ def _script(char: str) -> str | None:
     return charsets.script_of(char)
 
 
-@lru_cache(maxsize=1 << 16)
 def grams_of(word: str) -> tuple[str, ...]:
     """n-grams of a padded word: by size, then by place."""
     padded = f"^{word}$"
     return tuple(padded[i : i + n] for n in SIZES for i in range(len(padded) - n + 1))
 
 
-def gram_counts(words: Counter) -> dict[str, int]:
-    """Counts in order of first occurrence. ``words`` is in that order, and a first
-    occurrence lies in the first one of the earliest word that holds it."""
-    out: dict[str, int] = {}
-    for word, n in words.items():
-        for g in grams_of(word):
-            out[g] = out.get(g, 0) + n
-    return out
-
-
 def scripts_at(text: str) -> list[tuple[int, str]]:
     """(position, script) of every letter of a supported script; with kana, Han is Japanese."""
-    found = [(i, s) for i, c in enumerate(text) if (s := _script(c)) is not None]
-    if any(s == "Jpan" for _, s in found):
-        found = [(i, "Jpan" if s == "Hani" else s) for i, s in found]
-    return found
+    known = {c: s for c in set(text) if (s := _script(c)) is not None}
+    if "Jpan" in known.values():
+        known = {c: "Jpan" if s == "Hani" else s for c, s in known.items()}
+    return [(i, known[c]) for i, c in enumerate(text) if c in known]
+
+
+def script_changes(text: str) -> list[int]:
+    """Positions of letters whose script is not that of the letter before."""
+    if text.isascii():
+        return []
+    at = scripts_at(text)
+    return [b for (_, s), (b, t) in zip(at, at[1:], strict=False) if s != t]
 
 
 def census(text: str) -> tuple[str, list[dict]]:
@@ -104,54 +107,152 @@ def empty_result() -> dict:
     return {"script": None, "language_code": None, "confidence": 0.0, "alternatives": [], "resolution": "none", "label": "Unknown script · uncertain"}
 
 
+class _Cut(dict):
+    """Words to the numbers of their n-grams; new n-grams are numbered as they come."""
+
+    def __init__(self, ids: dict[str, int]):
+        super().__init__()
+        self.ids = dict(ids)
+
+    def __missing__(self, word: str) -> np.ndarray:
+        ids = self.ids
+        found = self[word] = np.array([ids.setdefault(g, len(ids)) for g in grams_of(word)], np.int64)
+        return found
+
+
 class Detector:
-    """Profiles as rank tables by script, built once; picklable, so that a worker gets it ready."""
+    """Profiles as one table of ranks by script, built once; picklable, so that a worker gets it ready.
+
+    A batch of texts goes through together. Each distinct word is cut into numbered n-grams once; the n-grams of
+    all texts are counted by one sort of (text, n-gram) and ranked by another; one lookup gives their ranks
+    in all profiles of a script, and sums over each text's stretch give the distances.
+    """
 
     def __init__(self, profiles: list[dict]):
-        self.ranks: dict[str, list[tuple[str, dict[str, int], int]]] = {}
         self.languages: dict[str, list[str]] = {}
+        by_script: dict[str, list[dict]] = {}
         for p in profiles:
-            ranks = {g: r for r, g in enumerate(p["ngrams"])}
-            self.ranks.setdefault(p["script"], []).append((p["language_code"], ranks, len(p["ngrams"])))
+            by_script.setdefault(p["script"], []).append(p)
             known = self.languages.setdefault(p["script"], [])
             if p["language_code"] not in known:
                 known.append(p["language_code"])
+        # numbers of the n-grams that profiles hold come first, so they are rows of the rank tables
+        self.fixed_ids = {g: i for i, g in enumerate(dict.fromkeys(g for p in profiles for g in p["ngrams"]))}
+        self.ranks: dict[str, np.ndarray] = {}
+        self.sizes: dict[str, np.ndarray] = {}
+        self.owners: dict[str, list[str]] = {}
+        for script, mine in by_script.items():
+            if len(self.languages[script]) == 1:
+                continue
+            size = np.array([len(p["ngrams"]) for p in mine])
+            table = np.tile(size.astype(np.int32), (len(self.fixed_ids) + 1, 1))  # the last row is for all other n-grams
+            for j, p in enumerate(mine):
+                table[[self.fixed_ids[g] for g in p["ngrams"]], j] = np.arange(len(p["ngrams"]))
+            self.ranks[script], self.sizes[script], self.owners[script] = table, size, [p["language_code"] for p in mine]
         self.cues = {k: set(v) for k, v in fixed.CUES.items()}
         self.unique = fixed.unique_cues()
+        self.cue_words = frozenset().union(*self.cues.values())
+        self.letters = frozenset(c for weights in fixed.DISTINCTIVE.values() for c in weights)
+        self.forget()
+
+    def forget(self) -> None:
+        self.cut = _Cut(self.fixed_ids)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "cut"}
 
-    def distances(self, script: str, grams: dict[str, int]) -> dict[str, float]:
-        """The least rank distance of each language's profiles."""
-        top = [g for g, _ in sorted(grams.items(), key=lambda x: -x[1])[:TOP]]
-        out: dict[str, float] = {}
-        for language, ranks, missing in self.ranks[script]:
-            away = sum(abs(i - ranks.get(g, missing)) for i, g in enumerate(top))
-            d = away / (len(top) * missing) if top else 1.0
-            out[language] = min(d, out.get(language, d))
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
+
+    def distances(self, script: str, texts: list[Counter]) -> np.ndarray:
+        """The least rank distance of each language's profiles: a row for each text, given by its words in order."""
+        out = np.ones((len(texts), len(self.languages[script])))
+        a = 0
+        while a < len(texts):
+            b, rows = a, 0
+            while b < len(texts) and (b == a or rows < ROWS):
+                rows += sum(map(len, texts[b])) * 3
+                b += 1
+            out[a:b] = self._distances(script, texts[a:b])
+            a = b
+        return out
+
+    def _distances(self, script: str, texts: list[Counter]) -> np.ndarray:
+        if len(self.cut.ids) >= KNOWN or len(self.cut) >= KNOWN:
+            self.forget()
+        pieces, times, owner = [], [], []
+        for words in texts:
+            pieces.extend(map(self.cut.__getitem__, words))
+            times.extend(words.values())
+            owner.append(len(words))
+        languages = self.languages[script]
+        out = np.ones((len(texts), len(languages)))
+        if not pieces:
+            return out
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        gram = np.concatenate(pieces)
+        text = np.repeat(np.repeat(np.arange(len(texts)), owner), size)
+        times = np.repeat(np.array(times), size)
+        # equal n-grams of a text stand together, the first occurrence ahead
+        order = np.argsort((text << 40) | gram, kind="stable")
+        gram, text = gram[order], text[order]
+        new = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])))
+        count = np.add.reduceat(times[order], new)
+        gram, text, first = gram[new], text[new], order[new]
+        # ranks by count, then by first occurrence, in each text
+        by_rank = np.lexsort((first, -count, text))
+        gram, text = gram[by_rank], text[by_rank]
+        begin = np.searchsorted(text, np.arange(len(texts)))
+        rank = np.arange(len(text)) - begin[text]
+        top = rank < TOP
+        gram, text, rank = gram[top], text[top], rank[top]
+        table, sizes = self.ranks[script], self.sizes[script]
+        away = np.abs(rank[:, None] - table[np.minimum(gram, len(self.fixed_ids))])
+        some, at = np.unique(text, return_index=True)
+        far = np.add.reduceat(away, at, axis=0) / (np.diff(np.append(at, len(text)))[:, None] * sizes)
+        for j, language in enumerate(self.owners[script]):
+            k = languages.index(language)
+            out[some, k] = np.minimum(out[some, k], far[:, j])
         return out
 
     def detect(self, text: str | None) -> dict | None:
-        if text is None:
-            return None
-        norm, letters = census(text)
-        if not letters:
-            return empty_result()
-        chars = Counter(norm)
-        counts = {x["script"]: x["n"] for x in letters}
-        script = max(letters, key=lambda x: (x["n"], x["script"] != "Latn", -x["first"]))["script"]
-        n_script, share = counts[script], counts[script] / sum(counts.values())
-        words = Counter(tokens(norm))
+        return self.detect_all([text])[0]
+
+    def detect_all(self, texts: list[str | None]) -> list[dict | None]:
+        """A detection for each text, null for null."""
+        out: list[dict | None] = [None] * len(texts)
+        by_script: dict[str, list[tuple]] = {}
+        for i, text in enumerate(texts):
+            if text is None:
+                continue
+            norm, letters = census(text)
+            if not letters:
+                out[i] = empty_result()
+                continue
+            counts = {x["script"]: x["n"] for x in letters}
+            script = max(letters, key=lambda x: (x["n"], x["script"] != "Latn", -x["first"]))["script"]
+            chars = {c: norm.count(c) for c in self.letters.intersection(norm)}
+            by_script.setdefault(script, []).append((i, counts[script], counts[script] / sum(counts.values()), chars, Counter(tokens(norm))))
+        for script, found in by_script.items():
+            several = len(self.languages[script]) > 1
+            away = self.distances(script, [f[-1] for f in found]).tolist() if several else [[0.0]] * len(found)
+            for (i, *features), far in zip(found, away, strict=True):
+                out[i] = self._decide(script, *features, far)
+        return out
+
+    def _decide(self, script: str, n_script: int, share: float, chars: dict[str, int], words: Counter, far: list[float]) -> dict:
         n_words = sum(words.values())
-        languages = self.languages[script]
-        single = len(languages) == 1
-        distance = dict.fromkeys(languages, 0.0) if single else self.distances(script, gram_counts(words))
-        distinctive, cue, unique, raw = {}, {}, {}, {}
         by_letters, by_words = math.sqrt(max(1, n_script)), math.sqrt(max(1, n_words))
-        for k in languages:
-            distinctive[k] = sum(chars[c] * w for c, w in fixed.DISTINCTIVE.get(k, {}).items()) / by_letters
-            mine = self.cues.get(k, set()) & words.keys()
-            cue[k] = sum(min(words[w], 3) for w in mine) / by_words
-            unique[k] = sum(min(words[w], 3) for w in mine & self.unique.get(k, set())) / by_words
-            raw[k] = -7 * distance[k] + 1.25 * distinctive[k] + 0.9 * cue[k] + (5 * unique[k] if n_words == 1 else 0)
+        cue_words = self.cue_words & words.keys()
+        distinctive, cue, unique, raw = {}, {}, {}, {}
+        for k, distance in zip(self.languages[script], far, strict=True):
+            weights = fixed.DISTINCTIVE.get(k) if chars else None
+            distinctive[k] = sum(chars[c] * w for c, w in weights.items() if c in chars) / by_letters if weights else 0.0
+            mine = self.cues.get(k, set()) & cue_words if cue_words else ()
+            cue[k] = sum(min(words[w], 3) for w in mine) / by_words if mine else 0.0
+            unique[k] = sum(min(words[w], 3) for w in mine & self.unique.get(k, set())) / by_words if mine else 0.0
+            raw[k] = -7 * distance + 1.25 * distinctive[k] + 0.9 * cue[k] + (5 * unique[k] if n_words == 1 else 0)
         most = max(raw.values())
         exps = {k: math.exp(v - most) for k, v in raw.items()}
         total = sum(exps.values())
@@ -170,44 +271,61 @@ class Detector:
         }
 
     def spans(self, text: str) -> list[dict]:
-        """Ordered spans that make up ``text``, each detected on its own text."""
-        cuts = {0, len(text), *(m.end() for m in CLAUSE.finditer(text))}
-        at = scripts_at(text)
-        cuts.update(b[0] for a, b in zip(at, at[1:], strict=False) if a[1] != b[1])
-        ordered = sorted(cuts)
-        groups: list[list] = []  # [start, end, signature]
-        lead = None
-        for a, b in zip(ordered, ordered[1:], strict=False):
-            found = self.detect(text[a:b])
-            if found["script"] is None:
-                if groups:
-                    groups[-1][1] = b
-                elif lead is None:
-                    lead = a
-                continue
-            mark = (found["script"], found["language_code"])
-            if groups and groups[-1][2] == mark:
-                groups[-1][1] = b
-            else:
-                groups.append([a if lead is None else lead, b, mark])
-            lead = None
-        if not groups and text:
-            groups = [[0, len(text), None]]
-        return [{"start": a, "end": b, "text": text[a:b], **self.detect(text[a:b])} for a, b, _ in groups]
+        return self.spans_all([text])[0]
+
+    def spans_all(self, texts: list[str]) -> list[list[dict]]:
+        """Ordered spans that make up each text, each detected on its own text.
+
+        Pieces of all texts are detected together, equal ones once; a span of one piece is not detected again.
+        """
+        cuts = [sorted({0, len(t), *(m.end() for m in CLAUSE.finditer(t)), *script_changes(t)}) for t in texts]
+        bounds = [list(zip(c, c[1:], strict=False)) for c in cuts]
+        known = self._distinct(t[a:b] for t, ab in zip(texts, bounds, strict=True) for a, b in ab)
+        grouped = [self._grouped(t, ab, known) for t, ab in zip(texts, bounds, strict=True)]
+        known |= self._distinct(t[a:b] for t, groups in zip(texts, grouped, strict=True) for a, b in groups if t[a:b] not in known)
+        return [[{"start": a, "end": b, "text": t[a:b], **known[t[a:b]]} for a, b in groups] for t, groups in zip(texts, grouped, strict=True)]
+
+    def _distinct(self, texts) -> dict[str, dict]:
+        different = list(dict.fromkeys(texts))
+        return dict(zip(different, self.detect_all(different), strict=True))
+
+    @staticmethod
+    def _grouped(text: str, bounds: list[tuple[int, int]], known: dict[str, dict]) -> list[tuple[int, int]]:
+        """Neighbouring pieces of one script and language as one span; pieces without a script go with the span
+        before them, leading ones with the first."""
+        marks = [None if (d := known[text[a:b]])["script"] is None else (d["script"], d["language_code"]) for a, b in bounds]
+        first = next((m for m in marks if m is not None), None)
+        begins, now = [], None
+        for (a, _), mark in zip(bounds, marks, strict=True):
+            filled = mark or (first if not begins else now)
+            if not begins or filled != now:
+                begins.append(a)
+            now = filled
+        return list(zip(begins, [*begins[1:], len(text)], strict=True)) if begins else []
 
     def mixed(self, text: str | None) -> dict | None:
-        if text is None:
-            return None
-        spans = self.spans(text)
-        scripts = list(dict.fromkeys(s["script"] for s in spans if s["script"]))
-        languages = list(dict.fromkeys(s["language_code"] for s in spans if s["language_code"]))
-        return {
-            "primary": self.detect(text),
-            "segments": spans,
-            "scripts": scripts,
-            "language_codes": languages,
-            "is_mixed_script": len(scripts) > 1,
-            "is_mixed_language": len(languages) > 1,
-            "is_mixed": len(scripts) > 1 or len(languages) > 1,
-            "has_unresolved_segments": any(s["language_code"] is None for s in spans),
-        }
+        return self.mixed_all([text])[0]
+
+    def mixed_all(self, texts: list[str | None]) -> list[dict | None]:
+        there = [t for t in texts if t is not None]
+        spans = self.spans_all(there)
+        whole = {s[0]["text"]: s[0] for s in spans if len(s) == 1}
+        rest = self._distinct(t for t in there if t not in whole)
+        primary = lambda t: rest[t] if t in rest else {k: v for k, v in whole[t].items() if k not in ("start", "end", "text")}
+        found = iter([_summary(primary(t), s) for t, s in zip(there, spans, strict=True)])
+        return [None if t is None else next(found) for t in texts]
+
+
+def _summary(primary: dict, spans: list[dict]) -> dict:
+    scripts = list(dict.fromkeys(s["script"] for s in spans if s["script"]))
+    languages = list(dict.fromkeys(s["language_code"] for s in spans if s["language_code"]))
+    return {
+        "primary": primary,
+        "segments": spans,
+        "scripts": scripts,
+        "language_codes": languages,
+        "is_mixed_script": len(scripts) > 1,
+        "is_mixed_language": len(languages) > 1,
+        "is_mixed": len(scripts) > 1 or len(languages) > 1,
+        "has_unresolved_segments": any(s["language_code"] is None for s in spans),
+    }

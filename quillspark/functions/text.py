@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from ..resources import fixed
 from . import charsets, rowlocal
 
+_DISTINCTIVE = frozenset(c for weights in fixed.DISTINCTIVE.values() for c in weights)
 ASCII = r"^\p{ASCII}*$"
 
 
@@ -83,15 +84,19 @@ def script_counts(text: Column) -> Column:
     return F.struct(*(fixed_up.get(s, raw[s]).alias(s) for s in charsets.SCRIPTS))
 
 
-@pandas_udf(T.StructType().add("norm", T.StringType()).add("letters", T.ArrayType(T.StructType().add("script", T.StringType()).add("n", T.LongType()).add("first", T.IntegerType()))))
+@pandas_udf(T.StructType().add("norm", T.StringType()).add("chars", T.MapType(T.StringType(), T.LongType())).add("letters", T.ArrayType(T.StructType().add("script", T.StringType()).add("n", T.LongType()).add("first", T.IntegerType()))))
 def _census(text: pd.Series) -> pd.DataFrame:
-    rows = [(None, None) if t is None else rowlocal.census(t) for t in text]
-    return pd.DataFrame(rows, columns=["norm", "letters"])
+    rows = []
+    for t in text:
+        norm, letters = (None, None) if t is None else rowlocal.census(t)
+        rows.append((norm, None if t is None else {c: norm.count(c) for c in _DISTINCTIVE.intersection(norm)}, letters))
+    return pd.DataFrame(rows, columns=["norm", "chars", "letters"])
 
 
 def with_dominant_script(frame: DataFrame, text: str) -> DataFrame:
-    """Adds ``norm, script, n_script, script_share``: the most frequent script of a text's letters.
+    """Adds ``norm, chars, script, n_script, script_share``: the most frequent script of a text's letters.
 
+    ``chars`` has the numbers of the distinctive characters.
     Of equals a non-Latin one counts, then the first seen; all are null without letters. The letters are
     counted where the text is normalised anyway; what they decide is algebra.
     """
@@ -99,7 +104,7 @@ def with_dominant_script(frame: DataFrame, text: str) -> DataFrame:
     entry = lambda x: F.struct(x["n"].alias("n"), (x["script"] != "Latn").alias("other"), (-x["first"]).alias("first"), x["script"].alias("script"))
     best = F.array_max(F.transform(F.col("_c.letters"), entry))
     total = F.aggregate(F.col("_c.letters"), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    out = out.withColumns({"norm": F.col("_c.norm"), "_best": best, "_all": total})
+    out = out.withColumns({"norm": F.col("_c.norm"), "chars": F.col("_c.chars"), "_best": best, "_all": total})
     return out.withColumns({"script": F.col("_best.script"), "n_script": F.col("_best.n"), "script_share": F.col("_best.n") / F.col("_all")}).drop("_c", "_best", "_all")
 
 

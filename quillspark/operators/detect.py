@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import charsets
 from ..functions import text as tx
 from ..functions.rowlocal import TOP, Detector
 from ..resources import fixed
-from ..shipping import ensure_shipped
+from ..shipping import ensure_shipped, spread
 from .profiles import STORE, load_profiles, ngram_counts, profile_frames, top_ngrams, word_counts
 
 DETECTION = "script string, language_code string, confidence double, alternatives array<struct<language_code: string, score: double>>, resolution string, label string"
@@ -23,12 +24,20 @@ MIXED = (
 )
 
 
+def texts_only(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs``, or an error before anything runs if the column holds no strings."""
+    kind = docs.select(text_col).schema[0].dataType
+    if not isinstance(kind, T.StringType):
+        raise TypeError(f"column {text_col} must hold strings, not {kind.simpleString()}")
+    return docs
+
+
 # --- relational form -------------------------------------------------------------------------
 
 
 def text_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, norm, script, n_script, script_share, words, n_words``; nulls stay null."""
-    found = tx.with_dominant_script(docs.select(F.col(id_col), F.col(text_col).alias("_text")), "_text").drop("_text")
+    """``id, norm, chars, script, n_script, script_share, words, n_words``; nulls stay null."""
+    found = tx.with_dominant_script(spread(docs.select(F.col(id_col), F.col(text_col).alias("_text"))), "_text").drop("_text")
     found = found.withColumn("words", tx.tokens(F.col("norm")))
     # one shuffle by id serves all that follows, whose groups and joins begin with the id
     return found.withColumn("n_words", F.size("words")).repartition(id_col)
@@ -51,20 +60,20 @@ def cue_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, w, w in unique[k]) for k, ws in fixed.CUES.items() for w in dict.fromkeys(ws)], "cue_language string, word string, is_unique boolean")
 
 
-def distinctive_sums(norm: Column, script: Column | None = None) -> Column:
+def distinctive_sums(chars: Column, script: Column | None = None) -> Column:
     """``map<language, weighted count of its distinctive characters>``, not yet divided.
 
-    With ``script`` only languages written in it are looked at; the others' values are null.
+    ``chars`` is the map of a text's distinctive characters to their numbers, counted once where the text is
+    normalised. With ``script`` only languages written in it are looked at; the others' values are null.
     """
     written: dict[str, list[str]] = {}
     for _, language, s, _ in fixed.PROFILES:
         written.setdefault(language, []).append(s)
-    n = F.length(norm)
     items = []
     for language, weights in fixed.DISTINCTIVE.items():
         total = None
         for c, w in weights.items():
-            one = (n - F.length(F.replace(norm, F.lit(c), F.lit("")))) * F.lit(w)
+            one = F.coalesce(F.element_at(chars, c), F.lit(0)) * F.lit(w)
             total = one if total is None else total + one
         items += [F.lit(language), total if script is None else F.when(script.isin(written[language]), total)]
     return F.create_map(*items)
@@ -115,7 +124,7 @@ def rank_distances(features: DataFrame, id_col: str, path: str = STORE) -> DataF
 def language_scores(docs: DataFrame, id_col: str, text_col: str, path: str = STORE) -> DataFrame:
     """One row per text and candidate language with all that its score is made of."""
     features = text_features(docs, id_col, text_col)
-    light = features.select(id_col, "script", "n_script", "script_share", "n_words", distinctive_sums(F.col("norm"), F.col("script")).alias("sums"))
+    light = features.select(id_col, "script", "n_script", "script_share", "n_words", distinctive_sums(F.col("chars"), F.col("script")).alias("sums"))
     pairs = light.where("script is not null").join(F.broadcast(_languages(docs.sparkSession, path)), "script")
     cues, far = cue_scores(features, id_col), rank_distances(features, id_col, path)
     joined = pairs.join(cues, [id_col, "language_code"], "left").join(far, [id_col, "language_code"], "left")
@@ -178,6 +187,7 @@ def detect(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STO
     gives resolution ``none``. At most 17 candidate languages are gathered per text.
     """
     ensure_shipped(docs.sparkSession)
+    texts_only(docs, text_col)
     scores = language_scores(docs, id_col, text_col, path)
     entry = F.struct("raw", "language_order", "language_code", "distinctive", "cue", "unique_cue")
     per = scores.groupBy(id_col, "script", "n_script", "script_share", "n_words").agg(F.collect_list(entry).alias("entries"), F.max("raw").alias("most"))
@@ -210,7 +220,7 @@ def detection_udf(path: str = STORE):
 
     @pandas_udf(DETECTION)
     def run(text: pd.Series) -> pd.DataFrame:
-        rows = [detector.detect(t) for t in text]
+        rows = detector.detect_all(text.tolist())
         return pd.DataFrame([r or dict.fromkeys(_FIELDS) for r in rows], columns=_FIELDS)
 
     return run
@@ -226,7 +236,7 @@ def mixed_udf(path: str = STORE):
 
     @pandas_udf(MIXED)
     def run(text: pd.Series) -> pd.DataFrame:
-        rows = [detector.mixed(t) for t in text]
+        rows = detector.mixed_all(text.tolist())
         return pd.DataFrame([r or dict.fromkeys(_MIXED_FIELDS) for r in rows], columns=_MIXED_FIELDS)
 
     return run
@@ -239,13 +249,13 @@ def _whole(struct: Column, text: Column) -> Column:
 def with_detection(docs: DataFrame, text_col: str = "text", out_col: str = "detection", path: str = STORE) -> DataFrame:
     """``docs`` with a detection struct, null for null texts. Works on streams."""
     ensure_shipped(docs.sparkSession)
-    return docs.withColumn(out_col, _whole(detection_udf(path)(F.col(text_col)), F.col(text_col)))
+    return spread(texts_only(docs, text_col)).withColumn(out_col, _whole(detection_udf(path)(F.col(text_col)), F.col(text_col)))
 
 
 def with_mixed(docs: DataFrame, text_col: str = "text", out_col: str = "mixed", path: str = STORE) -> DataFrame:
     """``docs`` with whole-text detection and ordered spans. Works on streams."""
     ensure_shipped(docs.sparkSession)
-    return docs.withColumn(out_col, _whole(mixed_udf(path)(F.col(text_col)), F.col(text_col)))
+    return spread(texts_only(docs, text_col)).withColumn(out_col, _whole(mixed_udf(path)(F.col(text_col)), F.col(text_col)))
 
 
 def register(spark: SparkSession, path: str = STORE) -> None:

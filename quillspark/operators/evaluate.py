@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +117,19 @@ def violations(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return counted.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).alias("n")) for k in checks))).alias("v")).select("v.*")
 
 
+def bucket_differences(cases: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n, expected``: buckets whose number of cases is not the one that ``expected`` (keys, n) states; 0 where one side has none."""
+    found = cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    both = found.join(expected.withColumnRenamed("n", "expected"), keys, "full")
+    return both.fillna(0, ["n", "expected"]).where("n <> expected")
+
+
+def overlaps(cases: DataFrame, key: str, start: str, end: str, after: int = 0) -> DataFrame:
+    """Cases whose range begins at ``after`` or before it, or not behind the end of the one before it in its ``key``."""
+    before = F.lag(end).over(Window.partitionBy(key).orderBy(start, end))
+    return cases.withColumn("previous_end", F.coalesce(before, F.lit(after))).where(F.col(start) <= F.col("previous_end"))
+
+
 def duplicates(rows: DataFrame, column: str) -> DataFrame:
     """Values that occur more than once."""
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

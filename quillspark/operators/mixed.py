@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.rowlocal import CLAUSE, scripts_at
-from ..shipping import ensure_shipped
-from .detect import STORE, detection_udf
+from ..functions.rowlocal import CLAUSE, script_changes
+from ..shipping import ensure_shipped, spread
+from .detect import STORE, detection_udf, texts_only
 
 
 @pandas_udf(T.ArrayType(T.IntegerType()))
@@ -19,17 +19,17 @@ def clause_ends(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [m.end() for m in CLAUSE.finditer(t)], na_action="ignore")
 
 
-@pandas_udf(T.ArrayType(T.StructType().add("pos", T.IntegerType()).add("script", T.StringType())))
-def letters_at(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"pos": i, "script": s} for i, s in scripts_at(t)], na_action="ignore")
+@pandas_udf(T.ArrayType(T.IntegerType()))
+def changes_of_script(text: pd.Series) -> pd.Series:
+    """Places of letters whose script is not that of the letter before."""
+    return text.map(script_changes, na_action="ignore")
 
 
 def boundaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, text, cuts``: sorted positions where a span may begin or end."""
-    at = docs.select(F.col(id_col), F.col(text_col).alias("text"), clause_ends(F.col(text_col)).alias("ends"), letters_at(F.col(text_col)).alias("at"))
-    # a letter whose script is not that of the letter before it
-    change = F.filter(F.transform("at", lambda x, i: F.struct(x["pos"].alias("pos"), x["script"].alias("script"), F.get("at", i - 1)["script"].alias("before"))), lambda x: x["before"] != x["script"])
-    cuts = F.concat(F.array(F.lit(0), F.length("text")), F.col("ends"), F.transform(change, lambda x: x["pos"]))
+    at = spread(docs.select(F.col(id_col), F.col(text_col).alias("text")))
+    at = at.select("*", clause_ends(F.col("text")).alias("ends"), changes_of_script(F.col("text")).alias("changes"))
+    cuts = F.concat(F.array(F.lit(0), F.length("text")), F.col("ends"), F.col("changes"))
     return at.select(id_col, "text", F.array_sort(F.array_distinct(cuts)).alias("cuts"))
 
 
@@ -41,19 +41,23 @@ def mixed_spans(docs: DataFrame, id_col: str, text_col: str = "text", path: str
     on its whole text. Windows are over the pieces of one text, an empty text has no span.
     """
     ensure_shipped(docs.sparkSession)
+    texts_only(docs, text_col)
     run = detection_udf(path)
     cut = boundaries(docs, id_col, text_col)
     pieces = cut.select(id_col, "text", "cuts", F.posexplode("cuts").alias("i", "start")).where(F.col("i") < F.size("cuts") - 1)
     pieces = pieces.select(id_col, "start", F.get("cuts", F.col("i") + 1).alias("end"), F.substring("text", F.col("start") + 1, F.get("cuts", F.col("i") + 1) - F.col("start")).alias("piece"))
-    found = pieces.withColumn("d", run(F.col("piece"))).select(id_col, "start", "end", "piece", F.when(F.col("d.script").isNotNull(), F.struct("d.script", "d.language_code")).alias("mark"))
+    found = pieces.withColumn("d", run(F.col("piece"))).select(id_col, "start", "end", "piece", "d", F.when(F.col("d.script").isNotNull(), F.struct("d.script", "d.language_code")).alias("mark"))
     order = Window.partitionBy(id_col).orderBy("start")
     back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     filled = found.withColumn("mark", F.coalesce(F.last("mark", True).over(back), F.first("mark", True).over(ahead)))
     before = F.lag("mark").over(order)
     island = filled.withColumn("new", (F.row_number().over(order) > 1) & ~F.col("mark").eqNullSafe(before)).withColumn("island", F.sum(F.col("new").cast("int")).over(back))
-    joined = island.groupBy(id_col, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("parts"))
-    texts = joined.select(id_col, "start", "end", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("text"))
-    return texts.withColumn("d", run(F.col("text"))).select(id_col, "start", "end", "text", "d.*")
+    parts = F.array_sort(F.collect_list(F.struct("start", "piece")))
+    joined = island.groupBy(id_col, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), parts.alias("parts"), F.first("d").alias("one"))
+    texts = joined.select(id_col, "start", "end", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("text"), F.when(F.size("parts") == 1, F.col("one")).alias("one"))
+    # a span of one piece has its detection already
+    again = texts.withColumn("d", F.coalesce("one", run(F.when(F.col("one").isNull(), F.col("text")))))
+    return again.select(id_col, "start", "end", "text", "d.*")
 
 
 def mixed_summary(spans: DataFrame, id_col: str) -> DataFrame:

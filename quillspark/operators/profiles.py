@@ -9,6 +9,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..resources import fixed
@@ -17,9 +18,14 @@ PROFILE_SIZE = 800
 STORE = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "resources", "profiles.json")
 
 
-def word_counts(docs: DataFrame, keys: list[str], words: Column) -> DataFrame:
-    """``keys, word, cnt, first``: words of each document and where each is seen first."""
-    return docs.select(*keys, F.posexplode(words).alias("pos", "word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first"))
+def word_counts(docs: DataFrame, keys: list[str], words: Column, order: str | None = None) -> DataFrame:
+    """``keys, word, cnt, first``: words of each document and where each is seen first.
+
+    With ``order`` the rows of a key are one text in that order, and ``first`` is (order, place).
+    """
+    extra = [order] if order else []
+    at = F.struct(order, "pos") if order else F.col("pos")
+    return docs.select(*keys, *extra, F.posexplode(words).alias("pos", "word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min(at).alias("first"))
 
 
 def ngram_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,7 +36,9 @@ def ngram_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     of structs would make the aggregation sort.
     """
     cut = counts.select(*keys, "cnt", "first", F.posexplode(tx.ngrams(F.col("word"))).alias("off", "ngram"))
-    return cut.groupBy(*keys, "ngram").agg(F.sum("cnt").alias("cnt"), F.min(F.shiftleft(F.col("first").cast("long"), 32) + F.col("off")).alias("first"))
+    several = isinstance(counts.schema["first"].dataType, T.StructType)
+    at = F.struct("first", "off") if several else F.shiftleft(F.col("first").cast("long"), 32) + F.col("off")
+    return cut.groupBy(*keys, "ngram").agg(F.sum("cnt").alias("cnt"), F.min(at).alias("first"))
 
 
 def top_ngrams(grams: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -39,9 +47,12 @@ def top_ngrams(grams: DataFrame, keys: list[str], k: int) -> DataFrame:
     return grams.withColumn("rank", rank).where(F.col("rank") < k)
 
 
-def build_profiles(samples: DataFrame, keys: list[str], text: str = "text", size: int = PROFILE_SIZE) -> DataFrame:
-    """``keys, ngram, cnt, rank``: the profile of each sample. Samples with equal keys must be joined before."""
-    words = word_counts(samples, keys, tx.tokens(tx.normalise(F.col(text))))
+def build_profiles(samples: DataFrame, keys: list[str], text: str = "text", size: int = PROFILE_SIZE, order: str | None = None) -> DataFrame:
+    """``keys, ngram, cnt, rank``: the profile of each sample; of equally frequent n-grams the first seen is first.
+
+    Samples with equal keys are one, read in the order of the column ``order``; without it keys are unique.
+    """
+    words = word_counts(samples, keys, tx.tokens(tx.normalise(F.col(text))), order)
     return top_ngrams(ngram_counts(words, keys), keys, size).select(*keys, "ngram", "cnt", "rank")
 
 

@@ -47,6 +47,15 @@ def dominant() -> str:
     return f"dom AS (SELECT doc_id, CASE WHEN {total} > 0 THEN {which} END AS script, CASE WHEN {total} > 0 THEN {most} END AS n_script, {most} / nullif({total}, 0) AS script_share FROM lc)"
 
 
+def dominant_by_order() -> str:
+    """With ties: the most letters, then any script but Latin, then the one whose letter comes first."""
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, '{s}' AS script, {s} AS n, '{s}' <> 'Latn' AS other, (SELECT min(instr(norm, c)) FROM (SELECT unnest(regexp_extract_all(norm, {quote(charsets.char_class(s) if s != 'Jpan' else charsets.char_class('Jpan')[:-1] + charsets.char_class('Hani')[1:])})) AS c)) AS first FROM lc JOIN norm USING (doc_id) WHERE {s} > 0"
+        for s in charsets.SCRIPTS
+    )
+    return f"each_script AS ({each}), dom AS (SELECT d.doc_id, b.script FROM norm d LEFT JOIN (SELECT doc_id, first(script ORDER BY n DESC, other DESC, first) AS script FROM each_script GROUP BY doc_id) b USING (doc_id))"
+
+
 def cues() -> str:
     unique = fixed.unique_cues()
     parts = [f"SELECT {quote(k)} AS language_code, unnest({strings(dict.fromkeys(ws))}) AS word, unnest({[w in unique[k] for w in dict.fromkeys(ws)]!s}) AS is_unique" for k, ws in fixed.CUES.items()]
@@ -113,7 +122,37 @@ def sample_letters() -> str:
     )
 
 
-def statements() -> dict[str, str]:
+def respelled(alphabets: list[tuple[str, str]]) -> str:
+    """Documents in other alphabets, by id."""
+    cases = " ".join(f"WHEN {i} THEN translate(lower(text), {quote(a)}, {quote(b)})" for i, (a, b) in enumerate(alphabets))
+    return f"resp AS (SELECT doc_id, printf('alphabet %02d', doc_id % {len(alphabets)}) AS lang, CASE doc_id % {len(alphabets)} {cases} END AS text FROM documents)"
+
+
+def clauses() -> str:
+    """Boundaries of the turns' clauses: their texts hold one script, so clauses alone cut them. Runs of
+    the dividing marks and of what is between them are taken in turn, and their lengths added up."""
+    mark = r"(?:\r\n|\r|\n|[.!?;:]+)[\t \f\v]*"
+    return (
+        f"bit AS (SELECT conv_id, turn, text, regexp_extract_all(text, {quote(mark + '|[^' + chr(92) + 'r' + chr(92) + 'n.!?;:]+')}) AS bits FROM conversations), "
+        "acc AS (SELECT conv_id, turn, text, [list_sum([length(y) for y in bits[1:i]]) for i in range(1, len(bits) + 1) if regexp_matches(bits[i], '^[\\r\\n.!?;:]')] AS ends FROM bit)"
+    )
+
+
+def uyghur(letters: str) -> str:
+    """Texts in three alphabets: each letter by itself, then the Cyrillic pairs."""
+    out = []
+    for column in (1, 2, 3):
+        now = f"translate(lower(text), {quote(letters)}, {quote(''.join(r[0] for r in fixed.UYGHUR))})"
+        for row in fixed.UYGHUR:
+            now = f"replace({now}, {quote(row[0])}, {quote(row[column])})"
+        if column == 2:
+            for pair, one in (("йа", "я"), ("йу", "ю"), ("йо", "ё")):
+                now = f"replace({now}, {quote(pair)}, {quote(one)})"
+        out.append(now)
+    return f"SELECT doc_id, sha256({out[0]}) AS latin, sha256({out[1]}) AS cyrillic, sha256({out[2]}) AS new_script FROM documents"
+
+
+def statements(alphabets: list[tuple[str, str]], letters_for_uyghur: str) -> dict[str, str]:
     base = (NORM, TOKENS, WORDS)
     full = (*base, GRAMS, TOP, letter_counts(), dominant(), cues(), letters(), distances(), scored())
     result = with_(
@@ -150,8 +189,9 @@ def statements() -> dict[str, str]:
         "cue_scores": with_(*base, cues()) + "SELECT doc_id, language_code, cue_sum, unique_sum FROM cue",
         "distinctive_scores": with_(NORM, letters()) + "SELECT doc_id, language_code, round_even(CAST(weight AS DOUBLE), 4) AS weight FROM dist WHERE weight > 0",
         "rank_distance": with_(*base, GRAMS, TOP, letter_counts(), dominant(), distances()) + "SELECT doc_id, language_code, round_even(distance, 9) AS distance FROM far",
-        "build_profiles": with_(NORM, TOKENS, "wc AS (SELECT lang, word, count(*) AS cnt, 0 AS first FROM (SELECT lang, unnest(w) AS word FROM tok) GROUP BY ALL)", f"g AS (SELECT lang, ngram, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT lang, cnt, unnest({CUT}) AS ngram FROM wc) GROUP BY ALL)")
-        + "SELECT lang, ngram, cnt, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, ngram) AS rank FROM g) WHERE rank <= 800",
+        "build_profiles": with_(NORM, TOKENS, "wc AS (SELECT lang, word, count(*) AS cnt, min(CAST(doc_id AS HUGEINT) * 100000000 + pos) AS first FROM (SELECT doc_id, lang, unnest(w) AS word, unnest(range(len(w))) AS pos FROM tok) GROUP BY ALL)",
+            f"g AS (SELECT lang, ngram, CAST(sum(cnt) AS BIGINT) AS cnt, min(first * 1000000 + off) AS first FROM (SELECT lang, cnt, first, unnest(gs) AS ngram, unnest(range(len(gs))) AS off FROM (SELECT *, {CUT} AS gs FROM wc)) GROUP BY ALL)")
+        + "SELECT lang, ngram, cnt, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, first) - 1 AS rank FROM g) WHERE rank < 800",
         "detect": result + "SELECT * FROM res",
         "detect_rowlocal": result + "SELECT * FROM res",
         "detect_alternatives": with_(*full) + "SELECT doc_id, language_code, score FROM soft",
@@ -164,7 +204,7 @@ def statements() -> dict[str, str]:
         f"UNION ALL SELECT 'latin_share_over_095', count(*) FILTER (NOT coalesce(len(regexp_extract_all(text, {quote(charsets.char_class('Latn'))})) / nullif(l, 0), 0) > 0.95) FROM w "
         f"UNION ALL SELECT 'all_words_lexical', count(*) FILTER (len(list_filter(ws, lambda x: NOT regexp_matches(x, {quote(letter)}))) > 0) FROM w UNION ALL SELECT 'chars_match', count(*) FILTER (length(text) <> n_chars) FROM w",
         "duplicate_texts": "SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1",
-        "exclusive_letters": shares + ", domi AS (SELECT sample, first(script ORDER BY n DESC, script) AS script FROM per GROUP BY sample), own AS (SELECT l.sample, domi.script, char, n FROM letters l JOIN domi USING (sample)) SELECT sample, script, char, n FROM own JOIN (SELECT script, char FROM own GROUP BY ALL HAVING count(*) = 1) USING (script, char)",
+        "exclusive_letters": shares.replace("FROM documents)", "FROM resp)").replace("WITH ", "WITH " + respelled(alphabets) + ", ", 1) + ", domi AS (SELECT sample, first(script ORDER BY n DESC, script) AS script FROM per GROUP BY sample), own AS (SELECT l.sample, domi.script, char, n FROM letters l JOIN domi USING (sample)) SELECT sample, script, char, n FROM own JOIN (SELECT script, char FROM own GROUP BY ALL HAVING count(*) = 1) USING (script, char)",
         "script_shares": shares + "SELECT sample, script, n, round_even(n / sum(n) OVER (PARTITION BY sample), 9) AS share FROM per",
         "diagnostic_counts": sample_letters() + f", d(kind, char) AS (VALUES {', '.join(f'({quote(g)}, {quote(c)})' for g, cs in DIAGNOSTIC.items() for c in cs)}) SELECT kind, sample, char, n FROM letters JOIN d USING (char)",
         "top_letters": sample_letters() + ranked("letters", "char", 20),
@@ -174,5 +214,9 @@ def statements() -> dict[str, str]:
         "lexical_words": f"SELECT doc_id, CAST(len(list_filter({words_of}, lambda x: regexp_matches(x, {quote(letter)}))) AS BIGINT) AS n_lexical, CAST(len({words_of}) AS BIGINT) AS n_words FROM documents",
         "latin_share": f"SELECT doc_id, round_even(coalesce({count_of('Latn', 'text')} / nullif({count_of('letter', 'text')}, 0), 0), 9) AS share FROM documents",
         "text_digests": "SELECT item_id, sha256(text) AS sha256 FROM benchmark",
-        "uyghur_transliterate": "SELECT * FROM (VALUES (0, 'her bir insan', 'һәр бир инсан', 'ⱨər bir insan'), (1, 'ya yu yo', 'я ю ё', 'ya yu yo'), (2, 'chay sheher gherb ng', 'чай шәһәр ғәрб ң', 'qay xəⱨər ƣərb ng')) t(id, latin, cyrillic, new_script)",
+        "uyghur_transliterate": uyghur(letters_for_uyghur),
+        "script_letters_respelled": with_(respelled(alphabets), NORM.replace("FROM documents", "FROM resp"), letter_counts()) + f"SELECT doc_id, {', '.join(f'{s} AS {s.lower()}' for s in charsets.SCRIPTS)} FROM lc",
+        "scripts_respelled": with_(respelled(alphabets), NORM.replace("FROM documents", "FROM resp"), letter_counts(), dominant_by_order()) + "SELECT lang AS sample, script, script IS NULL AS nothing, count(*) AS n FROM dom JOIN resp USING (doc_id) GROUP BY ALL",
+        "case_buckets": "SELECT key, word_count, CAST(5 AS BIGINT) AS n FROM (SELECT DISTINCT printf('d%06d', doc_id // 250) AS key FROM documents WHERE regexp_matches(text, '\\S')), (SELECT unnest([1, 2, 3, 5, 10, 20, 50, 100]) AS word_count)",
+        "clause_boundaries": "WITH " + clauses() + " SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat([0, length(text)], [CAST(e AS BIGINT) for e in ends]))), ' ') AS cuts FROM acc",
     }

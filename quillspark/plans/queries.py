@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,8 @@ from ..operators import evaluate as ev
 from ..operators import mixed as mx
 from ..operators import profiles as pf
 from ..operators import sampling as sm
-from ..shipping import ensure_shipped
+from ..resources import fixed
+from ..shipping import ensure_shipped, spread
 from ..sources.readers import paragraphs
 from . import oracle
 
@@ -29,23 +33,23 @@ def documents(spark, sf_dir):
 
 
 def normalize_text(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", tx.normalise(F.col("text")).alias("norm"))
+    return spread(documents(spark, sf_dir)).select("doc_id", tx.normalise(F.col("text")).alias("norm"))
 
 
 def tokenize(spark, sf_dir):
     """Every word with its place."""
-    words = documents(spark, sf_dir).select("doc_id", tx.tokens(tx.normalise(F.col("text"))).alias("words"))
+    words = spread(documents(spark, sf_dir)).select("doc_id", tx.tokens(tx.normalise(F.col("text"))).alias("words"))
     return words.select("doc_id", F.posexplode("words").alias("pos", "word"))
 
 
 def token_stats(spark, sf_dir):
-    words = documents(spark, sf_dir).select("doc_id", tx.tokens(tx.normalise(F.col("text"))).alias("w"))
+    words = spread(documents(spark, sf_dir)).select("doc_id", tx.tokens(tx.normalise(F.col("text"))).alias("w"))
     longest = F.coalesce(F.array_max(F.transform("w", lambda x: F.length(x))), F.lit(0))
     return words.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), longest.cast("long").alias("longest"))
 
 
 def script_letter_counts(spark, sf_dir):
-    counts = documents(spark, sf_dir).select("doc_id", tx.script_counts(tx.normalise(F.col("text"))).alias("c"))
+    counts = spread(documents(spark, sf_dir)).select("doc_id", tx.script_counts(tx.normalise(F.col("text"))).alias("c"))
     return counts.select("doc_id", *(F.col(f"c.{s}").alias(s.lower()) for s in charsets.SCRIPTS))
 
 
@@ -56,7 +60,7 @@ def dominant_script(spark, sf_dir):
 
 def ngram_counts(spark, sf_dir):
     """How often and in how many texts every n-gram occurs."""
-    f = documents(spark, sf_dir).select("doc_id", tx.tokens(tx.normalise(F.col("text"))).alias("words"))
+    f = spread(documents(spark, sf_dir)).select("doc_id", tx.tokens(tx.normalise(F.col("text"))).alias("words"))
     grams = pf.ngram_counts(pf.word_counts(f, ["doc_id"], F.col("words")), ["doc_id"])
     return grams.groupBy("ngram").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n_docs"))
 
@@ -73,7 +77,7 @@ def cue_scores(spark, sf_dir):
 
 def distinctive_scores(spark, sf_dir):
     f = dt.text_features(documents(spark, sf_dir), "doc_id", "text")
-    sums = f.select("doc_id", F.explode(dt.distinctive_sums(F.col("norm"))).alias("language_code", "weight"))
+    sums = f.select("doc_id", F.explode(dt.distinctive_sums(F.col("chars"))).alias("language_code", "weight"))
     return sums.where("weight > 0").select("doc_id", "language_code", F.bround("weight", 4).alias("weight"))
 
 
@@ -83,10 +87,9 @@ def rank_distance(spark, sf_dir):
 
 
 def build_profiles(spark, sf_dir):
-    """A profile of all texts of each declared language."""
-    docs = documents(spark, sf_dir)
-    grams = pf.ngram_counts(docs.select("lang", F.explode(tx.tokens(tx.normalise(F.col("text")))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.lit(0)).alias("first")), ["lang"])
-    return cp.ranked(grams.withColumnRenamed("cnt", "n"), ["lang"], "ngram", pf.PROFILE_SIZE).select("lang", "ngram", F.col("n").alias("cnt"), F.col("rank").cast("long").alias("rank"))
+    """A profile of all texts of each declared language, read by id."""
+    docs = spread(documents(spark, sf_dir)).withColumnRenamed("lang", "key")
+    return pf.build_profiles(docs, ["key"], order="doc_id").select(F.col("key").alias("lang"), "ngram", "cnt", F.col("rank").cast("long").alias("rank"))
 
 
 _FLAT = ["script", "language_code", "confidence", "resolution", "label"]
@@ -146,7 +149,7 @@ def eval_quality_checks(spark, sf_dir):
         "all_words_lexical": tx.all_lexical(tx.split_words(F.col("text"))),
         "chars_match": F.length("text") == F.col("n_chars"),
     }
-    return ev.violations(documents(spark, sf_dir), checks)
+    return ev.violations(spread(documents(spark, sf_dir)), checks)
 
 
 def duplicate_texts(spark, sf_dir):
@@ -171,11 +174,48 @@ def clause_boundaries(spark, sf_dir):
 
 
 def _letters(spark, sf_dir):
-    return cp.char_counts(documents(spark, sf_dir), "lang", "text")
+    return cp.char_counts(spread(documents(spark, sf_dir)), "lang", "text")
+
+
+#: First letters of the alphabets that ``respelled`` deals out; some share a script and part of their letters.
+ALPHABETS = (0x61, 0xE0, 0xEA, 0x430, 0x43A, 0x561, 0x565, 0x5D0, 0x628, 0x631, 0x915, 0x995, 0xC15, 0x10D0, 0x30AB, 0x4E00)
+
+
+def alphabet(start: int, size: int = 26) -> str:
+    """The first letters from a code point on, without those that normalisation changes."""
+    same = (c for c in map(chr, range(start, start + 400)) if c.isalpha() and unicodedata.normalize("NFKC", c).casefold() == c)
+    return "".join(islice(same, size))
+
+
+def respelled(spark, sf_dir):
+    """Documents with a-z written in another alphabet, by id: texts in all eleven scripts (``sample`` names the alphabet)."""
+    docs = spread(documents(spark, sf_dir))
+    k = F.pmod("doc_id", F.lit(len(ALPHABETS))).cast("int")
+    text = F.lower("text")
+    for i, start in reversed(list(enumerate(ALPHABETS))):
+        other = F.translate(F.lower("text"), LATIN, alphabet(start))
+        text = F.when(k == i, other).otherwise(text)
+    return docs.select("doc_id", F.format_string("alphabet %02d", k).alias("sample"), text.alias("text"))
+
+
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+
+
+def script_letters_respelled(spark, sf_dir):
+    """Letters of every script in texts of eleven scripts."""
+    counts = respelled(spark, sf_dir).select("doc_id", tx.script_counts(tx.normalise(F.col("text"))).alias("c"))
+    return counts.select("doc_id", *(F.col(f"c.{s}").alias(s.lower()) for s in charsets.SCRIPTS))
+
+
+def scripts_respelled(spark, sf_dir):
+    """The dominant script of such texts, and that of their detection."""
+    docs = dt.with_detection(respelled(spark, sf_dir))
+    found = docs.groupBy("sample", F.col("detection.script").alias("script"), (F.col("detection.resolution") == "none").alias("nothing"))
+    return found.agg(F.count(F.lit(1)).alias("n"))
 
 
 def exclusive_letters(spark, sf_dir):
-    return cp.exclusive_letters(_letters(spark, sf_dir))
+    return cp.exclusive_letters(cp.char_counts(respelled(spark, sf_dir), "sample", "text")).select("sample", "script", "char", "n")
 
 
 def script_shares(spark, sf_dir):
@@ -191,28 +231,28 @@ def top_letters(spark, sf_dir):
 
 
 def top_words(spark, sf_dir):
-    return cp.top_words(cp.sample_words(documents(spark, sf_dir), "lang", "doc_id", "text")).select("sample", "word", "n", F.col("rank").cast("long").alias("rank"))
+    return cp.top_words(cp.sample_words(spread(documents(spark, sf_dir)), "lang", "doc_id", "text")).select("sample", "word", "n", F.col("rank").cast("long").alias("rank"))
 
 
 def top_bigrams(spark, sf_dir):
-    return cp.top_bigrams(cp.sample_words(documents(spark, sf_dir), "lang", "doc_id", "text")).select("sample", "bigram", "n", F.col("rank").cast("long").alias("rank"))
+    return cp.top_bigrams(cp.sample_words(spread(documents(spark, sf_dir)), "lang", "doc_id", "text")).select("sample", "bigram", "n", F.col("rank").cast("long").alias("rank"))
 
 
 def html_paragraphs(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", paragraphs(F.col("html")).alias("p"))
+    pages = spread(table(spark, sf_dir, "pages")).select("page_id", paragraphs(F.col("html")).alias("p"))
     return pages.select("page_id", F.posexplode("p").alias("place", "paragraph"))
 
 
 def first_n_words(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", tx.first_words(F.col("text"), 1000).alias("words"))
+    return spread(documents(spark, sf_dir)).select("doc_id", tx.first_words(F.col("text"), 1000).alias("words"))
 
 
 def lexical_words(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.size(tx.lexical_words(F.col("text"))).cast("long").alias("n_lexical"), F.size(tx.split_words(F.col("text"))).cast("long").alias("n_words"))
+    return spread(documents(spark, sf_dir)).select("doc_id", F.size(tx.lexical_words(F.col("text"))).cast("long").alias("n_lexical"), F.size(tx.split_words(F.col("text"))).cast("long").alias("n_words"))
 
 
 def latin_share(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.bround(tx.script_share(F.col("text"), "Latn"), 9).alias("share"))
+    return spread(documents(spark, sf_dir)).select("doc_id", F.bround(tx.script_share(F.col("text"), "Latn"), 9).alias("share"))
 
 
 def text_digests(spark, sf_dir):
@@ -220,16 +260,26 @@ def text_digests(spark, sf_dir):
 
 
 def window_cases(spark, sf_dir):
-    """Random windows of the benchmark's texts, each text a line."""
-    lines = table(spark, sf_dir, "benchmark").select(F.lit("bench").alias("key"), F.col("item_id").alias("line"), "text")
-    return sm.case_ids(sm.window_cases(lines, lengths=(1, 2, 3, 5)), "bench")
+    """Random windows of 1 to 100 words, for every 250 documents, each of them a line."""
+    lines = documents(spark, sf_dir).select(F.format_string("d%06d", F.floor(F.col("doc_id") / 250)).alias("key"), F.col("doc_id").alias("line"), "text")
+    return sm.case_ids(sm.window_cases(lines), "doc")
+
+
+def case_buckets(spark, sf_dir):
+    """How many of its five cases each length of each 250 documents has."""
+    return window_cases(spark, sf_dir).groupBy("key", "word_count").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Letters and digits that stand for the 33 letters of the Uyghur Arabic alphabet.
+LATIN_FOR_UYGHUR = LATIN + "0123456"
 
 
 def uyghur_transliterate(spark, sf_dir):
-    ensure_shipped(spark)
-    words = ["ھەر بىر ئىنسان", "يا يۇ يو", "چاي شەھەر غەرب ڭ"]
-    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id long, text string")
-    return rows.select("id", uyghur_latin(F.col("text")).alias("latin"), uyghur_cyrillic(F.col("text")).alias("cyrillic"), uyghur_new_script(F.col("text")).alias("new_script"))
+    """All documents spelled in the Uyghur Arabic alphabet, in its three other alphabets (digests of whole texts)."""
+    text = F.translate(F.lower("text"), LATIN_FOR_UYGHUR, "".join(row[0] for row in fixed.UYGHUR))
+    rows = spread(documents(spark, sf_dir)).select("doc_id", text.alias("text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select("doc_id", digest(uyghur_latin(F.col("text"))).alias("latin"), digest(uyghur_cyrillic(F.col("text"))).alias("cyrillic"), digest(uyghur_new_script(F.col("text"))).alias("new_script"))
 
 
 QUERIES = {
@@ -237,8 +287,8 @@ QUERIES = {
     for f in (
         normalize_text, tokenize, token_stats, script_letter_counts, dominant_script, ngram_counts, ngram_top300, cue_scores, distinctive_scores, rank_distance,
         build_profiles, detect, detect_rowlocal, detect_alternatives, detect_confusion, eval_totals, eval_grouping_sets, eval_confusions, eval_quality_checks, duplicate_texts,
-        detect_mixed_spans, detect_mixed_summary, clause_boundaries, exclusive_letters, script_shares, diagnostic_counts, top_letters, top_words, top_bigrams,
-        html_paragraphs, first_n_words, lexical_words, latin_share, text_digests, window_cases, uyghur_transliterate,
+        detect_mixed_spans, detect_mixed_summary, clause_boundaries, exclusive_letters, script_letters_respelled, scripts_respelled, script_shares, diagnostic_counts, top_letters, top_words, top_bigrams,
+        html_paragraphs, first_n_words, lexical_words, latin_share, text_digests, window_cases, case_buckets, uyghur_transliterate,
     )
 }
-ORACLE = oracle.statements()
+ORACLE = oracle.statements([(LATIN, alphabet(start)) for start in ALPHABETS], LATIN_FOR_UYGHUR)

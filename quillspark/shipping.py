@@ -1,4 +1,4 @@
-"""Give executors this package, for sessions whose workers cannot import it otherwise."""
+"""Give executors this package, for sessions whose workers cannot import it otherwise, and work to all of them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _done: set[str] = set()
 
@@ -26,3 +26,21 @@ def ensure_shipped(spark: SparkSession) -> None:
                 z.write(full, os.path.join("quillspark", os.path.relpath(full, root)))
     sc.addPyFile(target)
     _done.add(sc.applicationId)
+
+
+#: Bytes of a Parquet row group, as writers lay them out by default.
+ROW_GROUP = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly if its input may have fewer row groups than there are cores.
+
+    Only whole row groups are read in parallel, so one small file keeps one core busy however it is split.
+    An input below a row group for each core is dealt out by rows, a shuffle of at most that
+    size; a larger one has groups enough, and is left where it is, as are streams.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * ROW_GROUP else df

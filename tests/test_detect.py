@@ -102,6 +102,38 @@ def test_forms_agree(spark, texts):
             assert [a.score for a in got.alternatives] == pytest.approx([a["score"] for a in want["alternatives"]], abs=2e-6)
 
 
+def test_batches_agree(spark):
+    """A text has the same result alone, in a batch, and when words are forgotten in between."""
+    words = [w for t in TEXTS if t for w in t.split()]
+    texts = [*TEXTS, *(" ".join(words[i : i + 40]) for i in range(0, len(words), 7))]
+    want = [D.detect(t) for t in texts]
+    assert D.detect_all(texts) == want
+    small = rowlocal.Detector(list(load_profiles()))
+    old = rowlocal.KNOWN, rowlocal.ROWS
+    try:
+        rowlocal.KNOWN, rowlocal.ROWS = 10, 100
+        assert small.detect_all(texts) == want
+    finally:
+        rowlocal.KNOWN, rowlocal.ROWS = old
+    assert D.mixed_all(texts) == [D.mixed(t) for t in texts]
+
+
+@pytest.mark.parametrize("bad", ["id", "array(text)", "encode(text, 'utf-8')"])
+def test_only_strings(spark, texts, bad):
+    odd = texts.selectExpr("id", f"{bad} as t")
+    for run in (lambda: dt.detect(odd, "id", "t"), lambda: dt.with_detection(odd, "t"), lambda: dt.with_mixed(odd, "t"), lambda: mx.mixed_spans(odd, "id", "t")):
+        with pytest.raises(TypeError, match="must hold strings"):
+            run()
+
+
+def test_narrow_input_is_spread(spark, tmp_path):
+    """One row group is one task's work, however small the splits: detection deals it out first."""
+    spark.range(400).selectExpr("id", "concat('some text ', id) as text").coalesce(1).write.parquet(str(tmp_path / "one"))
+    docs = spark.read.parquet(str(tmp_path / "one"))
+    sizes = dt.with_detection(docs).select(F.spark_partition_id().alias("p"), "detection").where("detection is not null").groupBy("p").count().collect()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) <= 110
+
+
 def test_relational_plan_shuffles_text_once(spark, texts):
     plan = dt.rank_distances(dt.text_features(texts, "id", "text"), "id")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -24,6 +24,32 @@ def test_profile_order(spark):
     assert [(r.ngram, r.cnt) for r in rows] == counts.most_common(12)
 
 
+def test_profile_of_several_rows(spark):
+    """Rows of one key are one text in their order: ties go to what is seen first over all rows."""
+    texts = ["zz ab", "ab zz cd", "cd ef"]
+    rows = spark.createDataFrame([("k", 10 - i, t) for i, t in enumerate(reversed(texts))], "key string, place int, text string").repartition(3)
+    got = [r.ngram for r in pf.build_profiles(rows, ["key"], size=30, order="place").orderBy("rank").collect()]
+    counts: Counter = Counter()
+    for w in " ".join(texts).split():
+        counts.update(f"^{w}$"[i : i + n] for n in (2, 3, 4) for i in range(len(w) + 3 - n))
+    assert got == [g for g, _ in counts.most_common(30)]
+
+
+def test_case_checks(spark):
+    cases = spark.createDataFrame([("k", "a", 1001, 1002), ("k", "b", 1003, 1009), ("k", "c", 1009, 1011), ("m", "d", 990, 1001), ("m", "e", 1002, 1003)], "key string, id string, start int, end int")
+    assert {r.id for r in ev.overlaps(cases, "key", "start", "end", after=1000).collect()} == {"c", "d"}
+    want = spark.createDataFrame([("k", 3), ("m", 5), ("x", 1)], "key string, n long")
+    assert {tuple(r) for r in ev.bucket_differences(cases, want, ["key"]).collect()} == {("m", 2, 5), ("x", 0, 1)}
+    held = sm.held_out_cases(spark.createDataFrame([("k", " ".join(f"w{i}" for i in range(900)))], "key string, text string"), skip=50, lengths=(5, 10, 20))
+    assert ev.overlaps(held, "key", "line_start", "line_end", after=50).isEmpty()
+
+
+def test_least_share_of_script(spark):
+    lines = spark.createDataFrame([("k", i, f"слово{i} ещё раз" if i % 2 else f"word{i} once more") for i in range(40)], "key string, line int, text string")
+    texts = [r.text for r in sm.window_cases(lines, lengths=(3,), per_length=4, script="Cyrl", min_share=0.95).collect()]
+    assert len(texts) == 4 and all("more" not in t and "word" not in t for t in texts)
+
+
 def test_word_functions(spark):
     df = spark.createDataFrame([(" a  b c\n12 d-e ",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(tx.first_words(F.col("t"), 3)).collect()] == ["a b c", "", None]
