@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, table
+from .common import ascii_lower, free, staged, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
@@ -13,29 +13,65 @@ ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Words of a k-gram; a window of 13 words has 13 - K + 1 of them and keeps the least hash.
 K = 6
-#: The test side is broadcast up to so many rows, else joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: The test side is broadcast up to so many bytes, as its rows are counted, else joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for all its uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _zip(a: Column, b: Column, skip: int, both) -> Column:
+    """``both`` of a[i] and b[i + skip], as far as both are there."""
+    n = F.greatest(F.least(F.size(a), F.size(b) - skip), F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, skip + 1, n), both)
+
+
+def gram_hashes(h: Column, k: int) -> Column:
+    """A hash of the ``k`` words from each position on, from the words' hashes, by doubling."""
+    pair = lambda x, y: F.xxhash64(x, y)
+
+    def step(power: Column, have: int, out, got: int, bits: int) -> Column:
+        if bits & 1:
+            out, got = (power, have) if out is None else (_zip(out, power, got, pair), got + have)
+        bits >>= 1
+        if not bits:
+            return out
+        return let(_zip(power, power, have, pair), lambda wider: step(wider, 2 * have, out, got, bits))
+
+    return step(h, 1, None, 0, k)
+
+
+def window_minima(g: Column, w: int) -> Column:
+    """The least of the ``w`` values from each position on, by doubling."""
+
+    def step(m: Column, have: int) -> Column:
+        if have == w:
+            return m
+        hop = min(have, w - have)
+        return let(_zip(m, m, hop, lambda x, y: F.least(x, y)), lambda wider: step(wider, have + hop))
+
+    return step(g, 1)
+
+
 def minima(words: Column, window: int, k: int) -> Column:
     """The least k-gram hash of every window of so many words, in order: its fingerprint.
 
     It depends on the words of the window alone, so two texts that share a window share its
-    fingerprint, wherever it stands in them.
+    fingerprint, wherever it stands in them. A window of fewer words than ``k`` is one k-gram.
     """
-    n = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.slice(words, i, k)))
-    per = window - k + 1
-    grams_of = lambda g: F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.array_min(F.slice(g, i, per)))
-    return F.when(n >= window, F.element_at(F.transform(F.array(grams), grams_of), 1)).otherwise(F.array().cast("array<bigint>"))
+    k = min(k, window)
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashes, lambda h: let(gram_hashes(h, k), lambda g: window_minima(g, window - k + 1)))
 
 
-def bounded(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+def bounded(small: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(small) if size <= BROADCAST_BYTES else small
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -50,45 +86,55 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Fingerprints of all document windows meet those of the items in one join; only documents
     with a shared fingerprint then have their windows of that fingerprint compared word by
-    word. Items shorter than a window have no winnowed fingerprint, so
-    their exact word sequences are looked up at every position with the item's first word.
+    word. An item shorter than a window is winnowed as a window of its own length; there are
+    ``window`` lengths at most, and documents are fingerprinted for those that occur.
     """
     items = staged(
-        benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text)).alias("w")).where(F.size("w") > 0),
+        benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text)).alias("w")).where(F.size("w") > 0).select("*", F.least(F.size("w"), F.lit(window)).alias("len")),
         "items",
     )
-    long_ = items.where(F.size("w") >= window)
-    short = items.where(F.size("w") < window)
-    join = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
-    windows = long_.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: join(F.col("w"), i, window))).alias("win"), F.lit(window).alias("len"))
-    windows = windows.unionByName(short.select("item", F.array_join("w", " ").alias("win"), F.size("w").alias("len")))
-    windows = staged(windows.groupBy("win", "len").agg(F.collect_set("item").alias("items")), "windows")
-    prints = staged(long_.select(F.explode(F.array_distinct(minima(F.col("w"), window, k))).alias("fp")).distinct(), "fingerprints")
-    firsts = staged(short.select(F.element_at("w", 1).alias("first"), F.size("w").alias("len")).distinct(), "short")
-    n_windows, n_prints, n_firsts = windows.count(), prints.count(), firsts.count()
+    lengths = sorted(r[0] for r in items.select("len").distinct().collect())
+    # what is done for each length, as one array
+    each = lambda of: F.concat(*(of(n) for n in lengths)) if lengths else F.array()
+    starts = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda i: F.array_join(F.slice("w", i, F.col("len")), " "))
+    owners = items.select("item", "len", F.explode(F.array_distinct(starts)).alias("win")).distinct()
+    owners = staged(owners.select("item", "len", "win", *_window_key(F.col("win"))), "owners")
+    windows = staged(owners.select("win", "len", "_w1", "_w2").distinct(), "windows")
+    per_length = [items.where(F.col("len") == n).select(F.lit(n).alias("len"), F.explode(F.array_distinct(minima(F.col("w"), n, k))).alias("fp")) for n in lengths]
+    prints = per_length[0] if per_length else items.select("len", F.lit(0).cast("long").alias("fp"))
+    for more in per_length[1:]:
+        prints = prints.unionByName(more)
+    prints = staged(prints.distinct(), "fingerprints")
+    print_bytes = 48 * prints.count()
+    window_bytes = windows.agg(F.coalesce(F.sum(F.octet_length("win") + 64), F.lit(0))).first()[0]
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *row_key(F.col(id_col), F.col(text_col)))
     seen = rows.select(*KEY, words_of(F.col("_text")).alias("w"))
+    fingerprint = lambda n: F.transform(F.array_distinct(minima(F.col("w"), n, k)), lambda m: F.struct(F.lit(n).alias("len"), m.alias("fp")))
+    empty = F.array().cast("array<struct<len:int,fp:bigint>>")
     found = (
-        seen.select(*KEY, F.explode(F.array_distinct(minima(F.col("w"), window, k))).alias("fp"))
-        .join(bounded(prints, n_prints), "fp", "left_semi")
+        seen.select(*KEY, F.explode(each(fingerprint) if lengths else empty).alias("p"))
+        .select(*KEY, "p.len", "p.fp")
+        .join(bounded(prints, print_bytes), ["len", "fp"], "left_semi")
         .groupBy(*KEY)
-        .agg(F.collect_set("fp").alias("fps"))
+        .agg(F.collect_set(F.struct("len", "fp")).alias("fps"))
     )
-    mine = rows.join(found, KEY).select(*KEY, "fps", words_of(F.col("_text")).alias("w")).select("*", minima(F.col("w"), window, k).alias("m"))
-    at = F.filter(F.sequence(F.lit(1), F.size("m")), lambda i: F.array_contains("fps", F.get("m", i - 1)))
-    starts = mine.select(*KEY, F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), join(F.col("w"), i, window).alias("win")))).alias("s"))
-    starts = starts.select(*KEY, "s.at", "s.win", F.lit(window).alias("len"))
-    hits = starts.join(bounded(windows, n_windows), ["win", "len"]).select(*KEY, "at", "len", "items")
-    if n_firsts:
-        words = seen.select(*KEY, "w", F.posexplode("w")).select(*KEY, "w", (F.col("pos") + 1).alias("at"), F.col("col").alias("first"))
-        words = words.join(bounded(firsts, n_firsts), "first").where("at + len - 1 <= size(w)")
-        words = words.select(*KEY, "at", "len", F.array_join(F.slice("w", F.col("at"), F.col("len")), " ").alias("win"))
-        hits = hits.unionByName(words.join(bounded(windows, n_windows), ["win", "len"]).select(*KEY, "at", "len", "items"))
-    hits = staged(hits, "hits")
+    mine = rows.join(found, KEY).select(*KEY, "fps", words_of(F.col("_text")).alias("w"))
+
+    def places(n: int) -> Column:
+        """Windows of the length whose fingerprint is shared."""
+        mine_of = F.transform(F.filter("fps", lambda p: p["len"] == n), lambda p: p["fp"])
+        at = lambda fps, m: F.filter(F.transform(m, lambda fp, i: F.when(F.array_contains(fps, fp), i + 1)), lambda i: i.isNotNull())
+        window_at = lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.array_join(F.slice("w", i, n), " ").alias("win"))
+        found = let(mine_of, lambda fps: F.when(F.size(fps) > 0, let(minima(F.col("w"), n, k), lambda m: at(fps, m))).otherwise(F.array().cast("array<int>")))
+        return F.transform(found, window_at)
+
+    spots = mine.select(*KEY, F.explode(each(places) if lengths else F.array().cast("array<struct<at:int,len:int,win:string>>")).alias("s")).select(*KEY, "s.at", "s.win", "s.len")
+    hits = staged(spots.join(bounded(windows, window_bytes), ["win", "len"]).select(*KEY, "at", "len", "_w1", "_w2"), "hits")
     # one span for each position, the longest; the spans of a document are at most its words
     spans = hits.groupBy(*KEY, "at").agg(F.max("len").alias("len")).groupBy(*KEY).agg(covered(F.array_sort(F.collect_list(F.struct("at", "len")))).alias("n_hit"))
-    which = hits.select(*KEY, F.explode("items").alias("item")).distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    which = hits.select(*KEY, "_w1", "_w2").distinct().join(owners.select("item", "_w1", "_w2"), ["_w1", "_w2"])
+    which = which.select(*KEY, "item").distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("item")).alias("items"))
     n_words = F.regexp_count(F.coalesce(F.col("_text"), F.lit("")), F.lit(ANY_CASE)).cast("long")
     out = rows.select(*KEY, "doc_id", n_words.alias("n_words")).join(spans.join(which, KEY), KEY, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -103,6 +149,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
+def _window_key(window: Column) -> list[Column]:
+    """128 bits that stand for a window where its owners are looked up."""
+    return [F.xxhash64(window).alias("_w1"), F.xxhash64(F.lit(5), window).alias("_w2")]
+
+
 def covered(spans: Column) -> Column:
     """Positions that the sorted spans (at, len) cover together."""
     end = lambda s: s["at"] + s["len"] - 1
@@ -124,11 +175,21 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(doc_id.cast("string"), null, text).alias("_k1"), F.xxhash64(F.lit(7), null, text, doc_id.cast("string")).alias("_k2")]
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without its contaminated rows, all columns as they were."""
-    bad = decontaminate(docs, benchmark, id_col, text_col, **how).where("contaminated").select(F.col("_k1").alias("_b1"), F.col("_k2").alias("_b2")).distinct()
+def without(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose key is in ``bad``; columns of any name stay as they are."""
+    b1, b2 = free(docs, "b1"), free(docs, "b2")
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    return docs.join(bad, (k1 == F.col("_b1")) & (k2 == F.col("_b2")), "left_anti")
+    bad = bad.select(F.col("_k1").alias(b1), F.col("_k2").alias(b2)).distinct()
+    return docs.join(bad, (k1 == F.col(b1)) & (k2 == F.col(b2)), "left_anti")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window, all columns as they were.
+
+    What is left holds no window at all, however long the document; ``contaminated``, a share of
+    the words, is a figure for reports.
+    """
+    return without(docs, decontaminate(docs, benchmark, id_col, text_col, **how).where("n_hit > 0"), id_col, text_col)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
