@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .decontaminate import row_key
+from .decontaminate import row_key, without
 from .textkit import U, chunks, mix
 
 #: Blended spectrum: presence of the byte n-grams of these lengths, hashed into BUCKETS.
@@ -21,13 +21,18 @@ PER_LANGUAGE, MOST_TEXTS, LANDMARKS = 200, 4000, 256
 RIDGE = 1e-2
 #: Texts with less evidence than this are rejected by ``accepted``.
 REJECT_BELOW = 0.25
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDY = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 _FOLD[0x30:0x3A] = 0x30
 _FOLD[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0x20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of category L is there; numerals such as a half or a Roman one are none."""
+    return any(m[0].isalpha() for m in _WORDY.finditer(text))
+
+
 def present(data: np.ndarray, flags: np.ndarray) -> np.ndarray:
     """The buckets of the n-grams that a text holds, ascending. ``flags`` is scratch of BUCKETS zeros.
 
@@ -72,6 +77,17 @@ class Model:
         self.labels, self.weights, self.bias = labels, weights, bias
         self.seen, self.alien, self.clean = seen, alien, clean
 
+    def product(self, has: list[np.ndarray], evidence: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Unit presence rows of texts times the weights, and the texts' coverage by each label.
+
+        The rows are sparse (``has`` lists the buckets of each text, at least one), so the
+        product is a gather of all their buckets' weights and a sum over each row's stretch.
+        """
+        size = np.array([len(h) for h in has])
+        which, begin = np.concatenate(has), np.cumsum(size) - size
+        rows = np.add.reduceat(self.weights[which].astype(np.float64), begin, axis=0) / np.sqrt(size)[:, None]
+        return rows, np.add.reduceat(self.seen[which].astype(np.float64), begin, axis=0) / size[:, None] if evidence else None
+
 
 def fit(labels: list[str], bits: list[bytes], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """One-versus-rest kernel ridge regression in the Nystroem space of some of the texts.
@@ -131,11 +147,12 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     per label, ``most`` at most, whole. None if there is no label."""
     spread = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), spread.alias("h"), F.col(id_col).cast("string").alias("i"))
-    # first the ids alone are ranked; only chosen texts are kept
+    # first the ids alone are ranked; only chosen texts are kept, repeated rows once
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))
     keys = labelled.select("lang", "h", "i").withColumn("r", rank).where(F.col("r") <= per_language).orderBy("r", "lang").limit(most)
-    chosen = labelled.join(F.broadcast(keys.select("lang", "h", "i", "r")), ["lang", "h", "i"])
-    rows = chosen.select("text", F.concat_ws("\x00", F.format_string("%09d", "r"), F.col("lang"), F.col("i")).alias("lang")).mapInArrow(_features, "lang string, bits binary").collect()
+    keys = keys.groupBy("lang", "h", "i").agg(F.min("r").alias("r"))
+    chosen = labelled.withColumn("i", F.coalesce("i", F.lit(""))).join(F.broadcast(keys.withColumn("i", F.coalesce("i", F.lit("")))), ["lang", "h", "i"]).dropDuplicates(["lang", "h", "i"])
+    rows = chosen.select("text", F.concat_ws("\x00", F.format_string("%09d", "r"), F.col("lang"), F.col("i"), F.col("h").cast("string")).alias("lang")).mapInArrow(_features, "lang string, bits binary").collect()
     if not rows:
         return None
     rows = sorted({r["lang"]: r["bits"] for r in rows}.items())
@@ -149,25 +166,23 @@ def _predict(model: Model | None, evidence: bool):
             lang, score, sure = [], [], []
             texts = batch.column("text")
             for row, data, offs in chunks(texts):
-                x, known = np.zeros((len(offs) - 1, len(model.labels) if model else 1), np.float32), []
-                cover = np.zeros_like(x)
-                for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-                    letters = b > a and _LETTER.search(texts[row + i].as_py()) is not None
-                    known.append(bool(letters and model))
-                    if known[-1]:
-                        has = present(data[a:b], flags)
-                        x[i] = model.weights[has].sum(axis=0) / np.sqrt(len(has))
-                        if evidence:
-                            cover[i] = model.seen[has].mean(axis=0)
+                known = np.array([bool(model and b > a and has_letter(texts[row + i].as_py())) for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))])
+                has = [present(data[offs[i] : offs[i + 1]], flags) for i in np.flatnonzero(known)]
+                x, cover = np.zeros((len(known), len(model.labels) if model else 1)), None
+                if has:
+                    x[known], covered = model.product(has, evidence)
+                    if evidence:
+                        cover = np.zeros_like(x)
+                        cover[known] = covered
                 s = x + (model.bias if model else 0)
                 best = s.argmax(axis=1)
-                for i, ok in enumerate(known):
+                for i, ok in enumerate(known.tolist()):
                     lang.append(model.labels[best[i]] if ok else "und")
                     score.append(float(min(max(s[i, best[i]], 0.0), 1.0)) if ok else 0.0)
                     if evidence:
                         k = best[i]
                         span = model.clean[k] - model.alien[k] if ok else 0.0
-                        sure.append(float(min(max((cover[i, k] - model.alien[k]) / span, 0.0), 1.0)) if span > 0 else float(ok))
+                        sure.append(float(min(max((cover[i, k] - model.alien[k]) / span, 0.0), 1.0)) if ok and span > 0 else float(ok))
             rest = [batch.column(c) for c in batch.schema.names if c != "text"]
             more = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())} | ({"evidence": pa.array(sure, pa.float64())} if evidence else {})
             yield pa.RecordBatch.from_arrays([*rest, *more.values()], [*(c for c in batch.schema.names if c != "text"), *more])
@@ -198,8 +213,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = train(docs.where(~held_out(F.col(id_col))), lang_col, text_col, id_col)
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
     scored = predict(docs.select(k1, k2, F.col(text_col)), model, text_col, ["_k1", "_k2"], evidence=True)
-    bad = scored.where((F.col("lang_pred") == "und") | (F.col("evidence") < below)).select(F.col("_k1").alias("_b1"), F.col("_k2").alias("_b2")).distinct()
-    return docs.join(bad, (k1 == F.col("_b1")) & (k2 == F.col("_b2")), "left_anti")
+    return without(docs, scored.where((F.col("lang_pred") == "und") | (F.col("evidence") < below)), id_col, text_col)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
