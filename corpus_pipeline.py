@@ -16,7 +16,7 @@ from quillspark.llm.decontaminate import drop_contaminated
 from quillspark.llm.exact_dedup import drop_exact_duplicates
 from quillspark.llm.jaccard_join import drop_near_duplicates
 from quillspark.llm.language_id import accepted
-from quillspark.llm.mixing import mix
+from quillspark.llm.mixing import mixed_documents
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +35,15 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated with benchmark passages."""
+    """Documents without a benchmark window; one window is enough for a document to go."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each document goes into the mix: all documents, those with no copy too."""
-    return mix(docs)
+    """The documents with how often each goes into the mix, those with no copy too.
+
+    ``quillspark.llm.mixing.repeated_documents`` makes the training set of it."""
+    return mixed_documents(docs)
 
 
 STAGES = [

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, staged, table
+from .common import components, free, staged, table
 from .decontaminate import row_key
 from .textkit import U, chunks, mix, seeds, shingles
 
@@ -401,11 +401,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = found.where(~bare).groupBy("_class").agg(F.min(first).alias("k")).select("k._k1", "k._k2")
     kept = kept.unionByName(found.where(bare).select("_k1", "_k2")).distinct()
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    marked = docs.withColumns({"_r1": k1, "_r2": k2})
-    out = marked.join(kept, (F.col("_r1") == F.col("_k1")) & (F.col("_r2") == F.col("_k2")), "left_semi")
-    if not found.groupBy("_k1", "_k2").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["_r1", "_r2"])
-    return out.drop("_r1", "_r2")
+    r1, r2 = free(docs, "r1"), free(docs, "r2")
+    again = not found.groupBy("_k1", "_k2").count().where("count > 1").isEmpty()
+    marked = docs.withColumns({r1: k1, r2: k2})
+    kept = kept.select(F.col("_k1").alias(free(marked, "k1")), F.col("_k2").alias(free(marked, "k2")))
+    out = marked.join(kept, (F.col(r1) == F.col(kept.columns[0])) & (F.col(r2) == F.col(kept.columns[1])), "left_semi")
+    if again:
+        out = out.dropDuplicates([r1, r2])
+    return out.drop(r1, r2)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
