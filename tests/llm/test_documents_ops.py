@@ -10,7 +10,7 @@ from quillspark.llm import decontaminate, exact_dedup, jaccard_join, mixing, suf
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, w string, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, w string, key string, _b1 string, _k1 string, _r2 string, _sha string, _key string, copies string"
 
 
 def words(text):
@@ -19,7 +19,7 @@ def words(text):
 
 def frame(spark, rows, parts=3):
     """Rows (id, text[, source]) with further columns whose names clash with inner ones."""
-    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", None, "x", "y", "z") for r in rows]
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", None, *"xyzabcdef") for r in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(parts)
 
 
@@ -90,7 +90,7 @@ def brute_windows(rows, items):
 
 @pytest.mark.parametrize("with_short", [False, True])
 def test_decontaminate(spark, with_short):
-    rows = corpus(2) + [(8, ""), (None, "word"), (12, "the " * 500)]
+    rows = corpus(2) + [(8, ""), (None, "word"), (12, "the " * 500), (15, "filler " * 600 + "a b c d e f g h i j k l m n")]
     items = [(k, " ".join(words(rows[3 * k][1])[3:30])) for k in range(20)] + [(3, "a b c d e f g h i j k l m n"), (100, " ".join(words(rows[0][1])[:40]))]
     items += [(101, "the " * 20)]
     if with_short:
@@ -98,9 +98,21 @@ def test_decontaminate(spark, with_short):
     bench = spark.createDataFrame([(i, t, "x") for i, t in items if with_short or len(words(t)) >= 13], "item_id long, text string, w string")
     got = decontaminate.decontaminate(frame(spark, rows), bench).drop("_k1", "_k2")
     assert Counter(map(tuple, got.collect())) == brute_windows(rows, [(r[0], r[1]) for r in bench.collect()])
+    # a single window is enough for a document to go
     clean = decontaminate.drop_contaminated(frame(spark, rows), bench)
-    bad = sum(v for k, v in brute_windows(rows, [(r[0], r[1]) for r in bench.collect()]).items() if k[5])
-    assert clean.count() == len(rows) - bad
+    want = brute_windows(rows, [(r[0], r[1]) for r in bench.collect()])
+    assert clean.count() == sum(v for k, v in want.items() if not k[2]) < len(rows)
+    assert any(k[2] and not k[5] for k in want) and clean.columns == frame(spark, rows).columns
+
+
+def test_decontaminate_short_items_stay_small(spark):
+    """Items below a window: one small row for each distinct word, none with the words of the text."""
+    text = " ".join(f"w{i}" for i in range(3000))
+    bench = spark.createDataFrame([(1, "w5"), (2, "w7 w8 w9"), (3, "w2998 w2999"), (4, "w9 w8")], "item_id long, text string")
+    got = decontaminate.decontaminate(frame(spark, [(1, text), (2, "w9 w8 w7")]), bench)
+    assert sorted(tuple(r)[:4] for r in got.drop("_k1", "_k2").collect()) == [(1, 3000, 6, 3), (2, 3, 2, 1)]
+    plan = got._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
 def test_empty_tables(spark):
@@ -137,6 +149,27 @@ def test_mix(spark):
     assert Counter((r.doc_id, r.copies) for r in got) == Counter((r.doc_id, r.copies) for r in again)
 
 
+def test_mixed_documents(spark):
+    rows = corpus(3, 60)
+    docs = frame(spark, rows)
+    got = mixing.mixed_documents(docs)
+    assert got.columns == [c for c in docs.columns if c != "copies"] + ["size", "source_size", "target", "rate", "copies", "taken"]
+    out = got.collect()
+    assert Counter((r.doc_id, r.text, r.source, r._row) for r in out) == Counter((i, t, s, "x") for i, t, s in rows)
+    assert Counter((r.doc_id, r.copies) for r in out) == Counter((r.doc_id, r.copies) for r in mixing.mix(docs).collect())
+    assert mixing.repeated_documents(got).count() == sum(r.copies for r in out)
+
+
+def test_multipliers_far_out(spark):
+    """Roots far beyond the first bracket, and an error where there is none within the rounds."""
+    hist = spark.createDataFrame([(0, 1.0, 5), (1, 0.001, 10)], "k int, x double, n long")
+    state = [{"k": 0, "size": 5, "target": 5 * 1e-40, "scale": 1.0}, {"k": 1, "size": 0.01, "target": 0.0299, "scale": 1.0}]
+    lam = mixing.solve_dual(hist, state)
+    assert lam[0] == pytest.approx(-92.1034, abs=1e-3) and lam[1] == pytest.approx(1095.273, abs=1e-2)
+    with pytest.raises(RuntimeError):
+        mixing.solve_dual(hist, state, rounds=2)
+
+
 def test_targets_limits():
     assert mixing.targets({"a": 10, "b": 1000, None: 100}) == pytest.approx({"a": 30, "b": 780, None: 300})
     assert mixing.targets({"a": 0, "b": 0}) == {"a": 0, "b": 0}
@@ -228,7 +261,7 @@ def brute_removed(rows, n=100):
     return Counter(out)
 
 
-@pytest.mark.parametrize("pieces", [2000, 1])
+@pytest.mark.parametrize("pieces", [256, 1])
 def test_suffix(spark, monkeypatch, pieces):
     monkeypatch.setattr(suffix_dedup, "PIECES", pieces)
     rows = [(i, (t or "") if i != 7 else None) for i, t, _ in corpus(6)]
@@ -236,6 +269,17 @@ def test_suffix(spark, monkeypatch, pieces):
     assert Counter(map(tuple, suffix_dedup.suffix_dedup(frame(spark, rows)).collect())) == brute_removed(rows)
 
 
+def test_suffix_hot_passages(spark, monkeypatch):
+    """Lines of many lengths between unlike contexts, so that anchors meet in a great many pieces; and periodic texts."""
+    monkeypatch.setattr(suffix_dedup, "PIECES", 3)
+    rng = random.Random(8)
+    some = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    lines = [some(k) for k in (30, 76, 99, 100, 101, 150, 260)]
+    rows = [(i, some(rng.randint(0, 120)) + rng.choice(lines) + some(rng.randint(0, 120)) + rng.choice(lines)[: rng.randint(20, 300)]) for i in range(160)]
+    rows += [(1000 + i, ("ab" * 300)[i % 2 :] + some(i % 3) + "ab" * (40 + i)) for i in range(20)]
+    assert Counter(map(tuple, suffix_dedup.suffix_dedup(frame(spark, rows)).collect())) == brute_removed(rows)
+
+
 def test_suffix_odd_ids(spark):
     rows = [(1, "a" * 150), (1, "a" * 150), (None, "a" * 120), (1, "b" * 10), (None, None)]
     got = Counter(tuple(r)[:4] for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect())

@@ -39,6 +39,38 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch, compression):
         assert data.count(b"WARC-Type: response") == len(rows) - 2
 
 
+def test_warc_skips_what_a_predicate_rejects(spark, tmp_path):
+    """Bytes unpacked under a predicate on the type: those of the matching records alone."""
+    from pyspark.sql.datasource import EqualTo
+
+    body = "".join(random.Random(3).choice("abcdefgh") for _ in range(50_000))
+    rows = [(i, "u", body if i % 10 == 0 else f"{i}{body}") for i in range(40)] + [(None, "u", body), (5, "u", body), (5, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(warc.records(pages), str(tmp_path / "w"))
+    whole = warc.WarcReader({"path": str(tmp_path / "w"), "payload": "digest"})
+    some = warc.WarcReader({"path": str(tmp_path / "w"), "payload": "digest"})
+    assert list(some.pushFilters([EqualTo(("record_type",), "revisit")])) == []
+    count = {}
+    for name, reader in (("all", whole), ("revisits", some)):
+        count[name] = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    assert count == {"all": 43, "revisits": 5}  # pages 0, 10 and 20, one without id, and a repeated id
+    assert some.unpacked < 5 * 1000 < whole.unpacked
+
+
+def test_warc_null_and_repeated_ids(spark, tmp_path, monkeypatch):
+    big = "long text " * 200
+    rows = [(None, "a", big), (None, "b", None), (7, "c", big), (7, "d", big), (3, "e", big), (4, "f", "x" * 3_000_000), (None, "g", "lone " * 400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = []
+    for limit in (1 << 20, -1):  # broadcast, and joined by page id
+        monkeypatch.setattr(warc, "BROADCAST_BYTES", limit)
+        path = str(tmp_path / f"w{limit}")
+        warc.write_warc(warc.records(pages), path)
+        got.append(Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_warc(spark, path, "digest").collect()))
+    want = Counter([(None, "revisit", 7, 2000), (None, "response", None, 0), (7, "response", None, 2000), (7, "response", None, 2000), (3, "revisit", 7, 2000), (4, "response", None, 3_000_000), (None, "response", None, 2000)])
+    assert got == [want, want]
+
+
 def test_warc_empty_and_foreign(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(warc.records(none), str(tmp_path / "e"))
@@ -82,6 +114,37 @@ def test_quote_links(spark):
     assert chats["t", 1] == [rows[0][3], "My answer", "Also", "Thanks", "Late", ""]
 
 
+def test_quote_links_odd_input(spark):
+    """Clashing names, no rows, a hot root, a long text, and a paragraph of very many lines."""
+    schema = "conv string, n long, role string, text string, quoted string, parent int, own string, root int, depth int, _t string, _o string"
+    long_ = "\n".join(f"line {i}" for i in range(40_000))
+    rows = [("a", 0, "r", "Start"), *(("a", i, "r", f"> start\n\nReply {i}") for i in range(1, 1500)), ("b", 1, "r", long_), ("b", 2, "r", "\n".join("> " + x for x in long_.upper().split("\n")) + "\nYes"), ("b", None, "r", "> Yes")]
+    m = spark.createDataFrame([(*r, "q", 1, "o", 2, 3, "t", "o") for r in rows], schema).repartition(3)
+    out = quote_links.reply_order(quote_links.link_quotes(m, "conv", "n"), "conv", "n")
+    got = out.collect()
+    assert len(got) == len(rows) and sorted(out.columns) == sorted([*m.columns, "linked"])
+    assert {(r.parent, r.root, r.depth) for r in got if r.conv == "a" and r.n} == {(0, 0, 1)}
+    assert next(r.parent for r in got if r.conv == "b" and r.n == 2) == 1
+    built = quote_links.chats(out, "conv", "n").collect()
+    hot = sorted((r for r in built if r.conv == "a"), key=lambda r: r.part)
+    assert [len(r.messages) for r in hot] == [256] * 5 + [220] and [x.place for r in hot for x in r.messages] == list(range(1500)) == [x.order for r in hot for x in r.messages]
+    none = m.limit(0)
+    assert quote_links.chats(quote_links.reply_order(quote_links.link_quotes(none, "conv", "n"), "conv", "n"), "conv", "n").count() == 0
+
+
+def test_quote_links_against_sql(spark):
+    import __spark_entry__
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    got = __spark_entry__.queries()["op4_quote_links"](spark, sf)
+    want = con.sql(__spark_entry__.oracle_sql()["op4_quote_links"])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
+
+
 def test_language(spark):
     rng = random.Random(2)
     kinds = {"aa": "the and of with ing".split(), "bb": "der und nicht ein keit".split(), "cc": "les une pour être çon".split()}
@@ -101,9 +164,42 @@ def test_language(spark):
     assert left.columns == docs.columns and left.count() == len(rows) - 3
     none = docs.limit(0)
     assert language_id.train(none) is None
+    assert language_id.predict(none, model, keep=["doc_id"]).count() == 0 and language_id.accepted(none).count() == 0
+    # numerals are no letters
+    odd = spark.createDataFrame([(1, "½ ²"), (2, "① Ⅷ _ 9"), (3, "½ x")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language_id.predict(odd, model, keep=["doc_id"]).orderBy("doc_id").collect()] == [True, True, False]
     assert [r.lang_pred for r in language_id.predict(docs.limit(2), None).collect()] == ["und"] * 2
 
 
+def test_kernel_ridge_by_brute_force(spark):
+    """Scores against kernel ridge regression written out with sets, all texts being landmarks."""
+    import numpy as np
+
+    rng = random.Random(9)
+    kinds = {"aa": "the and of with ing".split(), "bb": "der und nicht ein keit".split()}
+    texts = [(k, " ".join(rng.choice(kinds[k]) for _ in range(rng.randint(2, 9)))) for k in kinds for _ in range(12)]
+    rows = [(i, t, k) for i, (k, t) in enumerate(texts)] + [(0, texts[0][1], "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    flags = np.zeros(language_id.BUCKETS, bool)
+    has = lambda t: set(language_id.present(np.frombuffer(t.encode(), np.uint8), flags).tolist())
+    sets = [has(t) for _, t in texts]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    gram = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.array([[float(k == name) for name in kinds] for k, _ in texts])
+    # centred kernel ridge in its dual form
+    n = len(texts)
+    centre = np.eye(n) - 1 / n
+    alpha = np.linalg.solve(centre @ gram @ centre + language_id.RIDGE * np.eye(n), centre @ y)
+    new = ["the and of ing", "der keit und", "with nicht", "of"]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), model, keep=["doc_id"]).collect()}
+    for i, t in enumerate(new):
+        row = np.array([kernel(has(t), b) for b in sets])
+        want = (row - gram.mean(axis=0)) @ centre @ alpha + y.mean(axis=0)
+        assert got[i].lang_pred == list(kinds)[int(want.argmax())]
+        assert got[i].score == pytest.approx(min(max(want.max(), 0), 1), abs=2e-3)
+
+
 def test_unseen_language_is_rejected(spark):
     rng = random.Random(4)
     kinds = {"aa": "the and of with ing".split(), "bb": "der und nicht ein keit".split(), "cc": "les une pour être çon".split(), "dd": "los que para con del".split()}
@@ -175,8 +271,9 @@ def test_secrets(spark):
     rng = random.Random(4)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     upper = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
-    rows = [(i, f"é words thatareverylong {rng.choice(['token', 'API_KEY', 'Secret', 'passwd'])} = \"{hexes(40)}\" and AKIA{upper(16)} end{i}") for i in range(80)]
-    rows += [(100, None), (101, ""), (102, "tokenK = 'abcdefghijkl' toKen:abcdefghijklm"), (103, "AKIA" * 6), (104, f"xx {upper(20)} yy"), (105, "plainwordsonlyhere anotherplainword " * 50), (106, "token=short secret=password=longenoughvalue")]
+    mixed = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+    rows = [(i, f"é words thatareverylong {rng.choice(['token', 'API_KEY', 'Secret', 'passwd'])} = \"{mixed()}\" and AKIA{upper(16)} {hexes(40)} end{i}") for i in range(80)]
+    rows += [(100, None), (101, ""), (102, "tokenK = 'abcdefghijkl' toKen:abcdefghijklm"), (103, "AKIA" * 6), (104, f"xx {mixed()} yy"), (105, "plainwordsonlyhere anotherplainword " * 50), (106, "token=short secret=password=longenoughvalue")]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, spans int").repartition(2)
     got = {r.doc_id: r for r in secret_scan.secret_scan(docs).collect()}
     for i, text in rows:
@@ -189,6 +286,45 @@ def test_secrets(spark):
     assert secret_scan.secret_scan(docs.limit(0)).count() == 0
 
 
+def test_formats_on_withheld_credentials():
+    """Precision and recall over credentials that were not learnt; addresses, words and hosts are none."""
+    rng = random.Random(6)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    word = lambda: "".join(rng.choice(["tion", "ing", "the", "er", "heit", "que", "on"]) for _ in range(rng.randint(4, 8))).ljust(12, "s")
+    formats = secret_scan.Formats({"assign": [hexes(40) for _ in range(200)], "access": [key() for _ in range(200)], "hex": [hexes(16)] * 3}, [word() for _ in range(600)])
+    assert formats.skipped == {"hex": 3}
+    other = [word() for _ in range(2000)] + [".".join(str(rng.randrange(100, 256)) for _ in range(4)) for _ in range(200)] + ["mail7.example.com", "2024-01-31T10.00", "/usr/local/share/x"]
+    for credentials in ([hexes(40) for _ in range(300)], [key() for _ in range(300)]):
+        found = secret_scan.assess(formats, credentials, other)
+        assert found["recall"] >= 0.95 and found["precision"] >= 0.99 and found["false_rate"] <= 0.001, found
+    assert formats.is_secret(key()) and not formats.is_secret(key()[:13])
+    assert not formats.is_secret(key() * 3)
+
+
+def test_candidates_around_base_spans():
+    text = "host/deadbeefdeadbeef/longtailofletters xdeadbeefdeadbeefx"
+    assert [text[a:b] for a, b in secret_scan.candidates(text, secret_scan.base_spans(text))] == ["/longtailofletters"]
+    assert secret_scan.candidates("a" * 11 + " " + "b.c" * 4, []) == [(12, 24)]
+
+
+def test_secrets_long_text(spark):
+    text = "words and " * 60_000 + 'token = "' + "0f" * 20 + '" ' + "x" * 300_000
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "plain")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.secret_scan(docs).collect()}
+    assert got[1].n_assign == got[2].n_assign == 1 and got[1].n_hex == 1 and got[3].spans == ""
+
+
+def test_merged_automaton_by_hand():
+    """Ten times "a", ten times "b" and an alphabet of two: states behind a and b are alike and merge; the score is the smoothed product."""
+    import math
+
+    automaton = secret_scan.Automaton(["a"] * 10 + ["b"] * 10)
+    assert automaton.moves[0]["a"] == automaton.moves[0]["b"]
+    start, end = 20 + 35.5, automaton.passed[automaton.moves[0]["a"]] + 35.5
+    assert automaton.score("a") == pytest.approx(math.log2(10.5 / start) + math.log2((automaton.passed[automaton.moves[0]["a"]] + 0.5) / end))
+
+
 def test_pdfa_learns_a_loop():
     words = ["ab" * n for n in range(1, 40)]
     automaton = secret_scan.Automaton(words)
