@@ -21,6 +21,8 @@ PER_LANGUAGE, MOST_TEXTS, LANDMARKS = 200, 4000, 256
 RIDGE = 1e-2
 #: Texts with less evidence than this are rejected by ``accepted``.
 REJECT_BELOW = 0.25
+#: Evidence of a longer text is that of its parts of so many bytes, if it is more: a text may be in several languages.
+PART = 1 << 12
 _WORDY = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
@@ -89,6 +91,20 @@ class Model:
         return rows, np.add.reduceat(self.seen[which].astype(np.float64), begin, axis=0) / size[:, None] if evidence else None
 
 
+    def evidence(self, coverage: float, k: int) -> float:
+        """Where a coverage by label ``k`` lies between strange and clean texts, 0 to 1."""
+        span = self.clean[k] - self.alien[k]
+        return float(min(max((coverage - self.alien[k]) / span, 0.0), 1.0)) if span > 0 else 1.0
+
+    def parts_evidence(self, data: np.ndarray, flags: np.ndarray) -> float:
+        """The mean evidence of a text's parts of about PART bytes, each for its own best label."""
+        cuts = np.linspace(0, len(data), -(-len(data) // PART) + 1).astype(int)
+        has = [present(data[a:b], flags) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows, cover = self.product(has, True)
+        best = (rows + self.bias).argmax(axis=1)
+        return float(np.mean([self.evidence(cover[i, k], k) for i, k in enumerate(best)]))
+
+
 def fit(labels: list[str], bits: list[bytes], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """One-versus-rest kernel ridge regression in the Nystroem space of some of the texts.
 
@@ -168,12 +184,13 @@ def _predict(model: Model | None, evidence: bool):
             for row, data, offs in chunks(texts):
                 known = np.array([bool(model and b > a and has_letter(texts[row + i].as_py())) for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))])
                 has = [present(data[offs[i] : offs[i + 1]], flags) for i in np.flatnonzero(known)]
-                x, cover = np.zeros((len(known), len(model.labels) if model else 1)), None
+                x, cover, parts = np.zeros((len(known), len(model.labels) if model else 1)), None, {}
                 if has:
                     x[known], covered = model.product(has, evidence)
                     if evidence:
                         cover = np.zeros_like(x)
                         cover[known] = covered
+                        parts = {int(i): model.parts_evidence(data[offs[i] : offs[i + 1]], flags) for i in np.flatnonzero(known) if offs[i + 1] - offs[i] > PART}
                 s = x + (model.bias if model else 0)
                 best = s.argmax(axis=1)
                 for i, ok in enumerate(known.tolist()):
@@ -181,8 +198,7 @@ def _predict(model: Model | None, evidence: bool):
                     score.append(float(min(max(s[i, best[i]], 0.0), 1.0)) if ok else 0.0)
                     if evidence:
                         k = best[i]
-                        span = model.clean[k] - model.alien[k] if ok else 0.0
-                        sure.append(float(min(max((cover[i, k] - model.alien[k]) / span, 0.0), 1.0)) if ok and span > 0 else float(ok))
+                        sure.append(max(model.evidence(cover[i, k], k), parts.get(i, 0.0)) if ok else 0.0)
             rest = [batch.column(c) for c in batch.schema.names if c != "text"]
             more = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())} | ({"evidence": pa.array(sure, pa.float64())} if evidence else {})
             yield pa.RecordBatch.from_arrays([*rest, *more.values()], [*(c for c in batch.schema.names if c != "text"), *more])
@@ -195,7 +211,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
 
     Null texts and those without a letter are ``und`` with score 0, and so are all if there is no
     model. ``keep`` names the columns that stay beside them. ``evidence`` adds a column of that name, 0 to 1:
-    where the text's coverage by the predicted language lies between strange and clean texts.
+    where the text's coverage by the predicted language lies between strange and clean texts, or its parts'
+    by theirs, if the text is long and that is more.
     """
     keep = list(keep or [])
     base = docs.select(*keep, F.col(text_col).alias("text"))

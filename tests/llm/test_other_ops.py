@@ -207,6 +207,10 @@ def test_unseen_language_is_rejected(spark):
     strange = [(1000, "Все люди рождаются свободными и равными", None, "x"), (1001, "szyby wyłączyć gżegżółka myśmy", None, "x"), (1002, "ᚠᛇᚻ ᛒᛦᚦ ᚠᚱᚩᚠᚢᚱ " * 300, None, "x")]
     docs = spark.createDataFrame(rows + strange, "doc_id long, text string, lang string, score string").repartition(3)
     assert {r.doc_id for r in language_id.accepted(docs).collect()} == set(range(300))
+    # a long text in all of the languages, one after the other, is in no strange one
+    long_ = " ".join(" ".join(rng.choice(kinds[lang]) for _ in range(2500)) for lang in kinds)
+    both = docs.unionByName(spark.createDataFrame([(2000, long_, None, "x"), (2001, strange[0][1] * 500, None, "x")], docs.schema))
+    assert {r.doc_id for r in language_id.accepted(both).collect()} == {*range(300), 2000}
     # one label, or one text of a label: nothing to compare with, and clean texts stay
     few = spark.createDataFrame([r for r in rows if r[2] == "aa"] + rows[1:2] + strange, docs.schema)
     left = {r.doc_id for r in language_id.accepted(few).collect()}
