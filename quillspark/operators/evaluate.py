@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import argparse
+import importlib
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,3 +135,44 @@ def overlaps(cases: DataFrame, key: str, start: str, end: str, after: int = 0) -
 def duplicates(rows: DataFrame, column: str) -> DataFrame:
     """Values that occur more than once."""
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def detector_named(name: str) -> Callable[[DataFrame], DataFrame]:
+    """The function ``package.module:function``, which adds a prediction column to a DataFrame."""
+    module, _, function = name.partition(":")
+    found = getattr(importlib.import_module(module), function) if module and function else None
+    if not callable(found):
+        raise ValueError(f"{name!r} is no package.module:function")
+    return found
+
+
+def report(rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables of an evaluation by name. The rows serve all of them, so cache them or write them first."""
+    return {"totals": totals(rows), "groups": breakdown(rows).orderBy("grouping", *dict.fromkeys(c for s in SETS for c in s)), "confusions": confusions(rows)}
+
+
+def main(arguments: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Command line: evaluate a detector over a file of cases and print the tables."""
+    from ..shipping import ensure_shipped
+    from ..sources.readers import read_cases
+
+    parser = argparse.ArgumentParser(prog="python -m quillspark.operators.evaluate")
+    parser.add_argument("--cases", required=True, help="JSON lines, a case each")
+    parser.add_argument("--detector", help="package.module:function from DataFrame to DataFrame; this engine if absent")
+    parser.add_argument("--column", default="detection", help="the column that the detector adds")
+    given = parser.parse_args(arguments)
+    spark = SparkSession.builder.getOrCreate()
+    ensure_shipped(spark)
+    try:
+        detector = detector_named(given.detector) if given.detector else None
+    except (ImportError, AttributeError, ValueError) as error:
+        parser.error(f"cannot load detector {given.detector}: {error}")
+    tables = report(evaluate(read_cases(spark, given.cases), detector, given.column).cache())
+    for name, table in tables.items():
+        print(name)
+        table.show(1000, truncate=False)
+    return tables
+
+
+if __name__ == "__main__":
+    main()

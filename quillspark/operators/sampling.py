@@ -38,6 +38,15 @@ def line_samples(lines: DataFrame, key: str = "key", words: int = 1000) -> DataF
     return texts.select(key, F.when(F.col("n") >= words, text).otherwise(F.raise_error(F.concat(F.lit("too few words for "), F.col(key)))).alias("text"))
 
 
+def share_of_script(text: str, script: str) -> float:
+    """Share of a text's letters that are of the script; Han counts for Japanese; 0 without letters."""
+    from ..functions.rowlocal import scripts_at
+
+    letters = sum(c.isalpha() for c in text)
+    mine = sum(s == script or (script == "Jpan" and s == "Hani") for _, s in scripts_at(text))
+    return mine / letters if letters else 0.0
+
+
 def choose_windows(lines: list[str], key: str, seed: str, lengths=LENGTHS, per_length: int = 5, lexical=lambda word: any(c.isalpha() for c in word), accept=lambda text: True) -> list[tuple]:
     """Random windows of whole words that start in different lines and differ in text.
 
@@ -76,16 +85,9 @@ def window_cases(lines: DataFrame, key: str = "key", seed: str = "cases", length
     Python's generator makes them reproducible, which no SQL function can; a key's lines are one task's
     input, so this is for evaluation corpora, whose keys are small.
     """
-    from ..functions.rowlocal import scripts_at
-
-    def share(text: str) -> bool:
-        letters = sum(c.isalpha() for c in text)
-        mine = sum(s == script or (script == "Jpan" and s == "Hani") for _, s in scripts_at(text))
-        return bool(letters) and mine / letters >= min_share
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line")
-        rows = choose_windows(list(pdf["text"]), str(pdf[key].iloc[0]), seed, lengths, per_length, accept=share if script else lambda t: True)
+        rows = choose_windows(list(pdf["text"]), str(pdf[key].iloc[0]), seed, lengths, per_length, accept=(lambda t: share_of_script(t, script) >= min_share) if script else lambda t: True)
         return pd.DataFrame(rows, columns=["key", "word_count", "number", "text", "line_start", "line_end"])
 
     return lines.where(F.size(tx.split_words(F.col("text"))) > 0).groupBy(key).applyInPandas(run, CASE)
