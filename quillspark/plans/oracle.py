@@ -138,6 +138,42 @@ def clauses() -> str:
     )
 
 
+def spans(detection: str) -> str:
+    """Spans of the turns and what each is detected as: clauses are detected, those without a script join the one
+    before or the first with one, equal neighbours are one span, and spans are detected on their whole text.
+
+    ``detection`` is the SQL of detecting ``documents``; each use has its own table in that place.
+    """
+    over = "OVER (PARTITION BY conv_id, turn ORDER BY s"
+    of = lambda rows: f"({detection.replace('FROM documents)', f'FROM {rows})')} SELECT * FROM res)"
+    return (
+        f"{clauses()}, cut AS (SELECT conv_id, turn, text, list_sort(list_distinct(list_concat([0, length(text)], [CAST(e AS BIGINT) for e in ends]))) AS c FROM acc), "
+        "bounds AS (SELECT conv_id, turn, c[i] AS s, c[i + 1] AS e, substring(text, c[i] + 1, c[i + 1] - c[i]) AS text FROM (SELECT *, unnest(range(1, len(c))) AS i FROM cut)), "
+        "pieces AS MATERIALIZED (SELECT row_number() OVER (ORDER BY conv_id, turn, s) AS doc_id, CAST(NULL AS VARCHAR) AS lang, * FROM bounds), "
+        f"found_piece AS {of('pieces')}, "
+        "marks AS (SELECT p.*, script || '/' || coalesce(language_code, '') AS mark FROM pieces p JOIN found_piece USING (doc_id)), "
+        f"filled AS (SELECT * REPLACE (coalesce(last_value(mark IGNORE NULLS) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(mark IGNORE NULLS) {over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS mark) FROM marks), "
+        f"changes AS (SELECT *, row_number() {over}) > 1 AND mark IS DISTINCT FROM lag(mark) {over}) AS new FROM filled), "
+        f"islands AS (SELECT *, sum(CAST(new AS INT)) {over}) AS island FROM changes), "
+        "joined AS (SELECT conv_id, turn, min(s) AS s, max(e) AS e, string_agg(text, '' ORDER BY s) AS text FROM islands GROUP BY conv_id, turn, island), "
+        "span AS MATERIALIZED (SELECT row_number() OVER (ORDER BY conv_id, turn, s) AS doc_id, CAST(NULL AS VARCHAR) AS lang, * FROM joined), "
+        f"span_res AS MATERIALIZED (SELECT span.conv_id, span.turn, s, e, r.* FROM span JOIN {of('span')} r USING (doc_id)), "
+        "whole AS MATERIALIZED (SELECT row_number() OVER (ORDER BY conv_id, turn) AS doc_id, CAST(NULL AS VARCHAR) AS lang, conv_id, turn, text FROM conversations), "
+        f"whole_res AS (SELECT whole.conv_id, whole.turn, r.* FROM whole JOIN {of('whole')} r USING (doc_id))"
+    )
+
+
+def summary() -> str:
+    """A row for each turn, from its spans and its whole text."""
+    return (
+        "codes AS (SELECT conv_id, turn, string_agg(language_code, ' ' ORDER BY s) AS languages, count(*) AS n_languages FROM (SELECT conv_id, turn, language_code, min(s) AS s FROM span_res WHERE language_code IS NOT NULL GROUP BY ALL) GROUP BY ALL), "
+        "counts AS (SELECT conv_id, turn, count(*) AS n_spans, count(DISTINCT script) AS n_scripts, bool_or(language_code IS NULL) AS open FROM span_res GROUP BY ALL) "
+        "SELECT conv_id, turn, language_code, coalesce(n_spans, 0) AS n_spans, coalesce(languages, '') AS languages, coalesce(n_scripts, 0) > 1 AS is_mixed_script, coalesce(n_languages, 0) > 1 AS is_mixed_language, "
+        "coalesce(n_scripts, 0) > 1 OR coalesce(n_languages, 0) > 1 AS is_mixed, coalesce(open, false) AS has_unresolved_segments "
+        "FROM whole_res LEFT JOIN counts USING (conv_id, turn) LEFT JOIN codes USING (conv_id, turn)"
+    )
+
+
 def uyghur(letters: str) -> str:
     """Texts in three alphabets: each letter by itself, then the Cyrillic pairs."""
     out = []
@@ -218,5 +254,7 @@ def statements(alphabets: list[tuple[str, str]], letters_for_uyghur: str) -> dic
         "script_letters_respelled": with_(respelled(alphabets), NORM.replace("FROM documents", "FROM resp"), letter_counts()) + f"SELECT doc_id, {', '.join(f'{s} AS {s.lower()}' for s in charsets.SCRIPTS)} FROM lc",
         "scripts_respelled": with_(respelled(alphabets), NORM.replace("FROM documents", "FROM resp"), letter_counts(), dominant_by_order()) + "SELECT lang AS sample, script, script IS NULL AS nothing, count(*) AS n FROM dom JOIN resp USING (doc_id) GROUP BY ALL",
         "case_buckets": "SELECT key, word_count, CAST(5 AS BIGINT) AS n FROM (SELECT DISTINCT printf('d%06d', doc_id // 250) AS key FROM documents WHERE regexp_matches(text, '\\S')), (SELECT unnest([1, 2, 3, 5, 10, 20, 50, 100]) AS word_count)",
+        "detect_mixed_spans": "WITH " + spans(result) + ' SELECT conv_id, turn, s AS start, e AS "end", script, language_code, confidence, resolution FROM span_res',
+        "detect_mixed_summary": "WITH " + spans(result) + ", " + summary(),
         "clause_boundaries": "WITH " + clauses() + " SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat([0, length(text)], [CAST(e AS BIGINT) for e in ends]))), ' ') AS cuts FROM acc",
     }
