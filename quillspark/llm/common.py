@@ -13,6 +13,8 @@ from quillspark.shipping import ensure_shipped
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Bits in a piece of a bitmap, which is what ``bitmap_construct_agg`` makes; bits for each key, and bits at most.
+PIECE, KEY_BITS, MAX_BITS = 8 * 4096, 16, 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,25 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key``, a hash, is not in the column ``key`` of ``keys``.
+
+    No row with such a key is lost; of the others one in ``KEY_BITS`` stays, so an exact join has to follow, which
+    then shuffles what it needs and not the whole table. A bit stands for each key: two bytes a key are broadcast,
+    and 32 MB at most, where more rows stay if there are more keys.
+    """
+    size = min(MAX_BITS, KEY_BITS * keys.count())
+    pieces = max(1, -(-size // PIECE))
+    at = F.pmod(F.col(key), F.lit(pieces * PIECE).cast("long"))
+    piece, bit = F.shiftright(at, 15), at.bitwiseAND(F.lit(PIECE - 1)).cast("int")
+    names = [free(rows, "piece"), free(rows, "bits")]
+    bits = keys.where(F.col(key).isNotNull()).select(piece.alias(names[0]), bit.cast("long").alias("at")).repartition(names[0])
+    bits = bits.groupBy(names[0]).agg(F.bitmap_construct_agg("at").alias(names[1]))
+    byte = F.conv(F.hex(F.substring(F.col(names[1]), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn(names[0], piece).join(F.broadcast(bits), names[0])
+    return found.where(F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1).select(*rows.columns)
+
+
 def ascii_lower(text):
     """Lower-case A-Z alone. ``lower`` does just that for ASCII and is far cheaper there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, free, staged, table
+from .common import components, free, likely, staged, table
 from .decontaminate import row_key
 from .textkit import U, chunks, mix, seeds, shingles
 
@@ -302,7 +302,8 @@ def _buckets(sets: DataFrame, depth: int) -> tuple[DataFrame, DataFrame | None]:
         else:
             steps = sets.select("sid", F.explode(F.array_distinct(F.arrays_zip(f"l{level - 1}", f"l{level}"))).alias("p"))
             now = steps.select("sid", F.col(f"p.l{level}").alias("bucket"), F.col(f"p.l{level - 1}").alias("up"))
-            now = now.where("bucket <> 0").join(above, F.col("up") == F.col("large")).select("sid", "bucket").distinct()
+            # one large bucket at most for each BUCKET rows, so that they are broadcast at any size
+            now = now.where("bucket <> 0").join(F.broadcast(above), F.col("up") == F.col("large")).select("sid", "bucket").distinct()
         size = staged(now.groupBy("bucket").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "buckets")
         met = now.join(size, "bucket")
         last = level == depth
@@ -357,8 +358,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs, (most, depth) = runs_for(recall), deep_runs(recall, similarity, depth)
     buckets, hot = _buckets(sets.select("sid", "l1", "l2", "l3"), depth)
     if hot is not None and most > runs:
-        asked = hot.join(sets.select("sid", F.col("rep._k1").alias("_k1"), F.col("rep._k2").alias("_k2")), "sid")
-        texts = base.select("_k1", "_k2", "text").join(asked.hint("merge"), ["_k1", "_k2"]).select("sid", "text")
+        asked = staged(hot.join(sets.select("sid", F.col("rep._k1").alias("_k1"), F.col("rep._k2").alias("_k2")), "sid"), "hot")
+        texts = likely(base.select("_k1", "_k2", "text"), asked, "_k1").join(asked.hint("merge"), ["_k1", "_k2"]).select("sid", "text")
         further = texts.mapInArrow(_summaries(words, similarity, most, runs), SUMMARY.replace("_k1 long, _k2 long", "sid long"))
         further = further.groupBy("sid").agg(*(F.first(f"l{i}").alias(f"l{i}") for i in (1, 2, 3)))
         buckets = buckets.unionByName(_buckets(staged(further, "further"), depth)[0])
@@ -367,7 +368,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     member = staged(family.join(sets.select("sid", "rep", "copies", "n"), "sid"), "members")
     weight = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / FAMILY_TOKENS), F.ceil(F.count(F.lit(1)) / FAMILY_SETS)).cast("int").alias("nb"))
     asked = member.join(weight, "root").select("root", "sid", "copies", "nb", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int").alias("block"), F.col("rep._k1").alias("_k1"), F.col("rep._k2").alias("_k2"))
-    texts = base.select("_k1", "_k2", "text").join(asked.hint("merge"), ["_k1", "_k2"]).select("root", "sid", "nb", "block", "copies", "text")
+    texts = likely(base.select("_k1", "_k2", "text"), member.select(F.col("rep._k1").alias("_k1")), "_k1")
+    texts = texts.join(asked.hint("merge"), ["_k1", "_k2"]).select("root", "sid", "nb", "block", "copies", "text")
     tokens = texts.mapInArrow(_tokens(words), "grp long, sid long, block int, cross boolean, copies long, tokens array<long>")
     tokens = tokens.repartition("grp").sortWithinPartitions("grp", "sid")
     counted = staged(tokens.mapInArrow(_count(similarity), "sid long, root long, links long"), "links")

@@ -6,7 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from quillspark.llm import decontaminate, exact_dedup, jaccard_join, mixing, suffix_dedup
+from quillspark.llm import common, decontaminate, exact_dedup, jaccard_join, mixing, suffix_dedup
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -246,6 +246,41 @@ def test_jaccard_empty_blocks(spark, monkeypatch):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_near(rows)
 
 
+def shuffled(spark):
+    """Bytes that the shuffles of the session have written."""
+    sc, none = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm.java.util.ArrayList()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_likely_rows(spark):
+    """No row with a key is lost, of the others few stay; columns and null keys are no trouble."""
+    rows = spark.range(-20000, 20000).selectExpr("xxhash64(id) as k", "id as piece", "'x' as bits").repartition(3)
+    keys = rows.where("piece % 10 = 0").select("k")
+    got = common.likely(rows, keys.unionByName(keys).unionByName(spark.sql("SELECT cast(null AS long) AS k")), "k")
+    ids = {r.piece for r in got.collect()}
+    assert got.columns == ["k", "piece", "bits"] and {i for i in range(-20000, 20000) if i % 10 == 0} <= ids
+    assert len(ids) < 4000 + 36000 / 8
+    assert common.likely(rows, keys.where("false"), "k").count() == 0
+
+
+def test_jaccard_shuffles_few_texts(spark, monkeypatch):
+    """Texts outside of families and large buckets stay where they are, and levels are not dealt out for a few buckets."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 40)
+    rng = random.Random(8)
+    some = lambda k: " ".join(f"{rng.getrandbits(48):x}" for _ in range(k))
+    rows = [(i, some(2500), "s") for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end", "s") for i in range(5)]
+    rows += [(2000 + i, f"one very common line stands {i} here", "s") for i in range(100)]
+    docs = frame(spark, rows).cache()
+    docs.count()
+    before = shuffled(spark)
+    got = {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect()}
+    assert got == {(i, i % 1000 if i < 2000 else i, int(i % 1000 < 5 and i < 2000)) for i, *_ in rows}
+    assert shuffled(spark) - before < sum(len(r[1]) for r in rows) / 4
+
+
 def brute_removed(rows, n=100):
     seen, out = set(), []
     for i, t, *_ in sorted(rows):
