@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, free, staged, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: All but ASCII that is neither a digit nor a lower-case letter. Java takes a tenth of the time for the ranges that are
+#: in the class than for the same class as a complement.
+WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
 #: The same words before lower-casing.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANY_CASE = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 WINDOW = 13
 #: Words of a k-gram; a window of 13 words has 13 - K + 1 of them and keeps the least hash.
 K = 6
