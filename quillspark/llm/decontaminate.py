@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, free, staged, table
 
-#: All but ASCII that is neither a digit nor a lower-case letter. Java takes a tenth of the time for the ranges that are
-#: in the class than for the same class as a complement.
+#: All but ASCII that is neither a digit nor a lower-case letter. Java finds the ranges that are in the class
+#: three to ten times as fast as the same class as a complement.
 WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
 #: The same words before lower-casing.
 ANY_CASE = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
