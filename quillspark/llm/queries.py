@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators and their SQL."""
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quote_links, secret_scan, suffix_dedup, token_counts, warc
+from . import decontaminate, exact_dedup, jaccard_join, language_id, mixing, periodic_runs, quote_links, secret_scan, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 ORACLE = {
     "op1_warc": warc.OP1_SQL,
@@ -20,4 +21,5 @@ ORACLE = {
     "op4_quote_links": quote_links.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op10_suffix_dedup": suffix_dedup.OP10_SQL,
+    "op11_periodic_runs": periodic_runs.OP11_SQL,
 }

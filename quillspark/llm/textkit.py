@@ -125,3 +125,38 @@ def window_min(h: np.ndarray, w: int) -> np.ndarray:
         m = np.minimum(m[: len(m) - step], m[step:])
         have += step
     return m
+
+
+#: Bytes that stand for a space in ``split``, of texts whose words are what is not ASCII white space.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(9, 14)]] = True
+#: Each byte as it stands in a term: A-Z lower-cased, a space where no term is.
+_TERM = np.where(_WORD, _LOWER, np.uint8(0x20))
+
+
+def split(column: pa.Array, limit: int = CHUNK, terms: bool = False):
+    """(first row, words, first word of each text and the end, texts) of runs of rows; a null text is an empty one.
+
+    Words are runs of other than ASCII white space; with ``terms`` runs of ASCII letters and digits and all
+    beyond ASCII, A-Z lower-cased.
+    """
+    for a, data, offs in chunks(column, limit):
+        body = _TERM[data] if terms else np.ascontiguousarray(data)
+        texts = pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(np.ascontiguousarray(offs)), pa.py_buffer(body))
+        lists = pc.ascii_split_whitespace(texts)
+        flat, at = lists.values, lists.offsets.to_numpy()
+        there = np.asarray(pc.binary_length(flat)) > 0
+        if not there.all():
+            at = np.concatenate([[0], np.cumsum(there)])[at]
+            flat = flat.filter(pa.array(there))
+        yield a, flat, at.astype(np.int64), texts
+
+
+def codes(words: pa.Array) -> np.ndarray:
+    """A number for each word, equal for equal words."""
+    return np.asarray(words.dictionary_encode().indices).astype(np.int64)
+
+
+def owners(at: np.ndarray) -> np.ndarray:
+    """The text of each word, given the first word of each text and the end."""
+    return np.repeat(np.arange(len(at) - 1), np.diff(at))
