@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators and their SQL."""
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, mixing, periodic_runs, quote_links, secret_scan, suffix_dedup, token_counts, warc
+from . import decontaminate, exact_dedup, jaccard_join, language_id, mixing, periodic_runs, quality_rules, quote_links, ranked_search, secret_scan, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_quality_rules": quality_rules.op12_quality_rules,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 ORACLE = {
     "op1_warc": warc.OP1_SQL,
@@ -22,4 +24,6 @@ ORACLE = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op10_suffix_dedup": suffix_dedup.OP10_SQL,
     "op11_periodic_runs": periodic_runs.OP11_SQL,
+    "op12_quality_rules": quality_rules.OP12_SQL,
+    "op13_ranked_search": ranked_search.OP13_SQL,
 }

@@ -90,3 +90,131 @@ def test_op11_against_brute_force(spark, tmp_path):
         assert r["runs_sha256"] == hashlib.sha256("".join(f"{a},{b},{c}\n" for a, b, c in runs).encode()).hexdigest()
         assert r["collapsed_sha256"] == hashlib.sha256(" ".join(w for i, w in enumerate(ws) if i not in gone).encode()).hexdigest()
     assert planted > 15
+
+
+# --- op12 -------------------------------------------------------------------------------------
+
+from quillspark.llm import quality_rules as qr  # noqa: E402
+from quillspark.llm import ranked_search as rs  # noqa: E402
+
+_WS = "[ \t\n\x0b\x0c\r]+"
+
+
+def brute_counts(text):
+    import re
+
+    text = text or ""
+    ws = [w for w in re.split(_WS, text) if w]
+    lines = [x for x in text.split("\n") if re.sub(_WS, "", x)]
+    wins = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    inside = {j for i, w in enumerate(wins) if wins.count(w) > 1 for j in range(i, i + 5)}
+    return {
+        "n_words": len(ws), "word_chars": sum(map(len, ws)), "n_symbols": sum(c in "#*$%&|<>" for c in text),
+        "n_dup_lines": sum(x in lines[:i] for i, x in enumerate(lines)), "n_repeat_words": len(inside), "n_lines": len(lines),
+        "n_ended_lines": sum(x.strip(" \t\n\x0b\x0c\r")[-1] in qr.ENDS for x in lines), "n_letters": sum(c.isascii() and c.isalpha() for c in text),
+        "n_capitals": sum("A" <= c <= "Z" for c in text), "n_exclamations": text.count("!"), "n_same_neighbours": sum(a == b for a, b in zip(ws, ws[1:], strict=False)),
+        "n_distinct_words": len(set(ws)), "n_odd_words": sum(w[-1] in "#*$%&|<>@^_~=+/\\" for w in ws), "n_bare_words": sum(not any(c > "\x7f" or c.isalnum() for c in w) for w in ws),
+    }
+
+
+def test_counts_of_whole_texts(spark):
+    rng = random.Random(5)
+    pieces = ["a", "bé", "b", "A!", "x#", "|", "日本。", "\n", " \t", "\x0b", " ", "c.", "\n\n"]
+    texts = [None, "", " ", "\n", "a b c d e a b c d e", *("".join(rng.choice(pieces) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(1, 120))) for _ in range(200)), "w " * 300_000]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["id"]: r.asDict() for r in qr.with_counts(spark.createDataFrame(rows, "id int, text string")).drop("text").collect()}
+    for i, t in rows[:-1]:
+        assert {k: got[i][k] for k in qr.COUNTS} == brute_counts(t), t
+    assert got[len(rows) - 1]["n_repeat_words"] == 300_000 and got[len(rows) - 1]["n_distinct_words"] == 1
+
+
+def _em(rows, rounds):
+    """The estimation text by text, without kinds."""
+    import math
+
+    k = len(rows[0])
+    good, g, b = 0.8, [0.95] * k, [0.3] * k
+    for _ in range(rounds):
+        p = []
+        for v in rows:
+            odds = math.log(good / (1 - good)) + sum(math.log(g[j] / (1 - b[j])) if x == 1 else math.log((1 - g[j]) / b[j]) if x == -1 else 0 for j, x in enumerate(v))
+            p.append(1 / (1 + math.exp(-odds)))
+        good = (sum(p) + 8) / (len(rows) + 10)
+        for j in range(k):
+            up, down = [v[j] == 1 for v in rows], [v[j] == -1 for v in rows]
+            w, v_ = sum(q for q, u in zip(p, up) if u), sum(q for q, u in zip(p, down) if u)
+            x, y = sum(1 - q for q, u in zip(p, up) if u), sum(1 - q for q, u in zip(p, down) if u)
+            g[j], b[j] = (w + 9.5) / (w + v_ + 10), (y + 3) / (x + y + 10)
+            if g[j] < 1 - b[j]:
+                g[j] = (sum(up) + 9.5) / (sum(up) + sum(down) + 10)
+                b[j] = 1 - g[j]
+    return good, g, b
+
+
+def test_estimation_is_that_of_every_text_and_finds_planted_shares():
+    rng = random.Random(7)
+    truth = [rng.random() < 0.8 for _ in range(4000)]
+    on_good, on_bad = [0.97, 0.9, 0.99, 0.95], [0.7, 0.6, 0.8, 0.4]
+    rows = [[0 if rng.random() < 0.2 else (1 if rng.random() < g else -1) if t else (-1 if rng.random() < b else 1) for g, b in zip(on_good, on_bad, strict=True)] for t in truth]
+    kinds = sorted({tuple(r) for r in rows})
+    many = np.array([sum(tuple(r) == k for r in rows) for k in kinds], float)
+    got = qr.estimate(np.array(kinds), many, 5)
+    assert np.allclose(np.hstack(_em(rows, 5)), np.hstack(got[:3]), atol=1e-9)
+    good, g, b, rounds = qr.estimate(np.array(kinds), many)
+    assert rounds < qr.ROUNDS and abs(good - 0.8) < 0.05 and np.abs(g - on_good).max() < 0.05 and np.abs(b - on_bad).max() < 0.12
+
+
+def test_quality_of_odd_tables(spark):
+    good = "Here is a plain line of prose that goes on for a while.\nAnd another one, which ends as well, with other words in it."
+    rows = [(i, good + f" Number {i} of them.", "a") for i in range(60)] + [(100 + i, f"THIS IS LOUD!! {i} BUY!! NOW!! AND!! THEN!! MORE!! OF!! IT!! {i * 7}!! YES!!", "b") for i in range(10)] + [(None, None, None), (7, "", "c"), (7, good, "c"), (7, good, "c")]
+    docs = spark.createDataFrame(rows, "doc_id int, Text string, KEPT string")
+    got = qr.judged(docs, "Text", keep_text=False).collect()
+    assert len(got) == len(rows) and all(not r["kept"] for r in got if r["doc_id"] is None or r["doc_id"] >= 100) and sum(r["kept"] for r in got) == 62
+    kept = qr.drop_poor(docs, "Text")
+    assert kept.columns == docs.columns and kept.count() == 62
+    assert qr.judged(docs.where("false"), "Text", keep_text=False).count() == 0 and qr.drop_poor(docs.where("false"), "Text").count() == 0
+
+
+# --- op13 -------------------------------------------------------------------------------------
+
+
+def brute_search(docs, items, top):
+    import math
+    import re
+
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    terms = [(d, cut(t)) for d, t in docs]
+    n_docs, n_all = sum(bool(x) for _, x in terms), sum(len(x) for _, x in terms)
+    df = {}
+    for _, x in terms:
+        for t in set(x):
+            df[t] = df.get(t, 0) + 1
+    out = []
+    for item, text in items:
+        scores = []
+        for d, x in terms:
+            m = 50 + (50 * len(x) * n_docs) // n_all if x else 0
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * x.count(t)) // (1000 * x.count(t) + 20 * m)) for t in set(cut(text)) if t in x)
+            if s > 0:
+                scores.append((-s, d is None, d or 0, d))
+        out += [(item, k, d, -s) for k, (s, _, _, d) in enumerate(sorted(scores)[:top], 1)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("window", "max_terms", "top"), [(4096, 1 << 16, 50), (3, 1 << 16, 4), (8, 6, 3)])
+def test_ranked_search_against_brute_force(spark, window, max_terms, top):
+    rng = random.Random(13)
+    words = ["a", "B", "b", "ça", "x1", "日本", "zz", "the", "q"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n)) + rng.choice(["", "!", " -- "])
+    docs = [(i * 7 % 101, text(rng.randrange(0, 12))) for i in range(90)] + [(None, "zz a"), (500, None), (501, ""), (502, "zz " * 2000), (3, "zz a"), (3, "zz a")]
+    items = [(i, text(rng.randrange(0, 6))) for i in range(12)] + [(50, None), (51, "nothing known"), (52, "zz ZZ a")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n", rs.F.lit("x")).repartition(5)
+    i = spark.createDataFrame(items, "item_id long, text string").withColumn("terms", rs.F.lit(1))
+    got = rs.ranked_search(d, i, top=top, window=window, max_terms=max_terms)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_search(docs, items, top)
+
+
+def test_ranked_search_of_empty_tables(spark):
+    d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert rs.ranked_search(d.where("false"), d.withColumnRenamed("doc_id", "item_id")).count() == 0
+    assert rs.ranked_search(d, d.withColumnRenamed("doc_id", "item_id").where("false")).count() == 0
