@@ -59,8 +59,8 @@ def solve_dual(hist: DataFrame, state: list[dict], cap: float = CAP, rounds: int
     spark = hist.sparkSession
     lam = {s["k"]: 0.0 for s in state}
     low, high = dict.fromkeys(lam, -math.inf), dict.fromkeys(lam, math.inf)
-    goal = {s["k"]: s["target"] / s["scale"] for s in state}
-    live = {s["k"] for s in state if s["scale"] > 0}
+    goal = {s["k"]: s["target"] / s["scale"] for s in state if s["scale"] > 0}
+    live = set(goal)  # a source without a word has no constraint: its documents add nothing at any rate
     for s in state:  # all at the limit: no finite multiplier
         if s["scale"] > 0 and s["target"] >= s["size"] * cap * (1 - 1e-12):
             lam[s["k"]] = 1e6
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Size is the number of runs of non-white-space (null text: 0). All rows count, repeated
     ones too; null sources are one source, the last. Documents of size 0 have rate 1 and
-    add nothing. Targets and limits are those of ``targets``. Rounding keeps the sum of a source
+    add nothing; a source of such documents alone has target 0. Targets and limits are those of ``targets``. Rounding keeps the sum of a source
     near its target: size classes are served from the largest on, each getting between
     floor and ceiling of its rate, with the error carried on; inside a class the documents of
     least hash get the extra copy, so reruns agree. An empty table gives no rows.
