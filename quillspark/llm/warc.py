@@ -42,6 +42,8 @@ BROADCAST_BYTES = 64 << 20
 SPLIT_BYTES = 32 << 20
 FILE_BYTES = 256 << 20
 BLOCK = 1 << 16
+#: What the list of files of a commit is called, before a number of its own.
+LISTS = "_files-"
 RECORD = "page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, content_type string, payload binary"
 #: Columns that a predicate can be pushed to, with the header that holds each.
 HEADERS = {"page_id": "x-page-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "x-refers-to-page", "content_type": "content-type"}
@@ -112,9 +114,10 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Each task attempt writes files of its own; the commit lists those that count.
+    """Each task attempt writes files of its own; the commit lists those that count, in a list of its own.
 
-    Files of lost or repeated attempts stay unlisted and are not read.
+    Files of lost or repeated attempts stay unlisted and are not read. A folder written to again keeps the archives of
+    earlier commits.
     """
 
     def __init__(self, options):
@@ -142,7 +145,7 @@ class WarcWriter(DataSourceWriter):
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
         files = [f for m in messages if m for f in m.files]
-        with fs.open_output_stream(f"{root}/_files.json") as out:
+        with fs.open_output_stream(f"{root}/{LISTS}{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(sorted(files, key=lambda f: f["name"])).encode())
 
     def abort(self, messages):
@@ -273,12 +276,14 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, root = filesystem(self.path)
-        try:
-            with fs.open_input_stream(f"{root}/_files.json") as f:
-                files = json.loads(f.read())
-        except FileNotFoundError:  # archives from elsewhere: a task for each file
-            found = fs.get_file_info(pafs.FileSelector(root, recursive=True)) if fs.get_file_info(root).type == pafs.FileType.Directory else [fs.get_file_info(root)]
+        found = fs.get_file_info(pafs.FileSelector(root, recursive=True)) if fs.get_file_info(root).type == pafs.FileType.Directory else [fs.get_file_info(root)]
+        lists = sorted(f.path for f in found if f.path.rpartition("/")[2].startswith(LISTS) and f.path.endswith(".json"))
+        if not lists:  # archives from elsewhere: a task for each file
             return [Part(f.path, -1) for f in found if f.path.endswith((".warc", ".warc.gz"))]
+        files = []
+        for path in lists:
+            with fs.open_input_stream(path) as f:
+                files += json.loads(f.read())
         return [Part(f"{root}/{f['name']}", k) for f in files for k in range(f["parts"])]
 
     def read(self, part):
