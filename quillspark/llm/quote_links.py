@@ -74,7 +74,9 @@ def link_quotes(messages: DataFrame, thread: str | None, order: str, text: str =
     # inside a block: the latest own occurrence before the quote
     both = own.select(*same, "_b", "_o", F.col("_o").alias("_at"), F.lit(0).alias("_level"), F.lit(0).cast("long").alias("_n")).unionByName(quotes.select(*same, "_b", "_o", F.lit(None).cast("long").alias("_at"), "_level", "_n"))
     inside = both.withColumn("_here", F.max("_at").over(Window.partitionBy(*same, "_b").orderBy("_o").rangeBetween(Window.unboundedPreceding, -1))).where("_level > 0")
-    found = inside.join(before, [*same, "_b"], "left").select("_t", "_o", "_level", "_n", F.coalesce("_here", "_before").alias("_from"))
+    # a thread may be null: it is one like any other
+    before = before.select(*(F.col(c).alias(c + "2") for c in (*same, "_b")), "_before")
+    found = inside.join(before, F.col("_t").eqNullSafe(F.col("_t2")) & (F.col("h1") == F.col("h12")) & (F.col("h2") == F.col("h22")) & (F.col("_b") == F.col("_b2")), "left").select("_t", "_o", "_level", "_n", F.coalesce("_here", "_before").alias("_from"))
     info = found.groupBy("_t", "_o").agg(F.max(F.when(F.col("_level") == 1, F.col("_from"))).alias("parent"), F.sum("_n").alias("quoted"), F.sum(F.when(F.col("_from").isNotNull(), F.col("_n")).otherwise(0)).alias("linked"))
     out = _joined(messages, info, thread, order, ["parent", "quoted", "linked"], drop=["own"])
     return out.withColumns({"quoted": F.coalesce("quoted", F.lit(0)).cast("long"), "linked": F.coalesce("linked", F.lit(0)).cast("long"), "own": own_text(F.col(text))})
@@ -82,7 +84,8 @@ def link_quotes(messages: DataFrame, thread: str | None, order: str, text: str =
 
 def _joined(messages: DataFrame, info: DataFrame, thread: str | None, order: str, columns: list[str], drop: list[str] | None = None) -> DataFrame:
     """``messages`` with columns of ``info`` (_t, _o, ...) by thread and order, in place of such ones of their own."""
-    left = messages.drop(*(c for c in messages.columns if c in {*columns, *(drop or [])}))
+    given = {c.lower() for c in (*columns, *(drop or []))}
+    left = messages.drop(*(c for c in messages.columns if c.lower() in given))
     t, o = free(left, "t"), free(left, "o")
     right = info.select(F.col("_t").alias(t), F.col("_o").alias(o), *columns)
     key = F.col(thread) if thread else F.lit(0)
