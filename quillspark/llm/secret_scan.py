@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,9 @@ NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: Strings of each kind, and other candidates, that the formats are learnt and calibrated on, and the
 #: documents that they are taken from: those of least hash, whole.
 SAMPLE, SAMPLE_DOCS = 600, 4000
+#: Characters of a string that may be learnt from at most, and of all strings of a kind: an automaton starts from a state for
+#: each character of its strings. Longer strings are scanned like others, and are typical of no kind.
+LONGEST, SAMPLE_CHARS = 512, 40_000
 #: A kind with fewer labelled strings than this gives no format (``Formats.skipped`` names it).
 LEAST = 5
 ALPHA = 0.05
@@ -182,8 +186,8 @@ class Formats:
         s = symbols(word)
         known = self.memo.get(s)
         if known is None:
-            scores = ((k, a.score(s)) for k, a in self.kinds.items())
-            fitting = [x for k, x in scores if x / (len(s) + 1) >= self.typical[k] and self.lengths[k][0] <= len(s) <= self.lengths[k][1]]
+            scores = ((k, a.score(s)) for k, a in self.kinds.items() if self.lengths[k][0] <= len(s) <= self.lengths[k][1])
+            fitting = [x for k, x in scores if x / (len(s) + 1) >= self.typical[k]]
             known = max(fitting) - self.other.score(s) if fitting else -math.inf
             if len(self.memo) >= 1 << 17:
                 self.memo.clear()
@@ -240,7 +244,8 @@ def examples(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, samp
     """``kind -> strings`` of a bounded sample: base matches are the labelled credentials.
 
     The ``sample_docs`` texts of least hash that hold a base match, and a quarter as many of any kind, are
-    read whole; of all the strings they give, the ``sample`` of least hash per kind are taken, whole too.
+    read whole; of all the strings they give, the ``sample`` of least hash per kind are taken, whole too, among those of LONGEST
+    characters at most and as far as SAMPLE_CHARS go: that bounds what the driver holds.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     likely = text.rlike(r"""(?i)(password|passwd|secret|token|api_?key)["']? *[:=]|(?-i)AKIA[A-Z0-9]{14}|(?-i)[0-9a-f]{16}""")
@@ -249,7 +254,9 @@ def examples(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, samp
     chosen = keys.where("likely").orderBy("h").limit(sample_docs).unionByName(keys.orderBy("h").limit(sample_docs // 4)).select("h").distinct()
     found = hashed.join(F.broadcast(chosen), "h", "left_semi").select("text").distinct().mapInArrow(_examples, "kind string, word string").distinct()
     found = staged(found, "examples")
-    return {kind: [r["word"] for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("word"), "word").limit(sample).collect()] for kind in ("assign", "access", "hex", "other")}
+    short = found.where(F.length("word") <= LONGEST)
+    taken = {kind: [r["word"] for r in short.where(F.col("kind") == kind).orderBy(F.xxhash64("word"), "word").limit(sample).collect()] for kind in ("assign", "access", "hex", "other")}
+    return {kind: [w for w, total in zip(words, accumulate(map(len, words)), strict=True) if total <= SAMPLE_CHARS] for kind, words in taken.items()}
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, sample_docs: int = SAMPLE_DOCS) -> Formats:
@@ -265,8 +272,9 @@ def assess(formats: Formats, credentials: list[str], other: list[str]) -> dict[s
     return {"recall": hit / max(1, len(credentials)), "precision": hit / max(1, hit + wrong), "false_rate": wrong / max(1, len(other))}
 
 
-def _scan(formats: Formats):
+def _scan(shared):
     def run(batches):
+        formats = shared.value
         for batch in batches:
             out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format", "format_bits")}
             for text in batch.column("text"):
@@ -298,7 +306,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     formats = formats or train(docs, text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(_scan(formats), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long, format_bits array<double>")
+    return base.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(formats)), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long, format_bits array<double>")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
