@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -126,24 +125,6 @@ def test_words_of_every_character(spark):
     assert all(r.n == len(r.w) for r in got)
 
 
-def test_words_are_found_fast(spark):
-    """Java is several times slower with the class as a complement, which took most of the operator's time."""
-    text = " ".join(f"word{i} élan, {i * i}" for i in range(2000))
-    docs = frame(spark, [(i, f"{text} {i}") for i in range(200)]).cache()
-    docs.count()
-
-    def seconds(pattern):
-        took = []
-        for _ in range(3):
-            began = time.perf_counter()
-            docs.agg(F.sum(F.regexp_count("text", F.lit(pattern)))).first()
-            took.append(time.perf_counter() - began)
-        return min(took)
-
-    assert 2 * seconds(decontaminate.WORD) < seconds(WORD.pattern)
-    assert 2 * seconds(decontaminate.ANY_CASE) < seconds(WORD.pattern)
-
-
 def test_empty_tables(spark):
     none, bench = frame(spark, [], 1), spark.createDataFrame([], "item_id long, text string")
     assert exact_dedup.exact_duplicates(none).count() == 0

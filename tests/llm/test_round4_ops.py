@@ -218,3 +218,66 @@ def test_ranked_search_of_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert rs.ranked_search(d.where("false"), d.withColumnRenamed("doc_id", "item_id")).count() == 0
     assert rs.ranked_search(d, d.withColumnRenamed("doc_id", "item_id").where("false")).count() == 0
+
+
+# --- mends of earlier operators ----------------------------------------------------------------
+
+from quillspark.llm import decontaminate, mixing, quote_links, secret_scan, token_counts, warc  # noqa: E402
+
+
+@pytest.mark.parametrize("rows", [[(1, None, "a"), (3, "x y", "b")], [(1, None, "a"), (2, "", "b"), (3, " \n", None)], [(1, "a b c", "x"), (2, " ", "y"), (3, "d", "z"), (4, None, None)]])
+def test_mix_of_sources_without_words(spark, rows):
+    got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in names}
+    left, weight, goal = float(sum(size.values())), {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, {}
+    while True:  # the limits, found one by one
+        over = [s for s in weight if left * weight[s] / sum(weight.values()) > 3 * size[s]]
+        if not over:
+            break
+        for s in over:
+            goal[s] = 3.0 * size[s]
+            del weight[s]
+        left = sum(size.values()) - sum(goal.values())
+        if not weight:
+            break
+    goal |= {s: left * w / sum(weight.values()) for s, w in weight.items()}
+    assert len(got) == len(rows)
+    for i, t, s in rows:
+        assert (got[i]["size"], got[i]["source_size"], round(got[i]["target"], 9)) == (len((t or "").split()), size[s], round(goal[s], 9))
+        assert got[i]["taken"] <= 3 * got[i]["size"]
+
+
+def test_archives_of_two_writes_into_one_folder(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(8)], "page_id long, url string, html string")
+    for part in ("page_id < 5", "page_id >= 5"):
+        warc.write_warc(warc.records(pages.where(part)), str(tmp_path / "w"))
+    assert sorted(r["page_id"] for r in warc.read_warc(spark, str(tmp_path / "w")).collect()) == list(range(8))
+
+
+def test_null_threads_link_across_blocks_and_names_differ_by_case(spark):
+    rows = [(c, o, t) for c in (1, None) for o, t in ((3, "A passage that is\nquoted later."), (4000, "> A passage that is\n> quoted later.\n\nYes."))]
+    mail = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("Parent", rs.F.lit("x")).withColumn("OWN", rs.F.lit(1))
+    got = quote_links.reply_order(quote_links.link_quotes(mail, "conv_id", "turn"), "conv_id", "turn")
+    assert sorted((r["conv_id"] is None, r["turn"], r["parent"], r["root"], r["linked"]) for r in got.collect()) == [(n, o, p, 3, int(o > 3)) for n in (False, True) for o, p in ((3, None), (4000, 3))]
+    assert [c.lower() for c in got.columns].count("parent") == 1
+
+
+def test_long_strings_bound_what_is_learnt(spark):
+    rng = random.Random(9)
+    blob = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    rows = [(i, f"text token={blob(40)} and {blob(20_000)} end") for i in range(40)] + [(100 + i, f"secret: {blob(500)} {blob(400)}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by = secret_scan.examples(docs)
+    assert all(len(w) <= secret_scan.LONGEST for words in by.values() for w in words) and all(sum(map(len, words)) <= secret_scan.SAMPLE_CHARS for words in by.values())
+    assert len(by["assign"]) > 40 and len(by["other"]) > 40
+    got = {r["doc_id"]: r for r in secret_scan.secret_scan(docs).collect()}
+    assert len(got) == 340 and all(r["n_assign"] == 1 for r in got.values())
+
+
+def test_null_item_ids_and_empty_tables(spark):
+    d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b")], "item_id long, text string")
+    r = decontaminate.decontaminate(d, bench).first()
+    assert (r["n_words"], r["n_hit"], r["n_items"]) == (3, 2, 0)
+    assert token_counts.token_counts(d.where("false")).count() == 0
