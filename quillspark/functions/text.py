@@ -1,57 +1,50 @@
-"""Text functions as columns: everything but Unicode normalisation stays in the JVM."""
+"""Text functions as columns, all of them in the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from ..resources import fixed
-from . import charsets, rowlocal
+from . import charsets
 
 _DISTINCTIVE = frozenset(c for weights in fixed.DISTINCTIVE.values() for c in weights)
-ASCII = r"^\p{ASCII}*$"
-
-
-@pandas_udf(T.StringType())
-def _normalise(text: pd.Series) -> pd.Series:
-    return text.map(rowlocal.normalise, na_action="ignore")
+#: Sizes of n-grams.
+SIZES = (2, 3, 4)
 
 
-@pandas_udf(T.StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+#: Unicode's algorithms as Spark has them on its class path for collations; functions of strings that a column calls in the JVM.
+_COMPOSE, _FOLD_CASE = ("com.ibm.icu.text.Normalizer", "compose"), ("com.ibm.icu.lang.UCharacter", "foldCase")
 
 
-@pandas_udf(T.StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-@pandas_udf(T.StringType())
-def _nfc_casefold(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t).casefold(), na_action="ignore")
+def _composed(text: Column, compatible: bool) -> Column:
+    return F.reflect(*map(F.lit, _COMPOSE), F.coalesce(text, F.lit("")), F.lit(compatible))
 
 
-def normalise(text: Column) -> Column:
-    """NFKC, case folding, and i with a dot above as i. Spark has no such functions."""
-    return _normalise(text)
+def _folded(composed: Column) -> Column:
+    return F.reflect(*map(F.lit, _FOLD_CASE), composed, F.lit(True))
 
 
 def nfc(text: Column) -> Column:
-    return _nfc(text)
+    return F.when(text.isNotNull(), _composed(text, False))
 
 
 def nfkc(text: Column) -> Column:
-    return _nfkc(text)
+    return F.when(text.isNotNull(), _composed(text, True))
+
+
+def normalise(text: Column) -> Column:
+    """NFKC, full case folding, and i with a dot above as i."""
+    return F.when(text.isNotNull(), F.replace(_folded(_composed(text, True)), F.lit("i\u0307"), F.lit("i")))
 
 
 def nfc_casefold(text: Column) -> Column:
-    return _nfc_casefold(text)
+    return F.when(text.isNotNull(), _folded(_composed(text, False)))
 
 
 def tokens(norm: Column) -> Column:
@@ -65,7 +58,7 @@ def ngrams(word: Column) -> Column:
     padded = F.concat(F.lit("^"), word, F.lit("$"))
     n = F.length(padded)
     of = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substring(padded, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(*(of(size) for size in rowlocal.SIZES))
+    return F.concat(*(of(size) for size in SIZES))
 
 
 def raw_script_counts(text: Column) -> Column:
@@ -84,28 +77,41 @@ def script_counts(text: Column) -> Column:
     return F.struct(*(fixed_up.get(s, raw[s]).alias(s) for s in charsets.SCRIPTS))
 
 
-@pandas_udf(T.StructType().add("norm", T.StringType()).add("chars", T.MapType(T.StringType(), T.LongType())).add("letters", T.ArrayType(T.StructType().add("script", T.StringType()).add("n", T.LongType()).add("first", T.IntegerType()))))
-def _census(text: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in text:
-        norm, letters = (None, None) if t is None else rowlocal.census(t)
-        rows.append((norm, None if t is None else {c: norm.count(c) for c in _DISTINCTIVE.intersection(norm)}, letters))
-    return pd.DataFrame(rows, columns=["norm", "chars", "letters"])
+def with_script(frame: DataFrame, norm: str, prefix: str = "") -> DataFrame:
+    """Adds ``script, n_script, script_share`` (with ``prefix``): the most frequent script of the letters of a normalised text.
 
+    Of equals a non-Latin one counts, then the first seen; all are null without letters. With kana, Han is Japanese.
+    ASCII letters are counted by themselves, so that classes of characters are tried on what is left alone.
+    """
+    rest, counts, most = f"{prefix}rest", f"{prefix}counts", f"{prefix}n_script"
+    out = frame.withColumn(rest, F.regexp_replace(norm, r"[\x00-\x7F]+", ""))
+    plain = F.length(norm) - F.length(F.regexp_replace(norm, "[A-Za-z]+", ""))
+    of = {s: F.when(F.col(rest) == "", 0).otherwise(F.length(rest) - F.length(F.regexp_replace(rest, charsets.java_class(s) + "+", ""))) for s in charsets.SCRIPTS}
+    of["Latn"] = of["Latn"] + plain
+    raw = f"{prefix}letters"
+    out = out.withColumn(raw, F.array(*of.values()))
+    n = {s: F.get(raw, F.lit(k)) for k, s in enumerate(charsets.SCRIPTS)}
+    kana = n["Jpan"] > 0
+    both = n["Jpan"] + n["Hani"]
+    n |= {"Jpan": F.when(kana, both).otherwise(0), "Hani": F.when(kana, 0).otherwise(n["Hani"])}
+    out = out.withColumn(counts, F.array(*n.values()))
+    out = out.withColumn(most, F.nullif(F.array_max(counts), F.lit(0)))
+    first = {s: F.regexp_instr(rest, F.lit(charsets.java_class(s))) for s in charsets.SCRIPTS}
+    first["Jpan"] = F.regexp_instr(rest, F.lit(f"[{charsets.java_class('Jpan')}{charsets.java_class('Hani')}]"))
+    tied = [F.when(F.get(counts, F.lit(k)) == F.col(most), F.struct(F.lit(s != "Latn").alias("other"), (F.lit(0) if s == "Latn" else -first[s]).alias("first"), F.lit(s).alias("script"))) for k, s in enumerate(charsets.SCRIPTS)]
+    out = out.withColumn(f"{prefix}script", F.array_max(F.array(*tied))["script"])
+    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+    return out.withColumns({f"{prefix}script_share": F.col(most) / total, most: F.col(most).cast("long")}).drop(rest, raw, counts)
 
-def with_dominant_script(frame: DataFrame, text: str) -> DataFrame:
-    """Adds ``norm, chars, script, n_script, script_share``: the most frequent script of a text's letters.
 
-    ``chars`` has the numbers of the distinctive characters.
-    Of equals a non-Latin one counts, then the first seen; all are null without letters. The letters are
-    counted where the text is normalised anyway; what they decide is algebra.
-    """
-    out = frame.withColumn("_c", _census(F.col(text)))
-    entry = lambda x: F.struct(x["n"].alias("n"), (x["script"] != "Latn").alias("other"), (-x["first"]).alias("first"), x["script"].alias("script"))
-    best = F.array_max(F.transform(F.col("_c.letters"), entry))
-    total = F.aggregate(F.col("_c.letters"), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    out = out.withColumns({"norm": F.col("_c.norm"), "chars": F.col("_c.chars"), "_best": best, "_all": total})
-    return out.withColumns({"script": F.col("_best.script"), "n_script": F.col("_best.n"), "script_share": F.col("_best.n") / F.col("_all")}).drop("_c", "_best", "_all")
+def with_dominant_script(frame: DataFrame, text: str) -> DataFrame:
+    """Adds ``norm, chars, script, n_script, script_share``: the normalised text, its distinctive characters with their numbers, and ``with_script``."""
+    out = frame.withColumn("norm", normalise(F.col(text)))
+    marks = F.regexp_replace("norm", f"[^{''.join(sorted(_DISTINCTIVE))}]+", "")
+    out = with_script(out.withColumn("_marks", marks), "norm")
+    seen = F.filter(F.array_distinct(F.split("_marks", "")), lambda c: c != "")
+    counted = F.transform(seen, lambda c: F.struct(c, (F.length("_marks") - F.length(F.replace(F.col("_marks"), c))).cast("long")))
+    return out.withColumn("chars", F.map_from_entries(counted)).drop("_marks")
 
 
 def script_share(text: Column, script: str) -> Column:

@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions.rowlocal import TOP, Detector
 from ..resources import fixed
 from ..shipping import ensure_shipped, spread
+from . import inrow
 from .profiles import STORE, load_profiles, ngram_counts, profile_frames, top_ngrams, word_counts
 
 DETECTION = "script string, language_code string, confidence double, alternatives array<struct<language_code: string, score: double>>, resolution string, label string"
@@ -172,16 +173,60 @@ def with_softmax(frame: DataFrame, entries: str, most: str) -> DataFrame:
     other refers to, so that none is evaluated again for every element of the next.
     """
     rest = ("language_code", "distinctive", "cue", "unique_cue")
-    ordered = F.array_sort(F.transform(entries, lambda e: F.struct(e["language_order"], e["raw"], *(e[k] for k in rest))))
+    ordered = F.sort_array(F.transform(entries, lambda e: F.struct(e["language_order"], e["raw"], *(e[k] for k in rest))))
     out = frame.withColumn("_ordered", ordered)
     out = out.withColumn("_exps", F.transform("_ordered", lambda e: F.struct((-F.exp(e["raw"] - F.col(most))).alias("minus"), e["language_order"].alias("language_order"), *(e[k].alias(k) for k in rest))))
     out = out.withColumn("_total", F.aggregate("_exps", F.lit(0.0), lambda a, e: a - e["minus"]))
-    out = out.withColumn("ranked", F.transform(F.array_sort("_exps"), lambda e: F.struct(F.bround(-e["minus"] / F.col("_total"), 6).alias("score"), *(e[k].alias(k) for k in rest))))
-    return out.where(F.col("_total") > 0)
+    out = out.withColumn("ranked", F.transform(F.sort_array("_exps"), lambda e: F.struct(F.bround(-e["minus"] / F.col("_total"), 6).alias("score"), *(e[k].alias(k) for k in rest))))
+    return out
+
+
+def with_result(frame: DataFrame, out_col: str, prefix: str = "_") -> DataFrame:
+    """Replaces what ``inrow.with_entries`` has added by ``out_col``, a struct of DETECTION."""
+    p = prefix
+    out = frame.withColumn("_most", F.array_max(F.transform(f"{p}entries", lambda e: e["raw"])))
+    out = with_softmax(out, f"{p}entries", "_most").drop(f"{p}entries", "_most", "_ordered", "_exps", "_total")
+    first, second = F.get("ranked", F.lit(0)), F.coalesce(F.get("ranked", F.lit(1))["score"], F.lit(0.0))
+    out = out.withColumn("_best", F.struct(first["score"].alias("top"), (first["score"] - second).alias("margin"), *(first[k].alias(k) for k in ("language_code", "distinctive", "cue", "unique_cue"))))
+    script, share = F.col(f"{p}script"), F.col(f"{p}script_share")
+    out = out.withColumn("_ok", F.coalesce(resolved(script, share, F.col(f"{p}n_script"), F.col(f"{p}n_words"), F.col("_best")), F.lit(False)))
+    language = F.when(F.col("_ok"), F.col("_best.language_code"))
+    found = F.struct(
+        script.alias("script"), language.alias("language_code"),
+        F.coalesce(F.bround(F.when(F.col("_ok"), F.col("_best.top") * share).otherwise(share), 6), F.lit(0.0)).alias("confidence"),
+        F.transform("ranked", lambda e: F.struct(e["language_code"].alias("language_code"), e["score"].alias("score"))).alias("alternatives"),
+        F.when(F.col("_ok"), "language").when(script.isNotNull(), "script").otherwise("none").alias("resolution"),
+        label_of(script, language).alias("label"),
+    )
+    return out.withColumn(out_col, found).drop("ranked", "_best", "_ok", f"{p}script", f"{p}script_share", f"{p}n_script", f"{p}n_words")
+
+
+def in_rows(docs: DataFrame, text: Column, out_col: str, path: str = STORE, arrow: bool = True) -> DataFrame:
+    """``docs`` with ``out_col``, the detection of ``text``: row by row, without a shuffle; null for a null text.
+
+    Without ``arrow`` all of it is columns in the JVM; with it Arrow batches do the rank distances, which is faster. Columns of ``docs`` may have any names. About sixteen short strings are held for each word of the text at hand;
+    ``detect_by_groups`` is there for single texts of many millions of words.
+    """
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text.alias("_text"))
+    if arrow:
+        ensure_shipped(docs.sparkSession)
+    found = with_result(inrow.with_entries(inrow.features(held, "_text"), docs.sparkSession, path, arrow=arrow), "_found")
+    kept = (F.col("_row")[c].alias(c) for c in docs.columns if c.lower() != out_col.lower())
+    return found.select(*kept, F.when(F.col("_text").isNotNull(), F.col("_found")).alias(out_col))
 
 
-def detect(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STORE) -> DataFrame:
-    """Relational detection: ``id`` and the columns of DETECTION, one row per id.
+def detect(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STORE, arrow: bool = True) -> DataFrame:
+    """Detection: ``id`` and the columns of DETECTION, a row per row.
+
+    A null text gives a row of nulls; a text without a letter of a supported script gives resolution ``none``.
+    """
+    texts_only(docs, text_col)
+    found = in_rows(spread(docs.select(F.col(id_col), F.col(text_col).alias("_text_"))), F.col("_text_"), "_d", path, arrow)
+    return found.select(id_col, "_d.*")
+
+
+def detect_by_groups(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STORE) -> DataFrame:
+    """The same by grouping rows of n-grams, one row per id: a text is never whole in one task once it is cut into words.
 
     Needs a unique, non-null id. A null text gives a row of nulls; a text without a letter of a supported script
     gives resolution ``none``. At most 17 candidate languages are gathered per text.
@@ -191,7 +236,7 @@ def detect(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STO
     scores = language_scores(docs, id_col, text_col, path)
     entry = F.struct("raw", "language_order", "language_code", "distinctive", "cue", "unique_cue")
     per = scores.groupBy(id_col, "script", "n_script", "script_share", "n_words").agg(F.collect_list(entry).alias("entries"), F.max("raw").alias("most"))
-    ranked = with_softmax(per, "entries", "most")
+    ranked = with_softmax(per, "entries", "most").where(F.col("_total") > 0)
     first = F.element_at("ranked", 1)
     second = F.when(F.size("ranked") > 1, F.element_at("ranked", 2)["score"]).otherwise(0.0)
     best = F.struct(first["score"].alias("top"), (first["score"] - second).alias("margin"), *(first[k].alias(k) for k in ("language_code", "distinctive", "cue", "unique_cue")))
@@ -248,8 +293,7 @@ def _whole(struct: Column, text: Column) -> Column:
 
 def with_detection(docs: DataFrame, text_col: str = "text", out_col: str = "detection", path: str = STORE) -> DataFrame:
     """``docs`` with a detection struct, null for null texts. Works on streams."""
-    ensure_shipped(docs.sparkSession)
-    return spread(texts_only(docs, text_col)).withColumn(out_col, _whole(detection_udf(path)(F.col(text_col)), F.col(text_col)))
+    return in_rows(spread(texts_only(docs, text_col)), F.col(text_col), out_col, path)
 
 
 def with_mixed(docs: DataFrame, text_col: str = "text", out_col: str = "mixed", path: str = STORE) -> DataFrame:
