@@ -125,6 +125,73 @@ def script_share(text: Column, script: str) -> Column:
 SPACE = r"(?U)\s+"
 
 
+#: Numbers summed at a time by ``running_sums``.
+BLOCK = 256
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sum of the elements of an array of numbers up to each one.
+
+    A fold that appends copies what it has, so it runs in blocks of BLOCK elements, and once over the sums of the blocks.
+    """
+    zero = F.lit(0).cast("long")
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), zero)
+    none = F.array().cast("array<bigint>")
+
+    def blocks(a: Column) -> Column:
+        to = lambda b: F.sequence(b * BLOCK, F.least(b * BLOCK + (BLOCK - 1), F.size(a) - 1))
+        inside = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(to(b), none, lambda x, i: F.array_append(x, last(x) + F.get(a, i))))
+        return let(inside, lambda parts: let(
+            F.aggregate(parts, F.array(zero), lambda x, p: F.array_append(x, last(x) + last(p))),
+            lambda before: F.flatten(F.transform(parts, lambda p, b: F.transform(p, lambda n: n + F.get(before, b)))),
+        ))
+
+    return let(numbers, lambda a: F.when(F.size(a) > 0, blocks(a)).otherwise(none))
+
+
+#: What ends a clause, a line break or a run of these marks with the blanks behind it.
+CLAUSE_END = r"(?:\r\n|\r|\n|[.!?;:]+)[\t \f\x0B]*"
+
+
+def clause_ends(text: Column) -> Column:
+    """Ends of clauses in code points: clauses follow each other without a gap, so they are sums of lengths."""
+    clauses = F.regexp_extract_all(text, F.lit(f"[^\\r\\n.!?;:]*{CLAUSE_END}"), F.lit(0))
+    return F.when(text.isNotNull(), running_sums(F.transform(clauses, lambda c: F.length(c).cast("long"))))
+
+
+#: Letters of each script are written as one private character each, all else as a space.
+_MARK = {s: chr(0xE000 + k) for k, s in enumerate(charsets.SCRIPTS)}
+
+
+def script_marks(text: Column) -> Column:
+    """The text with a mark of its script in place of each letter of a supported one, and spaces in place of the rest; with kana, Han is Japanese."""
+    marks = "".join(_MARK.values())
+    out = F.regexp_replace(text, f"[{marks}]", " ")
+    for s, mark in _MARK.items():
+        out = F.regexp_replace(out, charsets.java_class(s), mark)
+    out = F.regexp_replace(out, f"[^{marks}]", " ")
+    return let(out, lambda t: F.when(F.contains(t, F.lit(_MARK["Jpan"])), F.translate(t, _MARK["Hani"], _MARK["Jpan"])).otherwise(t))
+
+
+def script_runs(text: Column) -> Column:
+    """Maximal runs of one script, ``script, end`` in code points: a run begins with a letter of another script than the one
+    before it, the first with the text; none without letters."""
+    runs = F.regexp_extract_all(script_marks(text), F.lit("(?:^ *)?(?:" + "|".join(f"{m}[{m} ]*" for m in _MARK.values()) + ")"), F.lit(0))
+    names = F.map_from_arrays(F.array(*(F.lit(m) for m in _MARK.values())), F.array(*(F.lit(s) for s in _MARK)))
+    script = lambda r: F.element_at(names, F.substring(F.trim(r), F.lit(1), F.lit(1)))
+    return let(runs, lambda rs: F.zip_with(F.transform(rs, script), running_sums(F.transform(rs, lambda r: F.length(r).cast("long"))), lambda s, e: F.struct(s.alias("script"), e.alias("end"))))
+
+
+def script_changes(text: Column) -> Column:
+    """Places of letters whose script is not that of the letter before, in code points.
+
+    A text that has no letters beyond those of the Latin script is not looked at any closer.
+    """
+    other = "".join(charsets.java_class(s) for s in charsets.SCRIPTS if s != "Latn")
+    ends = lambda t: let(F.transform(script_runs(t), lambda r: r["end"]), lambda e: F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))))
+    return F.when(F.regexp_replace(text, r"[\x00-\x7F]+", "").rlike(f"[{other}]"), ends(text)).when(text.isNotNull(), F.array().cast("array<bigint>"))
+
+
 def split_words(text: Column) -> Column:
     """Runs of what is not (Unicode) white space."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")

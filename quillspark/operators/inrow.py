@@ -24,7 +24,8 @@ from .profiles import STORE, load_profiles
 TOP = 300
 #: Buckets of a script's table for each n-gram of its profiles, about.
 SPREAD = 2
-TABLE = "script string, buckets array<int>, hashes array<bigint>, ranks array<smallint>, sizes array<int>, candidates array<struct<code: string, order: int, who: array<int>>>, cue_words array<string>, cue_weights array<tinyint>, cue_unique array<boolean>, letters array<string>, letter_weights array<double>"
+RANKS = "buckets array<int>, hashes array<bigint>, ranks array<smallint>, sizes array<int>"
+LANGUAGES = "candidates array<struct<code: string, order: int, who: array<int>>>, cue_words array<string>, cue_weights array<tinyint>, cue_unique array<boolean>, letters array<string>, letter_weights array<double>"
 
 
 def features(frame: DataFrame, text: str, prefix: str = "_") -> DataFrame:
@@ -140,9 +141,12 @@ def _hashed(spark: SparkSession, path: str) -> tuple:
     return tuple(out)
 
 
-def tables(spark: SparkSession, path: str = STORE) -> DataFrame:
-    """A row of arrays for each script: its profiles' n-grams in buckets with their ranks in every profile, its languages, cue words and letters."""
-    return spark.createDataFrame(list(_hashed(spark, path)), TABLE)
+@lru_cache(maxsize=8)
+def tables(spark: SparkSession, path: str = STORE, ranks: bool = True) -> DataFrame:
+    """A row of arrays for each script: its languages, cue words and letters, and with ``ranks`` its profiles' n-grams in buckets with their ranks in every profile."""
+    if ranks:
+        return spark.createDataFrame(list(_hashed(spark, path)), f"script string, {RANKS}, {LANGUAGES}", verifySchema=False)
+    return spark.createDataFrame([(row[0], *row[4:]) for row in _rows(path)], f"script string, {LANGUAGES}", verifySchema=False)
 
 
 def _weighted(items: Column, weights: str, width: Column, at: Column, value) -> Column:
@@ -200,7 +204,8 @@ def with_entries(frame: DataFrame, spark: SparkSession, path: str = STORE, prefi
     # the plain letters among the distinctive ones and all beyond ASCII: a class of few ranges
     plain = "".join(sorted({c for w in fixed.DISTINCTIVE.values() for c in w if c < "\x80"}))
     out = out.withColumns({f"{p}padded": text, f"{p}uses": F.array_distinct(f"{p}words"), f"{p}marks": F.regexp_replace(f"{p}norm", f"[\\x00-\\x7F&&[^{plain}]]+", "")})
-    known = tables(spark, path).select(F.col("script").alias(f"{p}script"), *(F.col(c).alias(f"{p}{c}") for c in ("buckets", "hashes", "ranks", "sizes", "candidates", "cue_words", "cue_weights", "cue_unique", "letters", "letter_weights")))
+    held = [*(() if arrow else ("buckets", "hashes", "ranks", "sizes")), "candidates", "cue_words", "cue_weights", "cue_unique", "letters", "letter_weights"]
+    known = tables(spark, path, not arrow).select(F.col("script").alias(f"{p}script"), *(F.col(c).alias(f"{p}{c}") for c in held))
     out = out.join(F.broadcast(known), f"{p}script", "left")
     c = lambda name: F.col(f"{p}{name}")
     far = c("top") if arrow else _profile_distances(c)
@@ -228,7 +233,7 @@ def with_entries(frame: DataFrame, spark: SparkSession, path: str = STORE, prefi
         )
 
     out = out.withColumn(f"{p}parts", F.coalesce(F.transform(c("candidates"), scored), F.array().cast("array<struct<language_order: int, language_code: string, distance: double, distinctive: double, cue: double, unique_cue: double>>")))
-    dropped = ("buckets", "hashes", "ranks", "sizes", "candidates", "cue_words", "cue_weights", "cue_unique", "letters", "letter_weights", "far", "cues", "seen", "padded", "uses", "marks", "top", "words", "norm")
+    dropped = (*held, "far", "cues", "seen", "padded", "uses", "marks", "top", "words", "norm")
     out = out.drop(*(f"{p}{name}" for name in dropped))
     raw = lambda e: -7 * e["distance"] + 1.25 * e["distinctive"] + 0.9 * e["cue"] + F.when(c("n_words") == 1, 5 * e["unique_cue"]).otherwise(0.0)
     fields = ("language_order", "language_code", "distinctive", "cue", "unique_cue")

@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
-from ..functions.rowlocal import CLAUSE, script_changes
-from ..shipping import ensure_shipped, spread
-from .detect import STORE, detection_udf, texts_only
-
-
-@pandas_udf(T.ArrayType(T.IntegerType()))
-def clause_ends(text: pd.Series) -> pd.Series:
-    """Ends of clauses in code points."""
-    return text.map(lambda t: [m.end() for m in CLAUSE.finditer(t)], na_action="ignore")
-
-
-@pandas_udf(T.ArrayType(T.IntegerType()))
-def changes_of_script(text: pd.Series) -> pd.Series:
-    """Places of letters whose script is not that of the letter before."""
-    return text.map(script_changes, na_action="ignore")
+from ..functions import text as tx
+from ..shipping import spread
+from .detect import STORE, in_rows, texts_only
 
 
 def boundaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, text, cuts``: sorted positions where a span may begin or end."""
     at = spread(docs.select(F.col(id_col), F.col(text_col).alias("text")))
-    at = at.select("*", clause_ends(F.col("text")).alias("ends"), changes_of_script(F.col("text")).alias("changes"))
-    cuts = F.concat(F.array(F.lit(0), F.length("text")), F.col("ends"), F.col("changes"))
-    return at.select(id_col, "text", F.array_sort(F.array_distinct(cuts)).alias("cuts"))
+    cuts = F.concat(F.array(F.lit(0), F.length("text")).cast("array<bigint>"), tx.clause_ends(F.col("text")), tx.script_changes(F.col("text")))
+    return at.select(id_col, "text", F.sort_array(F.array_distinct(cuts)).cast("array<int>").alias("cuts"))
 
 
 def mixed_spans(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STORE) -> DataFrame:
@@ -40,13 +24,11 @@ def mixed_spans(docs: DataFrame, id_col: str, text_col: str = "text", path: str
     first with a script); join neighbours of equal script and language; detect each span
     on its whole text. Windows are over the pieces of one text, an empty text has no span.
     """
-    ensure_shipped(docs.sparkSession)
     texts_only(docs, text_col)
-    run = detection_udf(path)
     cut = boundaries(docs, id_col, text_col)
     pieces = cut.select(id_col, "text", "cuts", F.posexplode("cuts").alias("i", "start")).where(F.col("i") < F.size("cuts") - 1)
     pieces = pieces.select(id_col, "start", F.get("cuts", F.col("i") + 1).alias("end"), F.substring("text", F.col("start") + 1, F.get("cuts", F.col("i") + 1) - F.col("start")).alias("piece"))
-    found = pieces.withColumn("d", run(F.col("piece"))).select(id_col, "start", "end", "piece", "d", F.when(F.col("d.script").isNotNull(), F.struct("d.script", "d.language_code")).alias("mark"))
+    found = in_rows(pieces, F.col("piece"), "d", path).select(id_col, "start", "end", "piece", "d", F.when(F.col("d.script").isNotNull(), F.struct("d.script", "d.language_code")).alias("mark"))
     order = Window.partitionBy(id_col).orderBy("start")
     back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     filled = found.withColumn("mark", F.coalesce(F.last("mark", True).over(back), F.first("mark", True).over(ahead)))
@@ -56,8 +38,8 @@ def mixed_spans(docs: DataFrame, id_col: str, text_col: str = "text", path: str
     joined = island.groupBy(id_col, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), parts.alias("parts"), F.first("d").alias("one"))
     texts = joined.select(id_col, "start", "end", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("text"), F.when(F.size("parts") == 1, F.col("one")).alias("one"))
     # a span of one piece has its detection already
-    again = texts.withColumn("d", F.coalesce("one", run(F.when(F.col("one").isNull(), F.col("text")))))
-    return again.select(id_col, "start", "end", "text", "d.*")
+    again = in_rows(texts, F.when(F.col("one").isNull(), F.col("text")), "more", path)
+    return again.select(id_col, "start", "end", "text", F.coalesce("one", "more").alias("d")).select(id_col, "start", "end", "text", "d.*")
 
 
 def mixed_summary(spans: DataFrame, id_col: str) -> DataFrame:
@@ -74,3 +56,13 @@ def mixed_summary(spans: DataFrame, id_col: str) -> DataFrame:
             "has_unresolved_segments": F.exists("segments", lambda s: s["language_code"].isNull()),
         }
     )
+
+
+def with_mixed_summary(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STORE) -> DataFrame:
+    """``id``, ``primary`` (the detection of the whole text) and ``mixed_summary`` of every text, by span algebra; an empty or null text has no spans."""
+    whole = in_rows(spread(docs.select(F.col(id_col), F.col(text_col).alias("_whole"))), F.col("_whole"), "primary", path).drop("_whole")
+    spans = mixed_summary(mixed_spans(docs, id_col, text_col, path), id_col)
+    out = whole.join(spans, id_col, "left")
+    none = {"segments": F.array().cast(spans.schema["segments"].dataType), "scripts": F.array().cast("array<string>"), "language_codes": F.array().cast("array<string>")}
+    flags = ("is_mixed_script", "is_mixed_language", "is_mixed", "has_unresolved_segments")
+    return out.withColumns({**{c: F.coalesce(c, v) for c, v in none.items()}, **{c: F.coalesce(c, F.lit(False)) for c in flags}})

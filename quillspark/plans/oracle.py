@@ -128,6 +128,30 @@ def respelled(alphabets: list[tuple[str, str]]) -> str:
     return f"resp AS (SELECT doc_id, printf('alphabet %02d', doc_id % {len(alphabets)}) AS lang, CASE doc_id % {len(alphabets)} {cases} END AS text FROM documents)"
 
 
+def script_cuts(alphabets: list[tuple[str, str]]) -> str:
+    """Letters with their scripts in texts of three alphabets, place by place; a change is a letter whose script is not that of the one before."""
+    n = len(alphabets)
+    spell = lambda text, shift: f"CASE (doc_id + {shift}) % {n} " + " ".join(f"WHEN {i} THEN translate({text}, {quote(a)}, {quote(b)})" for i, (a, b) in enumerate(alphabets)) + " END"
+    script = "CASE " + " ".join(f"WHEN regexp_matches(c, {quote(charsets.char_class(s))}) THEN '{s}'" for s in charsets.SCRIPTS) + " END"
+    return (
+        f"WITH parts AS (SELECT doc_id, lower(text) AS t, length(text) // 3 AS n FROM documents), "
+        f"resp AS (SELECT doc_id, {spell('substring(t, 1, n)', 0)} || {spell('substring(t, n + 1, n)', 5)} || {spell('substring(t, 2 * n + 1)', 10)} AS text FROM parts), "
+        "chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM resp), "
+        f"kinds AS (SELECT c, {script} AS script FROM (SELECT DISTINCT c FROM chars)), "
+        "letters AS (SELECT doc_id, i, CASE WHEN script = 'Hani' AND bool_or(script = 'Jpan') OVER (PARTITION BY doc_id) THEN 'Jpan' ELSE script END AS script FROM chars JOIN kinds USING (c) WHERE script IS NOT NULL), "
+        "turns AS (SELECT *, lag(script) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM letters), "
+        "cuts AS (SELECT doc_id, string_agg(i::VARCHAR, ' ' ORDER BY i) FILTER (before IS NOT NULL) AS cuts, string_agg(script, ' ' ORDER BY i) AS scripts FROM turns WHERE before IS DISTINCT FROM script GROUP BY doc_id) "
+        "SELECT doc_id, coalesce(cuts, '') AS cuts, coalesce(scripts, '') AS scripts FROM documents LEFT JOIN cuts USING (doc_id)"
+    )
+
+
+def composed(marked: dict[str, str]) -> str:
+    text = "text"
+    for c, d in marked.items():
+        text = f"replace({text}, {quote(c)}, {quote(d)})"
+    return f"SELECT doc_id, sha256(nfc_normalize(t)) AS nfc_sha256, length(t) - length(nfc_normalize(t)) AS saved FROM (SELECT doc_id, {text} AS t FROM documents)"
+
+
 def clauses() -> str:
     """Boundaries of the turns' clauses: their texts hold one script, so clauses alone cut them. Runs of
     the dividing marks and of what is between them are taken in turn, and their lengths added up."""
@@ -188,7 +212,7 @@ def uyghur(letters: str) -> str:
     return f"SELECT doc_id, sha256({out[0]}) AS latin, sha256({out[1]}) AS cyrillic, sha256({out[2]}) AS new_script FROM documents"
 
 
-def statements(alphabets: list[tuple[str, str]], letters_for_uyghur: str) -> dict[str, str]:
+def statements(alphabets: list[tuple[str, str]], letters_for_uyghur: str, marked: dict[str, str]) -> dict[str, str]:
     base = (NORM, TOKENS, WORDS)
     full = (*base, GRAMS, TOP, letter_counts(), dominant(), cues(), letters(), distances(), scored())
     result = with_(
@@ -256,5 +280,7 @@ def statements(alphabets: list[tuple[str, str]], letters_for_uyghur: str) -> dic
         "case_buckets": "SELECT key, word_count, CAST(5 AS BIGINT) AS n FROM (SELECT DISTINCT printf('d%06d', doc_id // 250) AS key FROM documents WHERE regexp_matches(text, '\\S')), (SELECT unnest([1, 2, 3, 5, 10, 20, 50, 100]) AS word_count)",
         "detect_mixed_spans": "WITH " + spans(result) + ' SELECT conv_id, turn, s AS start, e AS "end", script, language_code, confidence, resolution FROM span_res',
         "detect_mixed_summary": "WITH " + spans(result) + ", " + summary(),
+        "script_boundaries": script_cuts(alphabets),
+        "normalize_composed": composed(marked),
         "clause_boundaries": "WITH " + clauses() + " SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat([0, length(text)], [CAST(e AS BIGINT) for e in ends]))), ' ') AS cuts FROM acc",
     }

@@ -100,12 +100,12 @@ def _alternatives(col="alternatives"):
 
 
 def detect(spark, sf_dir):
-    """Relational detection of every document."""
+    """Detection of every document, row by row."""
     return dt.detect(documents(spark, sf_dir), "doc_id").select("doc_id", "script", "language_code", "confidence", "resolution", "label")
 
 
 def detect_rowlocal(spark, sf_dir):
-    """The same by the Arrow function, without a shuffle."""
+    """The same as a struct beside the columns that are there."""
     found = dt.with_detection(documents(spark, sf_dir)).select("doc_id", "detection.*")
     return found.select("doc_id", "script", "language_code", "confidence", "resolution", "label")
 
@@ -163,9 +163,10 @@ def detect_mixed_spans(spark, sf_dir):
 
 
 def detect_mixed_summary(spark, sf_dir):
-    """The same turns by the Arrow function, one row each."""
-    m = dt.with_mixed(table(spark, sf_dir, "conversations"))
-    return m.select("conv_id", "turn", F.col("mixed.primary.language_code").alias("language_code"), F.size("mixed.segments").cast("long").alias("n_spans"), F.array_join("mixed.language_codes", " ").alias("languages"), "mixed.is_mixed_script", "mixed.is_mixed_language", "mixed.is_mixed", "mixed.has_unresolved_segments")
+    """The same turns, one row each: the whole text's language and what its spans hold."""
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    m = mx.with_mixed_summary(turns, "key")
+    return m.select("key.conv_id", "key.turn", "primary.language_code", F.size("segments").cast("long").alias("n_spans"), F.array_join("language_codes", " ").alias("languages"), "is_mixed_script", "is_mixed_language", "is_mixed", "has_unresolved_segments")
 
 
 def clause_boundaries(spark, sf_dir):
@@ -201,6 +202,42 @@ def respelled(spark, sf_dir):
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 
 
+def blended(spark, sf_dir):
+    """Documents in three alphabets each: the whole text in three parts, so that its script changes on the way."""
+    docs = spread(documents(spark, sf_dir))
+    n = F.floor(F.length("text") / 3).cast("int")
+    k = F.pmod("doc_id", F.lit(len(ALPHABETS))).cast("int")
+
+    def part(text, shift):
+        out = text
+        for i, start in enumerate(ALPHABETS):
+            out = F.when((k + shift) % len(ALPHABETS) == i, F.translate(text, LATIN, alphabet(start))).otherwise(out)
+        return out
+
+    text = F.lower("text")
+    parts = (F.substring(text, F.lit(1), n), F.substring(text, n + 1, n), F.substring(text, 2 * n + 1, F.length("text")))
+    return docs.select("doc_id", F.concat(*(part(t, 5 * j) for j, t in enumerate(parts))).alias("text"))
+
+
+def script_boundaries(spark, sf_dir):
+    """Where the script changes in such texts, and the scripts of the runs."""
+    found = blended(spark, sf_dir).select("doc_id", tx.script_changes(F.col("text")).alias("cuts"), tx.script_runs(F.col("text")).alias("runs"))
+    return found.select("doc_id", F.array_join("cuts", " ").alias("cuts"), F.array_join(F.transform("runs", lambda r: r["script"]), " ").alias("scripts"))
+
+
+#: Letters of the tables' texts and how they are spelled with marks of their own.
+MARKED = {c: unicodedata.normalize("NFD", c) for c in "áàâãäåçéèêëíìîïñóòôõöúùûüýÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝ"}
+
+
+def normalize_composed(spark, sf_dir):
+    """Documents spelled with marks of their own, composed again (digests of whole texts), and how many characters that saves."""
+    text = F.col("text")
+    for c, d in MARKED.items():
+        text = F.replace(text, F.lit(c), F.lit(d))
+    rows = spread(documents(spark, sf_dir)).select("doc_id", text.alias("spelled")).withColumn("nfc", tx.nfc(F.col("spelled")))
+    return rows.select("doc_id", F.sha2(F.col("nfc").cast("binary"), 256).alias("nfc_sha256"), (F.length("spelled") - F.length("nfc")).cast("long").alias("saved"))
+
+
 def script_letters_respelled(spark, sf_dir):
     """Letters of every script in texts of eleven scripts."""
     counts = respelled(spark, sf_dir).select("doc_id", tx.script_counts(tx.normalise(F.col("text"))).alias("c"))
@@ -287,8 +324,8 @@ QUERIES = {
     for f in (
         normalize_text, tokenize, token_stats, script_letter_counts, dominant_script, ngram_counts, ngram_top300, cue_scores, distinctive_scores, rank_distance,
         build_profiles, detect, detect_rowlocal, detect_alternatives, detect_confusion, eval_totals, eval_grouping_sets, eval_confusions, eval_quality_checks, duplicate_texts,
-        detect_mixed_spans, detect_mixed_summary, clause_boundaries, exclusive_letters, script_letters_respelled, scripts_respelled, script_shares, diagnostic_counts, top_letters, top_words, top_bigrams,
+        detect_mixed_spans, detect_mixed_summary, clause_boundaries, script_boundaries, normalize_composed, exclusive_letters, script_letters_respelled, scripts_respelled, script_shares, diagnostic_counts, top_letters, top_words, top_bigrams,
         html_paragraphs, first_n_words, lexical_words, latin_share, text_digests, window_cases, case_buckets, uyghur_transliterate,
     )
 }
-ORACLE = oracle.statements([(LATIN, alphabet(start)) for start in ALPHABETS], LATIN_FOR_UYGHUR)
+ORACLE = oracle.statements([(LATIN, alphabet(start)) for start in ALPHABETS], LATIN_FOR_UYGHUR, MARKED)
