@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +17,6 @@ from ..functions.transliterate import uyghur_cyrillic, uyghur_new_script
 from ..sources.readers import cyrillic_majority, require_digest
 from . import sampling as sm
 
-FOUND = "prefix string, word_count int, number int, text string, sentence_start int, sentence_end int, sentence_ids array<bigint>"
 OPTIONAL = {"alphabet": "string", "variety": "string", "min_share": "double", "lexical_only": "boolean"}
 
 
@@ -35,7 +33,7 @@ def sentence_cases(lines: DataFrame, registry: DataFrame, source: dict[str, Colu
 
     ``seed_key`` names the random numbers of a source (its code by default). ``source`` are the fields that a case's
     ``source`` states besides first and last sentence; with ``ids`` those give way to the list of ``line`` values.
-    A source's sentences are one task's input: these are evaluation corpora. Sources without lines give no case.
+    Sources without lines give no case.
     """
     wanted = chosen(registry, only).withColumn("seed_key", F.col("code") if seed_key is None else seed_key)
     words = tx.split_words(F.col("text"))
@@ -43,15 +41,9 @@ def sentence_cases(lines: DataFrame, registry: DataFrame, source: dict[str, Colu
     given = lines.select("code", "line", "text").where(F.size(words) > 0).join(F.broadcast(wanted), "code")
     given = given.select("prefix", "seed_key", "script", "min_share", F.col("line").cast("long").alias("line"), text.alias("text")).where(F.size(words) > 0)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line")
-        prefix, key, script, least = pdf[["prefix", "seed_key", "script", "min_share"]].iloc[0]
-        accept = (lambda t: sm.share_of_script(t, script) >= least) if pd.notna(least) and least > 0 else (lambda t: True)
-        places = pdf["line"].tolist()
-        rows = sm.choose_windows(pdf["text"].tolist(), key, seed, lengths, per_length, accept=accept)
-        return pd.DataFrame([(prefix, *row[1:], places[row[4] - 1 : row[5]]) for row in rows], columns=[c.split()[0] for c in FOUND.split(", ")])
-
-    found = given.groupBy("prefix").applyInPandas(run, FOUND).join(F.broadcast(wanted), "prefix")
+    found = sm.windows(given, "prefix", seed, lengths, per_length, seed_key="seed_key", script="script", least="min_share")
+    found = found.select(F.col("key").alias("prefix"), "word_count", "number", "text", F.col("line_start").alias("sentence_start"), F.col("line_end").alias("sentence_end"), F.col("places").alias("sentence_ids"))
+    found = found.join(F.broadcast(wanted), "prefix")
     place = [F.col("sentence_ids")] if ids else [F.col("sentence_start"), F.col("sentence_end")]
     stated = F.struct(*(c.alias(k) for k, c in source.items()), *place).alias("source")
     named = sm.case_ids(found, "").withColumn("id", F.concat("prefix", "id"))

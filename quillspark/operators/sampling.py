@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import charsets
 from ..functions import text as tx
 from ..functions.transliterate import uyghur_cyrillic, uyghur_latin, uyghur_new_script
 from ..sources.readers import paragraphs
 
 LENGTHS = (1, 2, 3, 5, 10, 20, 50, 100)
-TRIES = 10_000
-CASE = "key string, word_count int, number int, text string, line_start int, line_end int"
 
 
 def page_samples(pages: DataFrame, label: str, html: str = "html", words: int = 1000) -> DataFrame:
@@ -28,8 +24,6 @@ def line_samples(lines: DataFrame, key: str = "key", words: int = 1000) -> DataF
 
     Only as many lines as can be needed are gathered: those before the running word count reaches the size.
     """
-    from pyspark.sql import Window
-
     sized = lines.withColumn("n", F.size(tx.split_words(F.col("text"))))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     needed = sized.withColumn("before", before).where(F.col("before") < words)
@@ -38,89 +32,107 @@ def line_samples(lines: DataFrame, key: str = "key", words: int = 1000) -> DataF
     return texts.select(key, F.when(F.col("n") >= words, text).otherwise(F.raise_error(F.concat(F.lit("too few words for "), F.col(key)))).alias("text"))
 
 
-def share_of_script(text: str, script: str) -> float:
-    """Share of a text's letters that are of the script; Han counts for Japanese; 0 without letters."""
-    from ..functions.rowlocal import scripts_at
+#: Words of a line that a window may start at.
+DRAWS = 4
+#: Places of words that meet in one key of a join.
+BLOCK = 128
 
-    letters = sum(c.isalpha() for c in text)
-    mine = sum(s == script or (script == "Jpan" and s == "Hani") for _, s in scripts_at(text))
-    return mine / letters if letters else 0.0
 
+def drawn(*parts: Column | str) -> Column:
+    """A number below 2**32 that follows from what it is drawn for, and from nothing else: the same in every engine that has MD5."""
+    named = F.concat_ws(":", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("long")
 
-def choose_windows(lines: list[str], key: str, seed: str, lengths=LENGTHS, per_length: int = 5, lexical=lambda word: any(c.isalpha() for c in word), accept=lambda text: True) -> list[tuple]:
-    """Random windows of whole words that start in different lines and differ in text.
 
-    A window starts at a random word of a random line and runs into the following lines; every word
-    must hold a letter. Each length has a generator of its own, seeded by seed, key and length.
-    """
-    split = [line.split() for line in lines]
-    out, starts, texts = [], set(), set()
-    for n in lengths:
-        rng = random.Random(f"{seed}:{key}:{n}")
-        for number in range(1, per_length + 1):
-            for _ in range(TRIES):
-                first = rng.randrange(len(lines))
-                if first in starts:
-                    continue
-                words = split[first][rng.randrange(len(split[first])) :]
-                last = first
-                while len(words) < n and last + 1 < len(lines):
-                    last += 1
-                    words = words + split[last]
-                text = " ".join(words[:n])
-                if len(words) < n or not all(map(lexical, words[:n])) or text in texts or not accept(text):
-                    continue
-                starts.add(first)
-                texts.add(text)
-                out.append((key, n, number, text, first + 1, last + 1))
-                break
-            else:
-                raise RuntimeError(f"no unique window of {n} words in {key}")
-    return out
+def _placed(lines: DataFrame) -> DataFrame:
+    """``_key, _line, _nth, _words, _before``: lines that hold words, numbered from 1, and how many words of the key stand before each."""
+    held = lines.withColumn("_words", tx.split_words(F.col("_text"))).where(F.size("_words") > 0)
+    order = Window.partitionBy("_key").orderBy("_line")
+    before = F.coalesce(F.sum(F.size("_words")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.select("_key", "_line", "_words", F.row_number().over(order).alias("_nth"), before.cast("long").alias("_before"))
 
 
-def window_cases(lines: DataFrame, key: str = "key", seed: str = "cases", lengths=LENGTHS, per_length: int = 5, script: str | None = None, min_share: float = 0.0) -> DataFrame:
-    """Cases of every length for each key of ``lines`` (key, line, text).
+def _filled(spans: DataFrame, placed: DataFrame) -> DataFrame:
+    """``spans`` (_key, _at, _n, ...) with ``_found``, the words from place ``_at`` on, ``_n`` of them if the key has so many.
 
-    Python's generator makes them reproducible, which no SQL function can; a key's lines are one task's
-    input, so this is for evaluation corpora, whose keys are small.
+    Words meet the spans that need them in blocks of places, so a key of any length is no group.
+    """
+    words = placed.select("_key", F.posexplode("_words").alias("_i", "_word"), (F.col("_before") + F.col("_i")).alias("_place"), "_nth", "_line")
+    words = words.select("_key", F.floor(F.col("_place") / BLOCK).alias("_block"), F.struct("_place", "_word", "_nth", "_line").alias("_w"))
+    keyed = spans.withColumn("_span", F.struct(*spans.columns))
+    blocks = F.sequence(F.floor(F.col("_at") / BLOCK), F.floor((F.col("_at") + F.col("_n") - 1) / BLOCK))
+    asked = keyed.select("_key", "_span", F.explode(blocks).alias("_block"))
+    met = asked.join(words, ["_key", "_block"]).where((F.col("_w._place") >= F.col("_span._at")) & (F.col("_w._place") < F.col("_span._at") + F.col("_span._n")))
+    return met.groupBy("_span").agg(F.sort_array(F.collect_list("_w")).alias("_found")).select("_span.*", "_found").withColumn("_text", F.array_join(F.transform("_found", lambda w: w["_word"]), " "))
+
+
+def windows(lines: DataFrame, key: str = "key", seed: str = "cases", lengths=LENGTHS, per_length: int = 5, seed_key: str | None = None, script: str | None = None, least: str | None = None) -> DataFrame:
+    """Windows of whole words for each key of ``lines`` (key, line, text): ``key, word_count, number, text, line_start, line_end, places``.
+
+    A window starts in a line of its own, which is drawn for one of the lengths, at a word that is drawn too (up to DRAWS times until
+    the window holds what is asked), and runs on into the lines that follow. Every word holds a letter, texts of a key differ, and with ``script`` and ``least`` (columns)
+    so great a share of the letters is of the script. Draws follow from ``seed``, ``seed_key`` (the key) and the line's number.
+    Of the windows that hold what is asked, those with the least draw are taken; too few are an error. ``line_start`` and
+    ``line_end`` count the lines with words from 1, ``places`` are their ``line`` values.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line")
-        rows = choose_windows(list(pdf["text"]), str(pdf[key].iloc[0]), seed, lengths, per_length, accept=(lambda t: share_of_script(t, script) >= min_share) if script else lambda t: True)
-        return pd.DataFrame(rows, columns=["key", "word_count", "number", "text", "line_start", "line_end"])
+    more = [c for c in (script, least) if c]
+    facts = lines.select(F.col(key).alias("_key"), F.col(seed_key or key).cast("string").alias("_seed"), *(F.col(c).alias(f"_{k}") for k, c in zip(("script", "least"), more, strict=False)))
+    facts = facts.groupBy("_key").agg(*(F.first(c).alias(c) for c in facts.columns if c != "_key"))
+    placed = _placed(lines.select(F.col(key).alias("_key"), F.col("line").alias("_line"), F.col("text").alias("_text")))
+    starts = placed.select("_key", "_nth", "_before", F.size("_words").alias("_size")).join(facts, "_key")
+    starts = starts.withColumn("_h", drawn(seed, F.col("_seed"), F.col("_nth")))
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_h", "_nth")) - 1
+    starts = starts.withColumn("_n", F.get(F.array(*map(F.lit, lengths)), turn % len(lengths)))
+    starts = starts.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    starts = starts.withColumn("_at", F.col("_before") + drawn(seed, F.col("_seed"), F.col("_nth"), "word", F.col("_j")) % F.col("_size")).drop("_before", "_size", "_seed")
+    found = _filled(starts, placed).where((F.size("_found") == F.col("_n")) & tx.all_lexical(F.transform("_found", lambda w: w["_word"])))
+    if more:
+        shares = F.create_map(*(x for s in charsets.SCRIPTS for x in (F.lit(s), tx.script_share(F.col("_text"), s))))
+        found = found.where(F.coalesce(F.col("_least"), F.lit(0.0)) <= F.coalesce(F.when(F.col("_least") > 0, F.element_at(shares, F.col("_script"))), F.lit(0.0)))
+    first = found
+    for same in (["_key", "_n", "_text"], ["_key", "_nth"]):  # a text once, and a line once
+        first = first.withColumn("_k", F.row_number().over(Window.partitionBy(*same).orderBy("_h", "_nth", "_j"))).where("_k = 1")
+    number = F.row_number().over(Window.partitionBy("_key", "_n").orderBy("_h", "_nth"))
+    taken = first.withColumn("_number", number).where(F.col("_number") <= per_length)
+    wanted = facts.select("_key", F.explode(F.array(*map(F.lit, lengths))).alias("_n")).select("_key", "_n", F.explode(F.sequence(F.lit(1), F.lit(per_length))).alias("_number"))
+    missing = F.raise_error(F.concat(F.lit("no further window of "), F.col("_n").cast("string"), F.lit(" words in "), F.col("_key").cast("string")))
+    out = wanted.join(taken, ["_key", "_n", "_number"], "left")
+    return out.select(
+        F.col("_key").alias("key"), F.col("_n").alias("word_count"), F.col("_number").alias("number"), F.coalesce("_text", missing).alias("text"),
+        F.get("_found", F.lit(0))["_nth"].alias("line_start"), F.get("_found", F.col("_n") - 1)["_nth"].alias("line_end"),
+        F.array_distinct(F.transform("_found", lambda w: w["_line"])).alias("places"),
+    )
 
-    return lines.where(F.size(tx.split_words(F.col("text"))) > 0).groupBy(key).applyInPandas(run, CASE)
+
+def window_cases(lines: DataFrame, key: str = "key", seed: str = "cases", lengths=LENGTHS, per_length: int = 5, script: str | None = None, min_share: float = 0.0) -> DataFrame:
+    """Cases of every length for each key: ``windows`` of one script."""
+    given = lines.where(F.size(tx.split_words(F.col("text"))) > 0)
+    if script:
+        given = given.withColumns({"_of": F.lit(script), "_share": F.lit(float(min_share))})
+    return windows(given, key, seed, lengths, per_length, script="_of" if script else None, least="_share" if script else None).drop("places")
 
 
 def held_out_cases(texts: DataFrame, key: str = "key", seed: str = "cases", lengths=LENGTHS, per_length: int = 5, skip: int = 1000, max_gap: int = 0, unique: bool = False) -> DataFrame:
-    """Cases that follow each other behind a text's first ``skip`` words, in shuffled order of length.
+    """Cases behind a text's first ``skip`` words, one after the other in a drawn order, up to ``max_gap`` words between them.
 
-    Up to ``max_gap`` words are left out before each; with ``unique`` a case moves on by a word until its text is new.
-    Positions are counted from 1 in the whole text.
+    The rows of a key are one text, in the order of the column ``line`` if there is one. With ``unique`` twice as many are laid out and of equal
+    texts the first counts. A text that is too short is an error. Positions are counted from 1 in the whole text.
     """
-    columns = ["key", "word_count", "number", "text", "line_start", "line_end"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = str(pdf[key].iloc[0])
-        words = " ".join(pdf["text"]).split()[skip:]
-        order = [(n, i) for n in lengths for i in range(1, per_length + 1)]
-        rng = random.Random(f"{seed}:{name}:heldout")
-        rng.shuffle(order)
-        at, seen, out = 0, set(), []
-        for n, i in order:
-            at += rng.randint(0, max_gap) if max_gap else 0
-            while unique and " ".join(words[at : at + n]) in seen and at + n < len(words):
-                at += 1
-            if at + n > len(words):
-                raise ValueError(f"held-out text of {name} is too short")
-            text = " ".join(words[at : at + n])
-            seen.add(text)
-            out.append((name, n, i, text, skip + 1 + at, skip + at + n))
-            at += n
-        return pd.DataFrame(out, columns=columns)
-
-    return texts.groupBy(key).applyInPandas(run, CASE)
+    line = F.col("line") if "line" in texts.columns else F.lit(0)
+    placed = _placed(texts.select(F.col(key).alias("_key"), line.alias("_line"), F.col("text").alias("_text")))
+    laid = per_length * (2 if unique else 1)
+    pairs = placed.select("_key").distinct().select("_key", F.explode(F.array(*map(F.lit, lengths))).alias("_n"))
+    pairs = pairs.select("_key", "_n", F.explode(F.sequence(F.lit(1), F.lit(laid))).alias("_number")).withColumn("_h", drawn(seed, F.col("_key"), F.col("_n"), F.col("_number"), "place"))
+    gap = drawn(seed, F.col("_key"), F.col("_n"), F.col("_number"), "gap") % (max_gap + 1)
+    order = Window.partitionBy("_key").orderBy("_h", "_n", "_number")
+    spans = pairs.withColumn("_gap", gap).withColumn("_at", skip + F.sum(F.col("_gap") + F.col("_n")).over(order) - F.col("_n")).drop("_gap")
+    whole = F.coalesce(F.size("_found"), F.lit(0)) == F.col("_n")
+    filled = spans.join(_filled(spans, placed).select("_key", "_n", "_number", "_found", "_text"), ["_key", "_n", "_number"], "left")
+    out = filled.withColumn("_text", F.when(whole, F.col("_text")).otherwise(F.raise_error(F.concat(F.lit("held-out text is too short: "), F.col("_key").cast("string")))))
+    if unique:
+        out = out.withColumn("_k", F.row_number().over(Window.partitionBy("_key", "_n", "_text").orderBy("_at"))).where("_k = 1")
+        out = out.withColumn("_number", F.row_number().over(Window.partitionBy("_key", "_n").orderBy("_at"))).where(F.col("_number") <= per_length)
+    return out.select(F.col("_key").alias("key"), F.col("_n").alias("word_count"), F.col("_number").alias("number"), F.col("_text").alias("text"), (F.col("_at") + 1).cast("int").alias("line_start"), (F.col("_at") + F.col("_n")).cast("int").alias("line_end"))
 
 
 def case_ids(cases: DataFrame, prefix: str) -> DataFrame:

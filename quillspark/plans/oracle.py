@@ -145,6 +145,25 @@ def script_cuts(alphabets: list[tuple[str, str]]) -> str:
     )
 
 
+def windows() -> str:
+    """Every line's window, drawn by MD5, cut from its key's words; those that hold what is asked are taken by draw."""
+    draw = lambda *parts: f"('0x' || substring(md5('cases:' || key || ':' || nth{''.join(parts)}), 1, 8))::BIGINT"
+    letter = quote(charsets.char_class("letter"))
+    return (
+        "WITH lines AS (SELECT printf('d%06d', doc_id // 250) AS key, doc_id AS line, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents), "
+        "held AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY line) AS nth, coalesce(sum(len(ws)) OVER (PARTITION BY key ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM lines WHERE len(ws) > 0), "
+        f"draws AS (SELECT *, {draw()} AS h, {draw(chr(32) + '||' + chr(32) + quote(':word:') + ' || j')} AS h2 FROM held, (SELECT unnest(range(4)) AS j)), "
+        "starts AS (SELECT *, [1, 2, 3, 5, 10, 20, 50, 100][(dense_rank() OVER (PARTITION BY key ORDER BY h, nth) - 1) % 8 + 1] AS n, before + h2 % len(ws) AS a FROM draws), "
+        "whole AS (SELECT key, flatten(list(ws ORDER BY nth)) AS ws, flatten(list(list_transform(ws, lambda w: nth) ORDER BY nth)) AS nths FROM held GROUP BY key), "
+        "cut AS (SELECT s.key, s.nth, s.h, s.j, s.n, w.ws[s.a + 1:s.a + s.n] AS ws, w.nths[s.a + s.n] AS line_end FROM starts s JOIN whole w USING (key)), "
+        f"good AS (SELECT *, array_to_string(ws, ' ') AS text FROM cut WHERE len(ws) = n AND len(list_filter(ws, lambda w: regexp_matches(w, {letter}))) = n), "
+        "texts AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY key, n, text ORDER BY h, nth, j) = 1), "
+        "once AS (SELECT * FROM texts QUALIFY row_number() OVER (PARTITION BY key, nth ORDER BY h, nth, j) = 1), "
+        "taken AS (SELECT *, row_number() OVER (PARTITION BY key, n ORDER BY h, nth) AS number FROM once QUALIFY number <= 5) "
+        "SELECT key, n AS word_count, number, text, nth AS line_start, line_end, printf('doc-%03dw-%02d', n, number) AS id FROM taken"
+    )
+
+
 def composed(marked: dict[str, str]) -> str:
     text = "text"
     for c, d in marked.items():
@@ -281,6 +300,7 @@ def statements(alphabets: list[tuple[str, str]], letters_for_uyghur: str, marked
         "detect_mixed_spans": "WITH " + spans(result) + ' SELECT conv_id, turn, s AS start, e AS "end", script, language_code, confidence, resolution FROM span_res',
         "detect_mixed_summary": "WITH " + spans(result) + ", " + summary(),
         "script_boundaries": script_cuts(alphabets),
+        "window_cases": windows(),
         "normalize_composed": composed(marked),
         "clause_boundaries": "WITH " + clauses() + " SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat([0, length(text)], [CAST(e AS BIGINT) for e in ends]))), ' ') AS cuts FROM acc",
     }
