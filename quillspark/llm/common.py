@@ -64,12 +64,12 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``rows`` without most of those whose ``key``, a hash, is not in the column ``key`` of ``keys``.
+def marked(rows: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with the boolean ``name``: whether ``key``, a hash, may be in the column ``key`` of ``keys``.
 
-    No row with such a key is lost; of the others one in ``KEY_BITS`` stays, so an exact join has to follow, which
-    then shuffles what it needs and not the whole table. A bit stands for each key: two bytes a key are broadcast,
-    and 32 MB at most, where more rows stay if there are more keys.
+    It is true for every row whose key is there, and for one in ``KEY_BITS`` of the others, so an exact join of those marked
+    has to follow, which then shuffles what it needs and not the whole table. A bit stands for each key: two bytes a key are
+    broadcast, and 32 MB at most, where more rows are marked if there are more keys.
     """
     size = min(MAX_BITS, KEY_BITS * keys.count())
     pieces = max(1, -(-size // PIECE))
@@ -79,8 +79,14 @@ def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     bits = keys.where(F.col(key).isNotNull()).select(piece.alias(names[0]), bit.cast("long").alias("at")).repartition(names[0])
     bits = bits.groupBy(names[0]).agg(F.bitmap_construct_agg("at").alias(names[1]))
     byte = F.conv(F.hex(F.substring(F.col(names[1]), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.withColumn(names[0], piece).join(F.broadcast(bits), names[0])
-    return found.where(F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1).select(*rows.columns)
+    found = rows.withColumn(names[0], piece).join(F.broadcast(bits), names[0], "left")
+    return found.withColumn(name, F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1, F.lit(False))).drop(*names)
+
+
+def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in the column ``key`` of ``keys``: those that are ``marked``."""
+    name = free(rows, "mark")
+    return marked(rows, keys, key, name).where(name).drop(name)
 
 
 def ascii_lower(text):

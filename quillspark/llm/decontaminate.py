@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, free, staged, table
+from .common import ascii_lower, free, likely, marked, staged, table
 
 #: All but ASCII that is neither a digit nor a lower-case letter. Java finds the ranges that are in the class
 #: three to ten times as fast as the same class as a complement.
@@ -84,7 +84,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     is ``window`` consecutive words of an item; an item of fewer words, but some, is one
     window; an item of none, or null, has none. Null and empty documents have no words, no hit
     and the digest of the empty string. Repeated rows each get their result. Items that
-    share an id count once.
+    share an id count once; one without an id marks words and counts in no ``n_items``.
 
     Fingerprints of all document windows meet those of the items in one join; only documents
     with a shared fingerprint then have their windows of that fingerprint compared word by
@@ -121,7 +121,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .groupBy(*KEY)
         .agg(F.collect_set(F.struct("len", "fp")).alias("fps"))
     )
-    mine = rows.join(found, KEY).select(*KEY, "fps", words_of(F.col("_text")).alias("w"))
+    # few documents share a fingerprint: the others' texts stay where they are
+    found = staged(found, "sharing")
+    mine = likely(rows, found.select("_k1"), "_k1").join(found, KEY).select(*KEY, "fps", words_of(F.col("_text")).alias("w"))
 
     def places(n: int) -> Column:
         """Windows of the length whose fingerprint is shared."""
@@ -178,11 +180,16 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
 
 
 def without(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` without the rows whose key is in ``bad``; columns of any name stay as they are."""
-    b1, b2 = free(docs, "b1"), free(docs, "b2")
+    """``docs`` without the rows whose key is in ``bad``; columns of any name stay as they are.
+
+    Only rows that a bitmap of the keys marks are looked up in ``bad`` and shuffled for it.
+    """
+    b1, b2, m1, m2, mark = (free(docs, n) for n in ("b1", "b2", "m1", "m2", "mark"))
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    bad = bad.select(F.col("_k1").alias(b1), F.col("_k2").alias(b2)).distinct()
-    return docs.join(bad, (k1 == F.col(b1)) & (k2 == F.col(b2)), "left_anti")
+    bad = staged(bad.select(F.col("_k1").alias(m1), F.col("_k2").alias(b2)).distinct(), "bad")
+    seen = marked(docs.withColumn(m1, k1).withColumn(m2, k2), bad, m1, mark)
+    asked = seen.where(mark).join(bad.withColumnRenamed(m1, b1), (F.col(m1) == F.col(b1)) & (F.col(m2) == F.col(b2)), "left_anti")
+    return seen.where(~F.col(mark)).unionByName(asked).drop(m1, m2, mark)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

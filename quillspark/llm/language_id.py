@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .decontaminate import row_key, without
 from .textkit import U, chunks, mix
 
 #: Blended spectrum: presence of the byte n-grams of these lengths, hashed into BUCKETS.
@@ -228,9 +227,12 @@ def held_out(doc_id):
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = REJECT_BELOW) -> DataFrame:
     """``docs`` without what has no language: ``und``, or evidence under ``below``. Columns stay."""
     model = train(docs.where(~held_out(F.col(id_col))), lang_col, text_col, id_col)
-    k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    scored = predict(docs.select(k1, k2, F.col(text_col)), model, text_col, ["_k1", "_k2"], evidence=True)
-    return without(docs, scored.where((F.col("lang_pred") == "und") | (F.col("evidence") < below)), id_col, text_col)
+    # all columns go through the batches under names of their own, so nothing has to be joined back
+    held = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in held.items()))
+    scored = predict(plain, model, next(n for c, n in held.items() if c.lower() == text_col.lower()), list(held.values()), evidence=True)
+    kept = scored.where((F.col("lang_pred") != "und") & (F.col("evidence") >= below))
+    return kept.select(*(F.col(n).alias(c) for c, n in held.items()))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
