@@ -15,6 +15,7 @@ from . import charsets
 
 TOP = 300
 SIZES = (2, 3, 4)
+#: What ends a clause.
 CLAUSE = re.compile(r"(?:\r\n|\r|\n|[.!?;:]+)[\t \f\v]*")
 _FOLD = str.maketrans(dict.fromkeys(fixed.APOSTROPHES, "'"))
 _CURLY = frozenset(fixed.APOSTROPHES) - {"'"}

@@ -29,28 +29,55 @@ def normalise_language(value: Column) -> Column:
     return F.when(~low.isin(*UNKNOWN), low)
 
 
+def _first_named(names: tuple[str, ...], there, value) -> Column:
+    """The value of the first name that is there, even if that value is null."""
+    out = F.lit(None).cast("string")
+    for name in reversed(names):
+        out = F.when(there(name), value(name).cast("string")).otherwise(out)
+    return out
+
+
 def parse_prediction(frame: DataFrame, column: str) -> tuple[Column, Column]:
-    """(language, script) of a prediction column: a code, or a struct whose fields are found by name.
+    """(language, script) of a prediction column: a code, or a struct, map or variant in which they are found by name.
 
-    The first field that is there counts, even where it is null. An array counts by its first element.
-    Without a script, that of the language counts if it has one only.
+    The first name that is there counts, even where its value is null; what is there is known by the type of a struct, and
+    row by row of a map or a variant. An array counts by its first element. A bare string that names a script is one. Without a
+    script, that of the language counts if it has one only.
     """
     kind, value = frame.schema[column].dataType, F.col(column)
     if isinstance(kind, T.ArrayType):
         kind, value = kind.elementType, F.get(value, F.lit(0))
+    none = F.lit(None).cast("string")
     if isinstance(kind, T.StringType):
-        language, script = value, F.lit(None).cast("string")
+        language, script = _bare(value)
     elif isinstance(kind, T.StructType):
-        pick = lambda names: next((value[n] for n in names if n in kind.names), F.lit(None).cast("string"))
-        language, script = pick(LANGUAGE_FIELDS), pick(SCRIPT_FIELDS)
         if not {*LANGUAGE_FIELDS, *SCRIPT_FIELDS} & {*kind.names}:
             raise ValueError(f"no language and no script among {kind.names}")
+        pick = lambda names: _first_named(tuple(n for n in names if n in kind.names), lambda n: F.lit(True), lambda n: value[n])
+        language, script = pick(LANGUAGE_FIELDS), pick(SCRIPT_FIELDS)
+    elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        pick = lambda names: _first_named(names, lambda n: F.coalesce(F.map_contains_key(value, n), F.lit(False)), lambda n: F.try_element_at(value, F.lit(n)))
+        language, script = pick(LANGUAGE_FIELDS), pick(SCRIPT_FIELDS)
+    elif isinstance(kind, T.VariantType):
+        at = lambda path, to="string": F.try_variant_get(value, path, to)
+        pick = lambda names: _first_named(names, lambda n: at(f"$.{n}", "variant").isNotNull(), lambda n: at(f"$.{n}"))
+        shape = F.schema_of_variant(value)
+        bare, listed = shape == "STRING", shape.startswith("ARRAY")
+        as_text = _bare(at("$"))
+        language = F.when(bare, as_text[0]).when(listed, at("$[0]")).otherwise(pick(LANGUAGE_FIELDS))
+        script = F.when(bare, as_text[1]).when(listed, none).otherwise(pick(SCRIPT_FIELDS))
     else:
-        raise TypeError(f"a prediction is a string or a struct, not {kind.simpleString()}")
+        raise TypeError(f"a prediction is a string, a struct, a map or a variant, not {kind.simpleString()}")
     language = normalise_language(language)
     return language, F.coalesce(normalise_script(script), names_of(fixed.LANGUAGE_SCRIPTS, language))
 
 
+def _bare(value: Column) -> tuple[Column, Column]:
+    """A string by itself: the name of a script, or a language."""
+    script = names_of(fixed.SCRIPT_ALIASES, F.lower(F.trim(value)))
+    return F.when(script.isNull(), value), script
+
+
 def evaluate(cases: DataFrame, detector: Callable[[DataFrame], DataFrame] | None = None, column: str = "detection") -> DataFrame:
     """Cases with ``predicted_language, predicted_script, language_correct, script_correct, resolution``.
 

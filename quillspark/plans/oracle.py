@@ -164,6 +164,33 @@ def windows() -> str:
     )
 
 
+def case_checks() -> str:
+    before = "coalesce(lag(line_end) OVER (PARTITION BY key ORDER BY line_start, line_end), 0)"
+    return (
+        f"WITH c AS ({windows()}) SELECT 'buckets' AS \"check\", count(*) AS n FROM (SELECT key, word_count FROM c GROUP BY ALL HAVING count(*) <> 5) "
+        f"UNION ALL SELECT 'overlaps', count(*) FROM (SELECT line_start <= {before} AS bad FROM c) WHERE bad "
+        "UNION ALL SELECT 'texts', count(*) FROM (SELECT text FROM c GROUP BY text HAVING count(*) > 1)"
+    )
+
+
+def predictions(shapes: tuple[str, ...]) -> str:
+    """The first key that an object has counts, whatever its value; strings and lists count by themselves."""
+    known = lambda table, x: "CASE " + x + " " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in table.items()) + " END"
+    first = lambda names: "CASE " + " ".join(f"WHEN list_contains(json_keys(j), '{n}') THEN j->>'{n}'" for n in names) + " END"
+    alias = lambda x: f"coalesce({known(fixed.SCRIPT_ALIASES, f'lower(trim({x}))')}, {x})"
+    language = lambda x: f"CASE WHEN lower(trim({x})) NOT IN ('', 'und', 'unknown', 'uncertain') THEN lower(trim({x})) END"
+    bare = known(fixed.SCRIPT_ALIASES, "lower(trim(j->>'$'))")
+    cases = " ".join(f"WHEN {i} THEN {quote(x)}" for i, x in enumerate(shapes))
+    object_ = f"CASE WHEN json_type(j) = 'OBJECT' THEN {first(('language_code', 'language', 'code'))} END", f"CASE WHEN json_type(j) = 'OBJECT' THEN {first(('script', 'alphabet', 'script_code'))} END"
+    return (
+        f"WITH p AS (SELECT doc_id, CAST(replace(CASE doc_id % {len(shapes)} {cases} END, '%s', lang) AS JSON) AS j FROM documents), "
+        f"o AS (SELECT doc_id, j, {object_[0]} AS ol, {object_[1]} AS os FROM p), "
+        f"r AS (SELECT doc_id, CASE json_type(j) WHEN 'VARCHAR' THEN CASE WHEN {bare} IS NULL THEN j->>'$' END WHEN 'ARRAY' THEN j->>'$[0]' ELSE ol END AS l, CASE json_type(j) WHEN 'VARCHAR' THEN {bare} WHEN 'OBJECT' THEN os END AS s, ol, os FROM o), "
+        f"n AS (SELECT doc_id, {language('l')} AS language, {alias('s')} AS script, {language('ol')} AS map_language, {alias('os')} AS map_script FROM r) "
+        f"SELECT doc_id, language, coalesce(script, {known(fixed.LANGUAGE_SCRIPTS, 'language')}) AS script, map_language, coalesce(map_script, {known(fixed.LANGUAGE_SCRIPTS, 'map_language')}) AS map_script FROM n"
+    )
+
+
 def composed(marked: dict[str, str]) -> str:
     text = "text"
     for c, d in marked.items():
@@ -174,6 +201,7 @@ def composed(marked: dict[str, str]) -> str:
 def clauses() -> str:
     """Boundaries of the turns' clauses: their texts hold one script, so clauses alone cut them. Runs of
     the dividing marks and of what is between them are taken in turn, and their lengths added up."""
+    # fixed values: what ends a clause
     mark = r"(?:\r\n|\r|\n|[.!?;:]+)[\t \f\v]*"
     return (
         f"bit AS (SELECT conv_id, turn, text, regexp_extract_all(text, {quote(mark + '|[^' + chr(92) + 'r' + chr(92) + 'n.!?;:]+')}) AS bits FROM conversations), "
@@ -231,7 +259,7 @@ def uyghur(letters: str) -> str:
     return f"SELECT doc_id, sha256({out[0]}) AS latin, sha256({out[1]}) AS cyrillic, sha256({out[2]}) AS new_script FROM documents"
 
 
-def statements(alphabets: list[tuple[str, str]], letters_for_uyghur: str, marked: dict[str, str]) -> dict[str, str]:
+def statements(alphabets: list[tuple[str, str]], letters_for_uyghur: str, marked: dict[str, str], shapes: tuple[str, ...]) -> dict[str, str]:
     base = (NORM, TOKENS, WORDS)
     full = (*base, GRAMS, TOP, letter_counts(), dominant(), cues(), letters(), distances(), scored())
     result = with_(
@@ -301,6 +329,8 @@ def statements(alphabets: list[tuple[str, str]], letters_for_uyghur: str, marked
         "detect_mixed_summary": "WITH " + spans(result) + ", " + summary(),
         "script_boundaries": script_cuts(alphabets),
         "window_cases": windows(),
+        "parsed_predictions": predictions(shapes),
+        "case_checks": case_checks(),
         "normalize_composed": composed(marked),
         "clause_boundaries": "WITH " + clauses() + " SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat([0, length(text)], [CAST(e AS BIGINT) for e in ends]))), ' ') AS cuts FROM acc",
     }

@@ -152,6 +152,33 @@ def eval_quality_checks(spark, sf_dir):
     return ev.violations(spread(documents(spark, sf_dir)), checks)
 
 
+#: Shapes of predictions as JSON, dealt out by id; %s is the text's language.
+SHAPES = (
+    '"%s"', '{"language_code": " %s ", "script": "latin"}', '{"language_code": null, "language": "%s", "alphabet": "Latn"}', '{"language": "und", "alphabet": "Cyrillic", "script_code": "x"}',
+    '{"code": "%s", "script_code": "ARAB", "score": 0.5}', '["%s", 0.9]', '"Cyrillic"', '{"script": null, "alphabet": "Latin", "language": "%s"}', '{"score": 1}', '"und"',
+)
+
+
+def parsed_predictions(spark, sf_dir):
+    """Language and script of predictions of every shape, read as a variant, and those that are objects as a map too."""
+    shape = F.get(F.array(*map(F.lit, SHAPES)), F.pmod("doc_id", F.lit(len(SHAPES))).cast("int"))
+    rows = documents(spark, sf_dir).select("doc_id", F.replace(shape, F.lit("%s"), F.col("lang")).alias("json"))
+    rows = rows.select("doc_id", F.parse_json("json").alias("v"), F.when(F.startswith("json", F.lit("{")), F.from_json("json", "map<string, string>")).alias("m"))
+    (language, script), (map_language, map_script) = ev.parse_prediction(rows, "v"), ev.parse_prediction(rows, "m")
+    return rows.select("doc_id", language.alias("language"), script.alias("script"), map_language.alias("map_language"), map_script.alias("map_script"))
+
+
+def case_checks(spark, sf_dir):
+    """What is wrong with the case windows of the documents: buckets short of 5, lines that two cases of a key share, texts that occur twice."""
+    cases = window_cases(spark, sf_dir)
+    wanted = cases.select("key").distinct().select("key", F.explode(F.array(*map(F.lit, sm.LENGTHS))).alias("word_count"), F.lit(5).cast("long").alias("n"))
+    short = ev.bucket_differences(cases, wanted, ["key", "word_count"]).agg(F.count(F.lit(1)).alias("n"))
+    shared = ev.overlaps(cases, "key", "line_start", "line_end").agg(F.count(F.lit(1)).alias("n"))
+    twice = ev.duplicates(cases, "text").agg(F.count(F.lit(1)).alias("n"))
+    named = lambda df, name: df.select(F.lit(name).alias("check"), "n")
+    return named(short, "buckets").unionByName(named(shared, "overlaps")).unionByName(named(twice, "texts"))
+
+
 def duplicate_texts(spark, sf_dir):
     return ev.duplicates(documents(spark, sf_dir), "text").select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "n")
 
@@ -323,9 +350,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, tokenize, token_stats, script_letter_counts, dominant_script, ngram_counts, ngram_top300, cue_scores, distinctive_scores, rank_distance,
-        build_profiles, detect, detect_rowlocal, detect_alternatives, detect_confusion, eval_totals, eval_grouping_sets, eval_confusions, eval_quality_checks, duplicate_texts,
+        build_profiles, detect, detect_rowlocal, detect_alternatives, detect_confusion, eval_totals, eval_grouping_sets, eval_confusions, eval_quality_checks, duplicate_texts, parsed_predictions, case_checks,
         detect_mixed_spans, detect_mixed_summary, clause_boundaries, script_boundaries, normalize_composed, exclusive_letters, script_letters_respelled, scripts_respelled, script_shares, diagnostic_counts, top_letters, top_words, top_bigrams,
         html_paragraphs, first_n_words, lexical_words, latin_share, text_digests, window_cases, case_buckets, uyghur_transliterate,
     )
 }
-ORACLE = oracle.statements([(LATIN, alphabet(start)) for start in ALPHABETS], LATIN_FOR_UYGHUR, MARKED)
+ORACLE = oracle.statements([(LATIN, alphabet(start)) for start in ALPHABETS], LATIN_FOR_UYGHUR, MARKED, SHAPES)

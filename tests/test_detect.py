@@ -1,6 +1,8 @@
 """Detection of texts: known sentences, rules, and that the forms agree."""
 
 import json
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +202,44 @@ def test_stream_equals_batch(spark, texts, tmp_path):
     q.awaitTermination(120)
     got = {r.id: r.language_code for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {i: (D.detect(t) or {"language_code": None})["language_code"] for i, t in enumerate(TEXTS)}
+
+
+def test_boundaries_are_columns(spark):
+    rng = random.Random(1)
+    parts = ["a", "B", "é", "ж", "Я", "ب", "漢", "ひ", "カ", "א", "अ", "ि", "!", "?.", "\r\n", "\r", "\n", " ", "\t", "\x0b", ";", "1", "", "😀", "𠀀", "\ue000"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))) for _ in range(400)] + ["x. " * 3000, "漢a" * 700, ""]
+    d = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string")
+    for i, t, ends, changes in d.select("i", "t", tx.clause_ends(F.col("t")), tx.script_changes(F.col("t"))).collect():
+        assert (ends, changes) == (([m.end() for m in rowlocal.CLAUSE.finditer(t)], rowlocal.script_changes(t)) if i >= 0 else (None, None)), t
+    runs = d.where("i = 401").select(tx.script_runs(F.col("t"))).first()[0]
+    assert [tuple(r) for r in runs[:3]] == [("Hani", 1), ("Latn", 2), ("Hani", 3)] and len(runs) == 1400
+
+
+def test_normal_forms_are_columns(spark):
+    texts = ["ﬁne Straße İstanbul", "e\u0301 Å ẛ̣ q\u0323\u0307 q\u0307\u0323", "Ǆ ŉ ΐ ﷺ 한글 ᄒ\u1161\u11ab ｶﾞ", "", "plain ASCII"]
+    d = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    t = F.col("t")
+    for r in d.select("t", tx.nfc(t).alias("nfc"), tx.nfkc(t).alias("nfkc"), tx.nfc_casefold(t).alias("fold"), tx.normalise(t).alias("norm")).collect():
+        n = unicodedata.normalize
+        want = (None,) * 4 if r.t is None else (n("NFC", r.t), n("NFKC", r.t), n("NFC", r.t).casefold(), n("NFKC", r.t).casefold().replace("i\u0307", "i"))
+        assert r[1:] == want
+
+
+def test_columns_alone_detect_the_same(spark):
+    """Rank distances of columns and of batches are the same, and neither form shuffles."""
+    rng = random.Random(4)
+    words = ["the", "и", "не", "der", "straße", "ўзбек", "və", "را", "ڪتاب", "नमस्ते", "İ", "漢字", "ひらがな", "o'g'li", "1", "!", "ё"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 80))) for _ in range(60)] + ["", "ß", "GMT کې د", "word " * 3000]
+    d = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id int, text string").coalesce(1)
+    whole = dt.in_rows(d, F.col("text"), "d", arrow=False)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Python" not in plan.replace("ExistingRDD", "")
+    columns = {r.doc_id: r.d for r in whole.collect()}
+    batches = {r.doc_id: r.d for r in dt.in_rows(d, F.col("text"), "d").collect()}
+    want = dict(zip(range(len(texts)), D.detect_all(texts), strict=True))
+    assert columns[-1] is None and batches[-1] is None
+    for i, w in want.items():
+        for got in (columns[i], batches[i]):
+            assert (got.script, got.language_code, got.resolution, got.label) == (w["script"], w["language_code"], w["resolution"], w["label"]), texts[i]
+            assert abs(got.confidence - w["confidence"]) < 2e-6
+            assert [a.language_code for a in got.alternatives] == [a["language_code"] for a in w["alternatives"]] or {a.language_code: round(a.score, 5) for a in got.alternatives} == {a["language_code"]: round(a["score"], 5) for a in w["alternatives"]}

@@ -50,6 +50,18 @@ def test_least_share_of_script(spark):
     assert len(texts) == 4 and all("more" not in t and "word" not in t for t in texts)
 
 
+def test_windows_are_too_few(spark):
+    lines = spark.createDataFrame([("k", i, "1 2 3") for i in range(20)] + [("m", 1, "a b")], "key string, line int, text string")
+    for key, n in (("k", 1), ("m", 5)):
+        with pytest.raises(Exception, match="no further window"):
+            sm.window_cases(lines.where(F.col("key") == key), lengths=(n,), per_length=2).collect()
+    text = spark.createDataFrame([("k", "a b a b a b a b a b a b c d e f g h")], "key string, text string")
+    got = sm.held_out_cases(text, lengths=(1, 2), per_length=2, skip=4, unique=True).collect()
+    assert len({(r.word_count, r.text) for r in got}) == len(got) == 4 and min(r.line_start for r in got) >= 5
+    with pytest.raises(Exception, match="too short"):
+        sm.held_out_cases(text, lengths=(9,), per_length=2, skip=4).collect()
+
+
 def test_word_functions(spark):
     df = spark.createDataFrame([(" a  b c\n12 d-e ",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(tx.first_words(F.col("t"), 3)).collect()] == ["a b c", "", None]
@@ -125,6 +137,26 @@ def test_predictions(spark):
         ev.parse_prediction(spark.createDataFrame([(1,)], "x int"), "x")
 
 
+def test_predictions_of_unknown_shape(spark):
+    from pyspark.sql import types as T
+
+    shapes = [
+        ('{"language_code": null, "language": "fr", "script": "latin"}', None, "Latn"),
+        ('{"language": " UZ ", "alphabet": null, "script": "x"}', "uz", "x"),
+        ('{"code": "de", "n": 1}', "de", "Latn"),
+        ('{"n": 1}', None, None),
+    ]
+    rows = spark.createDataFrame([(j,) for j, _, _ in shapes], "j string")
+    as_map = rows.select("j", F.from_json("j", "map<string, string>").alias("p"))
+    as_variant = rows.unionByName(spark.createDataFrame([('"Cyrillic"',), ('["en", 0.5]',), ('"und"',), (None,)], "j string")).select("j", F.parse_json("j").alias("p"))
+    assert isinstance(as_variant.schema["p"].dataType, T.VariantType)
+    want = {j: (language, script) for j, language, script in shapes}
+    for frame in (as_map, as_variant):
+        got = {r[0]: (r[1], r[2]) for r in frame.select("j", *ev.parse_prediction(frame, "p")).collect()}
+        assert {j: got[j] for j in want} == want
+    assert {j: got[j] for j in ('"Cyrillic"', '["en", 0.5]', '"und"', None)} == {'"Cyrillic"': (None, "Cyrl"), '["en", 0.5]': ("en", "Latn"), '"und"': (None, None), None: (None, None)}
+
+
 def test_evaluation(spark):
     rows = [("en", "Latn", "en", 1, None), ("en", "Latn", "und", 1, "x"), ("de", "Latn", "fr", 2, "x"), ("ru", "Cyrl", "ru", 2, None), ("uz", "Cyrl", "uz", 2, None)]
     cases = spark.createDataFrame([(f"c{i}", *r, None) for i, r in enumerate(rows)], "id string, expected_language string, script string, guess string, word_count int, variety string, alphabet string")
