@@ -5,6 +5,7 @@ import json
 import random
 import tarfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from quillspark.functions.transliterate import uyghur_cyrillic
@@ -40,6 +41,54 @@ def test_archive(spark, lines):
     assert {tuple(r) for r in got} == {("aaa_Latn", 50), ("bbb_Cyrl", 50)}
 
 
+def test_plain_archives_are_read_by_stretches(spark, tmp_path, monkeypatch):
+    from quillspark.sources import archives
+
+    for name in "xy":
+        with tarfile.open(tmp_path / f"{name}.tar", "w") as out:
+            for split in ("dev", "devtest"):
+                for k in range(12):
+                    text = "".join(f"{name}{k} line {i} e\u0301\r\n\n" for i in range(300)).encode()
+                    info = tarfile.TarInfo(f"set/{split}/{name}{k}_Latn.{split}")
+                    info.size = len(text)
+                    out.addfile(info, io.BytesIO(text))
+    index = archives.member_index(spark, str(tmp_path / "*.tar"))
+    assert index.count() == 48
+    got = archives.read_members(index, ["dev"], ["x1_Latn", "x7_Latn", "y3_Latn", "y11_Latn"], stretch=20_000)
+    assert got.select("code", F.spark_partition_id().alias("p")).distinct().select("p").distinct().count() > 2
+    assert {tuple(r) for r in got.groupBy("split", "code").agg(F.count(F.lit(1)), F.max("line"), F.max("text")).collect()} == {("dev", f"{n}_Latn", 300, 300, f"{n} line 99 é") for n in ("x1", "x7", "y3", "y11")}
+    # bytes: headers alone for the index, and of the members only those that are wanted
+    read = []
+
+    class Counting:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.stream.close()
+
+        def read(self, n=-1):
+            data = self.stream.read(n)
+            read.append(len(data))
+            return data
+
+        def __getattr__(self, name):
+            return getattr(self.stream, name)
+
+    opened = archives._open
+    monkeypatch.setattr(archives, "_open", lambda path: Counting(opened(path)))
+    (rows,) = archives._index(iter([pa.RecordBatch.from_pydict({"archive": [str(tmp_path / "x.tar")]})]))
+    whole = (tmp_path / "x.tar").stat().st_size
+    assert sum(read) <= 25 * 1024 < whole / 5
+    read.clear()
+    one = rows.slice(3, 1)
+    assert sum(len(b) for b in archives._read(None, None)(iter([one]))) == 300
+    assert sum(read) == one.column("size")[0].as_py()
+
+
 def test_sentence_cases(spark, lines, tmp_path):
     rows = readers.read_archive_sentences(spark, lines)
     registry = spark.createDataFrame([("aaa_Latn", "aa", "aa", "Aa", "Latn", None, None, True), ("bbb_Cyrl", "bb-cyrl", "bb", "Bb", "Cyrl", "North", 0.95, None), ("ccc_Latn", "cc", "cc", "Cc", "Latn", None, None, None)], REGISTRY)
