@@ -108,9 +108,13 @@ def _measures() -> list[Column]:
 
 def totals(rows: DataFrame) -> DataFrame:
     """One row of counts, with shares as text."""
-    out = rows.agg(*_measures())
+    return with_shares(rows.agg(*_measures()))
+
+
+def with_shares(counts: DataFrame) -> DataFrame:
+    """Counts with their shares as text."""
     n = F.col("cases")
-    return out.withColumns({"exact_share": percentage(F.col("exact"), n), "useful_share": percentage(F.col("exact") + F.col("script_only"), n), "coverage": percentage(F.col("attempted"), n), "accuracy_when_attempted": percentage(F.col("language_correct"), F.col("attempted")), "script_accuracy": percentage(F.col("script_correct"), n)})
+    return counts.withColumns({"exact_share": percentage(F.col("exact"), n), "useful_share": percentage(F.col("exact") + F.col("script_only"), n), "coverage": percentage(F.col("attempted"), n), "accuracy_when_attempted": percentage(F.col("language_correct"), F.col("attempted")), "script_accuracy": percentage(F.col("script_correct"), n)})
 
 
 SETS = (("word_count",), ("expected_language",), ("expected_language", "script"), ("expected_language", "variety"), ("expected_language", "alphabet"))
