@@ -164,8 +164,10 @@ def overlaps(cases: DataFrame, key: str, start: str, end: str, after: int = 0) -
 
 
 def duplicates(rows: DataFrame, column: str) -> DataFrame:
-    """Values that occur more than once."""
-    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Values that occur more than once. Hashes are counted first, so that only values with an equal hash are compared as a whole."""
+    hashed = rows.select(column, F.xxhash64(column).alias("_hash"))
+    again = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
+    return hashed.join(again, "_hash", "left_semi").groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def detector_named(name: str) -> Callable[[DataFrame], DataFrame]:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_cases(cases: DataFrame, path: str) -> None:
-    """One JSON object per line in order of id, in a single file: case sets are small by design."""
-    cases.coalesce(1).sortWithinPartitions("id").write.mode("overwrite").option("ignoreNullFields", True).json(path)
+    """One JSON object per line in order of id: files follow each other in that order, one for a small set."""
+    cases.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
 def write_samples(samples: DataFrame, path: str, label: str = "label", text: str = "text") -> None:
