@@ -99,7 +99,8 @@ def with_script(frame: DataFrame, norm: str, prefix: str = "") -> DataFrame:
     first = {s: F.regexp_instr(rest, F.lit(charsets.java_class(s))) for s in charsets.SCRIPTS}
     first["Jpan"] = F.regexp_instr(rest, F.lit(f"[{charsets.java_class('Jpan')}{charsets.java_class('Hani')}]"))
     tied = [F.when(F.get(counts, F.lit(k)) == F.col(most), F.struct(F.lit(s != "Latn").alias("other"), (F.lit(0) if s == "Latn" else -first[s]).alias("first"), F.lit(s).alias("script"))) for k, s in enumerate(charsets.SCRIPTS)]
-    out = out.withColumn(f"{prefix}script", F.array_max(F.array(*tied))["script"])
+    # a filter on the script that is pushed down would compute all of this again; none passes a column that looks random
+    out = out.withColumn(f"{prefix}script", F.when(F.rand(0) >= 0, F.array_max(F.array(*tied))["script"]))
     total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
     return out.withColumns({f"{prefix}script_share": F.col(most) / total, most: F.col(most).cast("long")}).drop(rest, raw, counts)
 
