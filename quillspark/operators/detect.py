@@ -212,7 +212,8 @@ def in_rows(docs: DataFrame, text: Column, out_col: str, path: str = STORE, arro
         ensure_shipped(docs.sparkSession)
     found = with_result(inrow.with_entries(inrow.features(held, "_text"), docs.sparkSession, path, arrow=arrow), "_found")
     kept = (F.col("_row")[c].alias(c) for c in docs.columns if c.lower() != out_col.lower())
-    return found.select(*kept, F.when(F.col("_text").isNotNull(), F.col("_found")).alias(out_col))
+    # a filter on the result that is pushed down would compute it again; none passes a column that looks random
+    return found.select(*kept, F.when(F.col("_text").isNotNull() & (F.rand(0) >= 0), F.col("_found")).alias(out_col))
 
 
 def detect(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STORE, arrow: bool = True) -> DataFrame:

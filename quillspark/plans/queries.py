@@ -111,7 +111,7 @@ def detect_rowlocal(spark, sf_dir):
 
 
 def detect_alternatives(spark, sf_dir):
-    found = dt.detect(documents(spark, sf_dir), "doc_id").select("doc_id", F.posexplode("alternatives").alias("place", "a"))
+    found = dt.detect(documents(spark, sf_dir), "doc_id").select("doc_id", F.posexplode_outer("alternatives").alias("place", "a")).where("place is not null")
     return found.select("doc_id", "a.language_code", "a.score")
 
 
