@@ -139,8 +139,13 @@ def breakdown(rows: DataFrame, sets=SETS) -> DataFrame:
 
 
 def confusions(rows: DataFrame) -> DataFrame:
-    """``expected_language, predicted, n`` of wrong rows, the most frequent first."""
-    wrong = rows.where("resolution = 'wrong'").groupBy("expected_language", F.coalesce("predicted_language", F.lit("und")).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    """``expected_language, predicted, n`` of wrong rows, the most frequent first.
+
+    Wrong rows are counted and not filtered: a filter on what follows from a detection lets Spark infer constraints
+    through all the columns it is made of, and planning does not end.
+    """
+    pairs = rows.groupBy("expected_language", F.coalesce("predicted_language", F.lit("und")).alias("predicted"))
+    wrong = pairs.agg(F.count_if(F.col("resolution") == "wrong").alias("n")).where("n > 0")
     return wrong.orderBy(F.desc("n"), "expected_language", "predicted")
 
 
