@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +51,35 @@ def nfc_casefold(text: Column) -> Column:
 
 def tokens(norm: Column) -> Column:
     """Words of a normalised text: letters and marks with single inner apostrophes."""
-    folded = F.translate(norm, fixed.APOSTROPHES, "'" * len(fixed.APOSTROPHES))
-    return F.regexp_extract_all(folded, F.lit(f"({charsets.token_pattern(charsets.java_class)})"), F.lit(1))
+    pattern = lambda c: F.lit(f"({c}+(?:'{c}+)*)")
+
+    def plain(rest: Column) -> Column:
+        # what is no letter and no mark is a space, so that a class of three ranges is left
+        none = let(kinds(rest), lambda k: F.regexp_replace(k, charsets.java_class("word") + "+", ""))
+        return let(none, lambda x: F.call_function("translate", norm, F.concat(F.lit(fixed.APOSTROPHES), x), F.concat(F.lit("'" * len(fixed.APOSTROPHES)), F.repeat(F.lit(" "), F.length(x)))))
+
+    beyond = let(beyond_ascii(norm), lambda rest: F.when(rest != "", F.regexp_extract_all(plain(rest), pattern("[A-Za-z\\x80-\\x{10FFFF}]"), F.lit(1))))
+    return F.coalesce(beyond, F.regexp_extract_all(F.replace(norm, F.lit("`"), F.lit("'")), pattern("[A-Za-z]"), F.lit(1)))
+
+
+def beyond_ascii(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\x00-\x7F]+", "")
+
+
+def kinds(text: Column) -> Column:
+    """The different characters of a text: what a class of hundreds of ranges is tried on, in place of every character."""
+    return F.array_join(F.array_distinct(F.split(text, "")), "")
+
+
+def class_counts(text: Column, names: Sequence[str]) -> Column:
+    """How many characters of each of these classes a text has, an array; null for null."""
+    ascii_only = {n: "".join(sorted({chr(c) for a, b in charsets.ranges()[n] if a < 0x80 for c in range(a, min(b, 0x7F) + 1)})) for n in names}
+    plain = {n: F.length(text) - F.length(F.regexp_replace(text, f"[{c}]+", "")) for n, c in ascii_only.items() if c}
+    mine = lambda k, n: F.array_join(F.regexp_extract_all(k, F.lit(f"({charsets.java_class(n)})"), F.lit(1)), "")
+    held = lambda rest, m: F.when(m == "", 0).otherwise(F.length(rest) - F.length(F.call_function("translate", rest, m, F.lit(""))))
+    counted = lambda rest: let(kinds(rest), lambda k: F.transform(F.array(*(mine(k, n) for n in names)), lambda m: held(rest, m)))
+    rest = let(beyond_ascii(text), lambda r: F.when(r == "", F.array(*(F.lit(0) for _ in names))).otherwise(counted(r)))
+    return F.when(text.isNotNull(), F.zip_with(rest, F.array(*(plain.get(n, F.lit(0)) for n in names)), lambda x, y: x + y))
 
 
 def ngrams(word: Column) -> Column:
@@ -63,33 +92,31 @@ def ngrams(word: Column) -> Column:
 
 def raw_script_counts(text: Column) -> Column:
     """``struct`` of letters per script, before kana decide about Han."""
-    return F.struct(*(F.regexp_count(text, F.lit(charsets.java_class(s))).cast("long").alias(s) for s in charsets.SCRIPTS))
+    return let(class_counts(text, charsets.SCRIPTS), lambda n: F.struct(*(F.get(n, F.lit(k)).cast("long").alias(s) for k, s in enumerate(charsets.SCRIPTS))))
 
 
 def script_counts(text: Column) -> Column:
     """``struct`` of letters per script; with kana, Han letters are Japanese."""
-    raw = raw_script_counts(text)
-    kana = F.regexp_count(text, F.lit(charsets.java_class("Jpan"))) > 0
-    fixed_up = {
-        "Jpan": F.when(kana, raw["Jpan"] + raw["Hani"]).otherwise(F.lit(0).cast("long")),
-        "Hani": F.when(kana, F.lit(0).cast("long")).otherwise(raw["Hani"]),
-    }
-    return F.struct(*(fixed_up.get(s, raw[s]).alias(s) for s in charsets.SCRIPTS))
+    def fixed_up(raw: Column) -> Column:
+        kana = raw["Jpan"] > 0
+        han = {
+            "Jpan": F.when(kana, raw["Jpan"] + raw["Hani"]).otherwise(F.lit(0).cast("long")),
+            "Hani": F.when(kana, F.lit(0).cast("long")).otherwise(raw["Hani"]),
+        }
+        return F.struct(*(han.get(s, raw[s]).alias(s) for s in charsets.SCRIPTS))
+
+    return let(raw_script_counts(text), fixed_up)
 
 
 def with_script(frame: DataFrame, norm: str, prefix: str = "") -> DataFrame:
     """Adds ``script, n_script, script_share`` (with ``prefix``): the most frequent script of the letters of a normalised text.
 
     Of equals a non-Latin one counts, then the first seen; all are null without letters. With kana, Han is Japanese.
-    ASCII letters are counted by themselves, so that classes of characters are tried on what is left alone.
+    ASCII letters are counted by themselves, and classes of characters are tried on the different ones of what is left.
     """
     rest, counts, most = f"{prefix}rest", f"{prefix}counts", f"{prefix}n_script"
-    out = frame.withColumn(rest, F.regexp_replace(norm, r"[\x00-\x7F]+", ""))
-    plain = F.length(norm) - F.length(F.regexp_replace(norm, "[A-Za-z]+", ""))
-    of = {s: F.when(F.col(rest) == "", 0).otherwise(F.length(rest) - F.length(F.regexp_replace(rest, charsets.java_class(s) + "+", ""))) for s in charsets.SCRIPTS}
-    of["Latn"] = of["Latn"] + plain
     raw = f"{prefix}letters"
-    out = out.withColumn(raw, F.array(*of.values()))
+    out = frame.withColumns({rest: beyond_ascii(F.col(norm)), raw: class_counts(F.col(norm), charsets.SCRIPTS)})
     n = {s: F.get(raw, F.lit(k)) for k, s in enumerate(charsets.SCRIPTS)}
     kana = n["Jpan"] > 0
     both = n["Jpan"] + n["Hani"]
@@ -117,10 +144,10 @@ def with_dominant_script(frame: DataFrame, text: str) -> DataFrame:
 
 def script_share(text: Column, script: str) -> Column:
     """Share of a text's letters that are of one script; Japanese is kana and Han; 0 without letters."""
-    raw = raw_script_counts(text)
-    mine = raw["Jpan"] + raw["Hani"] if script == "Jpan" else raw[script]
-    letters = F.regexp_count(text, F.lit(charsets.java_class("letter")))
-    return F.coalesce(mine / F.nullif(letters, F.lit(0)), F.lit(0.0))
+    names = ["letter", *(("Jpan", "Hani") if script == "Jpan" else (script,))]
+    n = lambda c, k: F.get(c, F.lit(k))
+    share = let(class_counts(text, names), lambda c: sum((n(c, k) for k in range(2, len(names))), n(c, 1)) / F.nullif(n(c, 0), F.lit(0)))
+    return F.coalesce(share, F.lit(0.0))
 
 
 SPACE = r"(?U)\s+"
@@ -167,10 +194,15 @@ _MARK = {s: chr(0xE000 + k) for k, s in enumerate(charsets.SCRIPTS)}
 def script_marks(text: Column) -> Column:
     """The text with a mark of its script in place of each letter of a supported one, and spaces in place of the rest; with kana, Han is Japanese."""
     marks = "".join(_MARK.values())
-    out = F.regexp_replace(text, f"[{marks}]", " ")
-    for s, mark in _MARK.items():
-        out = F.regexp_replace(out, charsets.java_class(s), mark)
-    out = F.regexp_replace(out, f"[^{marks}]", " ")
+
+    def marked(chars: Column) -> Column:
+        out = F.regexp_replace(chars, f"[{marks}]", " ")
+        for s, mark in _MARK.items():
+            out = F.regexp_replace(out, charsets.java_class(s), mark)
+        return F.regexp_replace(out, f"[^{marks}]", " ")
+
+    beyond = let(kinds(beyond_ascii(text)), lambda k: F.call_function("translate", text, k, marked(k)))
+    out = F.regexp_replace(F.regexp_replace(beyond, "[A-Za-z]", _MARK["Latn"]), f"[^{min(marks)}-{max(marks)}]", " ")
     return let(out, lambda t: F.when(F.contains(t, F.lit(_MARK["Jpan"])), F.translate(t, _MARK["Hani"], _MARK["Jpan"])).otherwise(t))
 
 
@@ -189,8 +221,12 @@ def script_changes(text: Column) -> Column:
     A text that has no letters beyond those of the Latin script is not looked at any closer.
     """
     other = "".join(charsets.java_class(s) for s in charsets.SCRIPTS if s != "Latn")
-    ends = lambda t: let(F.transform(script_runs(t), lambda r: r["end"]), lambda e: F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))))
-    return F.when(F.regexp_replace(text, r"[\x00-\x7F]+", "").rlike(f"[{other}]"), ends(text)).when(text.isNotNull(), F.array().cast("array<bigint>"))
+    return F.when(kinds(beyond_ascii(text)).rlike(f"[{other}]"), run_changes(script_runs(text))).when(text.isNotNull(), F.array().cast("array<bigint>"))
+
+
+def run_changes(runs: Column) -> Column:
+    """Ends of all ``script_runs`` but the last: where the script changes."""
+    return let(F.transform(runs, lambda r: r["end"]), lambda e: F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))))
 
 
 def split_words(text: Column) -> Column:

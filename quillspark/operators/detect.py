@@ -40,8 +40,7 @@ def text_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, norm, chars, script, n_script, script_share, words, n_words``; nulls stay null."""
     found = tx.with_dominant_script(spread(docs.select(F.col(id_col), F.col(text_col).alias("_text"))), "_text").drop("_text")
     found = found.withColumn("words", tx.tokens(F.col("norm")))
-    # one shuffle by id serves all that follows, whose groups and joins begin with the id
-    return found.withColumn("n_words", F.size("words")).repartition(id_col)
+    return found.withColumn("n_words", F.size("words"))
 
 
 def _languages(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +81,9 @@ def distinctive_sums(chars: Column, script: Column | None = None) -> Column:
 
 def cue_scores(features: DataFrame, id_col: str) -> DataFrame:
     """``id, language_code, cue_sum, unique_sum``: cue words found, each three times at most."""
-    words = word_counts(features, [id_col], F.col("words"))
+    # words that are no cue stay where they are
+    held = sorted({w for ws in fixed.CUES.values() for w in ws})
+    words = word_counts(features, [id_col], F.filter("words", lambda w: w.isin(*held)))
     met = words.join(F.broadcast(cue_frame(features.sparkSession)), "word")
     capped = F.least(F.col("cnt"), F.lit(3))
     return met.groupBy(id_col, F.col("cue_language").alias("language_code")).agg(F.sum(capped).alias("cue_sum"), F.sum(F.when(F.col("is_unique"), capped).otherwise(0)).alias("unique_sum"))
@@ -94,6 +95,25 @@ def top_text_ngrams(features: DataFrame, id_col: str, keys: list[str] | None = N
     return top_ngrams(ngram_counts(word_counts(features, keys, F.col("words")), keys), keys, TOP).select(*keys, "ngram", "cnt", "rank")
 
 
+def ngrams_in_rows(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STORE) -> DataFrame:
+    """``id, ngram, cnt, rank``: the TOP n-grams of each text, of equals the first seen first; cut and ranked row by row, without a shuffle."""
+    ensure_shipped(docs.sparkSession)
+    words = spread(docs.select(F.col(id_col), F.col(text_col).alias("_text"))).select(id_col, tx.tokens(tx.normalise(F.col("_text"))).alias("_words"))
+    found = words.select(id_col, F.posexplode(inrow.top_ngrams_udf(path)(F.col("_words"))).alias("rank", "_g"))
+    return found.select(id_col, "_g.ngram", "_g.cnt", "rank")
+
+
+def distances_in_rows(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STORE) -> DataFrame:
+    """``id, language_code, distance``: as ``rank_distances``, row by row and without a shuffle."""
+    ensure_shipped(docs.sparkSession)
+    detector = Detector(list(load_profiles(path)))
+    held = inrow.features(spread(docs.select(F.col(id_col), F.col(text_col).alias("_text"))), "_text")
+    asked = held.where(F.col("_script").isin(*detector.ranks)).select(id_col, "_script", inrow.distances_udf(path)(F.col("_script"), F.col("_words")).alias("_far"))
+    codes = F.create_map(*(x for s in detector.ranks for x in (F.lit(s), F.array(*map(F.lit, detector.languages[s])))))
+    pairs = F.zip_with(codes[F.col("_script")], "_far", lambda k, d: F.struct(k.alias("language_code"), d.alias("distance")))
+    return asked.select(id_col, F.explode(pairs).alias("_p")).select(id_col, "_p.language_code", "_p.distance")
+
+
 def rank_distances(features: DataFrame, id_col: str, path: str = STORE) -> DataFrame:
     """``id, language_code, distance``: the least rank distance of a language's profiles.
 
@@ -124,7 +144,8 @@ def rank_distances(features: DataFrame, id_col: str, path: str = STORE) -> DataF
 
 def language_scores(docs: DataFrame, id_col: str, text_col: str, path: str = STORE) -> DataFrame:
     """One row per text and candidate language with all that its score is made of."""
-    features = text_features(docs, id_col, text_col)
+    # one shuffle by id serves all that follows, whose groups and joins begin with the id
+    features = text_features(docs, id_col, text_col).repartition(id_col)
     light = features.select(id_col, "script", "n_script", "script_share", "n_words", distinctive_sums(F.col("chars"), F.col("script")).alias("sums"))
     pairs = light.where("script is not null").join(F.broadcast(_languages(docs.sparkSession, path)), "script")
     cues, far = cue_scores(features, id_col), rank_distances(features, id_col, path)
