@@ -14,6 +14,7 @@ from ..functions.transliterate import uyghur_cyrillic, uyghur_latin, uyghur_new_
 from ..operators import corpus as cp
 from ..operators import detect as dt
 from ..operators import evaluate as ev
+from ..operators import inrow
 from ..operators import mixed as mx
 from ..operators import profiles as pf
 from ..operators import sampling as sm
@@ -60,14 +61,11 @@ def dominant_script(spark, sf_dir):
 
 def ngram_counts(spark, sf_dir):
     """How often and in how many texts every n-gram occurs."""
-    f = spread(documents(spark, sf_dir)).select("doc_id", tx.tokens(tx.normalise(F.col("text"))).alias("words"))
-    grams = pf.ngram_counts(pf.word_counts(f, ["doc_id"], F.col("words")), ["doc_id"])
-    return grams.groupBy("ngram").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n_docs"))
+    return inrow.gram_totals(spread(documents(spark, sf_dir)), tx.tokens(tx.normalise(F.col("text"))))
 
 
 def ngram_top300(spark, sf_dir):
-    f = dt.text_features(documents(spark, sf_dir), "doc_id", "text")
-    return dt.top_text_ngrams(f, "doc_id").select("doc_id", "ngram", "cnt", "rank")
+    return dt.ngrams_in_rows(documents(spark, sf_dir), "doc_id")
 
 
 def cue_scores(spark, sf_dir):
@@ -82,8 +80,7 @@ def distinctive_scores(spark, sf_dir):
 
 
 def rank_distance(spark, sf_dir):
-    f = dt.text_features(documents(spark, sf_dir), "doc_id", "text")
-    return dt.rank_distances(f, "doc_id").select("doc_id", "language_code", F.bround("distance", 9).alias("distance"))
+    return dt.distances_in_rows(documents(spark, sf_dir), "doc_id").select("doc_id", "language_code", F.bround("distance", 9).alias("distance"))
 
 
 def build_profiles(spark, sf_dir):
@@ -231,7 +228,7 @@ LATIN = "abcdefghijklmnopqrstuvwxyz"
 
 def blended(spark, sf_dir):
     """Documents in three alphabets each: the whole text in three parts, so that its script changes on the way."""
-    docs = spread(documents(spark, sf_dir))
+    docs = spread(documents(spark, sf_dir)).withColumn("low", F.lower("text"))
     n = F.floor(F.length("text") / 3).cast("int")
     k = F.pmod("doc_id", F.lit(len(ALPHABETS))).cast("int")
 
@@ -241,15 +238,15 @@ def blended(spark, sf_dir):
             out = F.when((k + shift) % len(ALPHABETS) == i, F.translate(text, LATIN, alphabet(start))).otherwise(out)
         return out
 
-    text = F.lower("text")
+    text = F.col("low")
     parts = (F.substring(text, F.lit(1), n), F.substring(text, n + 1, n), F.substring(text, 2 * n + 1, F.length("text")))
     return docs.select("doc_id", F.concat(*(part(t, 5 * j) for j, t in enumerate(parts))).alias("text"))
 
 
 def script_boundaries(spark, sf_dir):
     """Where the script changes in such texts, and the scripts of the runs."""
-    found = blended(spark, sf_dir).select("doc_id", tx.script_changes(F.col("text")).alias("cuts"), tx.script_runs(F.col("text")).alias("runs"))
-    return found.select("doc_id", F.array_join("cuts", " ").alias("cuts"), F.array_join(F.transform("runs", lambda r: r["script"]), " ").alias("scripts"))
+    found = blended(spark, sf_dir).select("doc_id", tx.script_runs(F.col("text")).alias("runs"))
+    return found.select("doc_id", F.array_join(tx.run_changes(F.col("runs")), " ").alias("cuts"), F.array_join(F.transform("runs", lambda r: r["script"]), " ").alias("scripts"))
 
 
 #: Letters of the tables' texts and how they are spelled with marks of their own.
