@@ -30,12 +30,11 @@ def long_script_name(char: Column) -> Column:
 def char_counts(docs: DataFrame, sample: str, text: str) -> DataFrame:
     """``sample, char, n``: letters of NFC, case-folded text.
 
-    A text's characters are sorted first, so that it gives a row for each different one and not for each.
+    Each task adds up its characters as they come, by hashing, so that only its sums are shuffled.
     """
     norm = docs.select(F.col(sample).alias("sample"), tx.nfc_casefold(F.col(text)).alias("norm"))
-    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split("norm", "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
-    chars = norm.select("sample", F.explode(runs).alias("run")).select("sample", F.substring("run", 1, 1).alias("char"), F.length("run").cast("long").alias("n"))
-    counts = chars.groupBy("sample", "char").agg(F.sum("n").alias("n"))
+    chars = norm.select("sample", F.explode(F.split("norm", "")).alias("char"))
+    counts = chars.groupBy("sample", "char").agg(F.count(F.lit(1)).alias("n"))
     return counts.where(F.col("char").rlike(charsets.java_class("letter")))
 
 
