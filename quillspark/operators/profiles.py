@@ -23,11 +23,24 @@ def word_counts(docs: DataFrame, keys: list[str], words: Column, order: str | No
 
     With ``order`` the rows of a key are one text in that order, and ``first`` is (order, place).
     """
+    if order and isinstance(docs.schema[order].dataType, T.IntegralType):
+        return _ordered_counts(docs, keys, words, order)
     extra = [order] if order else []
     at = F.struct(order, "pos") if order else F.col("pos")
     return docs.select(*keys, *extra, F.posexplode(words).alias("pos", "word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min(at).alias("first"))
 
 
+def _ordered_counts(docs: DataFrame, keys: list[str], words: Column, order: str) -> DataFrame:
+    """``word_counts`` in the order of whole numbers: (order, place) is one number while words are added up, since a minimum of structs would sort every word."""
+    span, none = F.lit(str(1 << 32)).cast("decimal(10,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")
+    at = F.coalesce(F.col(order).cast("decimal(20,0)"), none) * span + F.col("pos")
+    rows = docs.select(*keys, order, F.posexplode(words).alias("pos", "word")).select(*keys, "word", at.alias("at"))
+    counts = rows.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("at").alias("at"))
+    pos = F.pmod(F.col("at"), span)
+    first = F.nullif((F.col("at") - pos) / span, none).cast(docs.schema[order].dataType)
+    return counts.select(*keys, "word", "cnt", F.struct(first.alias(order), pos.cast("int").alias("pos")).alias("first"))
+
+
 def ngram_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, ngram, cnt, first`` from word counts, so that a repeated word is cut once.
 
