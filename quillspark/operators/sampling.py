@@ -55,15 +55,28 @@ def _placed(lines: DataFrame) -> DataFrame:
 def _filled(spans: DataFrame, placed: DataFrame) -> DataFrame:
     """``spans`` (_key, _at, _n, ...) with ``_found``, the words from place ``_at`` on, ``_n`` of them if the key has so many.
 
-    Words meet the spans that need them in blocks of places, so a key of any length is no group.
+    Words meet the spans that need them in blocks of places, so a key of any length is no group. A line's words
+    of a block travel together, and a span keeps what it needs of them.
     """
-    words = placed.select("_key", F.posexplode("_words").alias("_i", "_word"), (F.col("_before") + F.col("_i")).alias("_place"), "_nth", "_line")
-    words = words.select("_key", F.floor(F.col("_place") / BLOCK).alias("_block"), F.struct("_place", "_word", "_nth", "_line").alias("_w"))
+    end = F.col("_before") + F.size("_words")
+
+    def part(block):
+        place = F.greatest(F.col("_before"), block * BLOCK)
+        words = F.slice("_words", (place - F.col("_before") + 1).cast("int"), (F.least(end, (block + 1) * BLOCK) - place).cast("int"))
+        return F.struct(block.alias("block"), place.alias("place"), words.alias("words"))
+
+    parts = F.transform(F.sequence(F.floor(F.col("_before") / BLOCK), F.floor((end - 1) / BLOCK)), part)
+    words = placed.select("_key", F.explode(parts).alias("_p"), "_nth", "_line").select("_key", F.col("_p.block").alias("_block"), F.col("_p.place").alias("_from"), F.col("_p.words").alias("_part"), "_nth", "_line")
     keyed = spans.withColumn("_span", F.struct(*spans.columns))
     blocks = F.sequence(F.floor(F.col("_at") / BLOCK), F.floor((F.col("_at") + F.col("_n") - 1) / BLOCK))
     asked = keyed.select("_key", "_span", F.explode(blocks).alias("_block"))
-    met = asked.join(words, ["_key", "_block"]).where((F.col("_w._place") >= F.col("_span._at")) & (F.col("_w._place") < F.col("_span._at") + F.col("_span._n")))
-    return met.groupBy("_span").agg(F.sort_array(F.collect_list("_w")).alias("_found")).select("_span.*", "_found").withColumn("_text", F.array_join(F.transform("_found", lambda w: w["_word"]), " "))
+    low = F.greatest(F.col("_span._at"), F.col("_from"))
+    high = F.least(F.col("_span._at") + F.col("_span._n"), F.col("_from") + F.size("_part"))
+    met = asked.join(words, ["_key", "_block"]).where(low < high)
+    piece = F.struct(low.alias("place"), "_nth", "_line", F.slice("_part", (low - F.col("_from") + 1).cast("int"), (high - low).cast("int")).alias("words"))
+    pieces = met.select("_span", piece.alias("_p")).groupBy("_span").agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
+    single = lambda p: F.transform(p["words"], lambda w, i: F.struct((p["place"] + i).alias("_place"), w.alias("_word"), p["_nth"].alias("_nth"), p["_line"].alias("_line")))
+    return pieces.select("_span.*", F.flatten(F.transform("_ps", single)).alias("_found")).withColumn("_text", F.array_join(F.transform("_found", lambda w: w["_word"]), " "))
 
 
 def windows(lines: DataFrame, key: str = "key", seed: str = "cases", lengths=LENGTHS, per_length: int = 5, seed_key: str | None = None, script: str | None = None, least: str | None = None) -> DataFrame:
