@@ -102,7 +102,11 @@ def windows(lines: DataFrame, key: str = "key", seed: str = "cases", lengths=LEN
     if more:
         shares = F.create_map(*(x for s in charsets.SCRIPTS for x in (F.lit(s), tx.script_share(F.col("_text"), s))))
         found = found.where(F.coalesce(F.col("_least"), F.lit(0.0)) <= F.coalesce(F.when(F.col("_least") > 0, F.element_at(shares, F.col("_script"))), F.lit(0.0)))
-    first = found
+    # of the words only what the result names of them goes on to the windows and joins that follow
+    first = found.select(
+        "_key", "_n", "_h", "_nth", "_j", "_text", F.get("_found", F.lit(0))["_nth"].alias("_start"), F.get("_found", F.col("_n") - 1)["_nth"].alias("_end"),
+        F.array_distinct(F.transform("_found", lambda w: w["_line"])).alias("_places"),
+    )
     for same in (["_key", "_n", "_text"], ["_key", "_nth"]):  # a text once, and a line once
         first = first.withColumn("_k", F.row_number().over(Window.partitionBy(*same).orderBy("_h", "_nth", "_j"))).where("_k = 1")
     number = F.row_number().over(Window.partitionBy("_key", "_n").orderBy("_h", "_nth"))
@@ -112,8 +116,7 @@ def windows(lines: DataFrame, key: str = "key", seed: str = "cases", lengths=LEN
     out = wanted.join(taken, ["_key", "_n", "_number"], "left")
     return out.select(
         F.col("_key").alias("key"), F.col("_n").alias("word_count"), F.col("_number").alias("number"), F.coalesce("_text", missing).alias("text"),
-        F.get("_found", F.lit(0))["_nth"].alias("line_start"), F.get("_found", F.col("_n") - 1)["_nth"].alias("line_end"),
-        F.array_distinct(F.transform("_found", lambda w: w["_line"])).alias("places"),
+        F.col("_start").alias("line_start"), F.col("_end").alias("line_end"), F.col("_places").alias("places"),
     )
 
 
