@@ -8,7 +8,7 @@ TEXTS = ["the right to freedom of all", "das Recht der Freiheit und das Recht",
 
 
 def exchanges(df) -> str:
-    """The plan below the first row of each shuffle."""
+    """The physical plan as text."""
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -20,3 +20,39 @@ def test_confusions_are_planned_without_a_filter_on_detections(spark):
     assert "resolution" not in "".join(x for x in found._jdf.queryExecution().analyzed().toString().split("\n") if "Filter" in x)
     want = sorted((r.expected_language, r.predicted_language or "und") for r in rows.collect() if r.resolution == "wrong")
     assert sorted((r.expected_language, r.predicted) for r in found.collect() for _ in range(r.n)) == want and want
+
+
+def test_ngrams_and_distances_of_rows_are_not_shuffled(spark):
+    """They were dealt out by text and n-gram; the forms by rows give the same."""
+    from quillspark.functions import text as tx
+    from quillspark.operators import detect as dt
+    from quillspark.operators import inrow
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+    features = dt.text_features(docs, "id", "text")
+    far, top = dt.distances_in_rows(docs, "id"), dt.ngrams_in_rows(docs, "id")
+    assert "hashpartitioning" not in exchanges(far) + exchanges(top) + exchanges(features)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(far) == rows(dt.rank_distances(features, "id"))
+    want = dt.top_text_ngrams(features, "id").select("id", "ngram", "cnt", "rank")
+    assert rows(top) == rows(want)
+    totals = want.groupBy("ngram").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n_docs"))
+    assert rows(inrow.gram_totals(docs, tx.tokens(tx.normalise(F.col("text"))))) == rows(totals)
+
+
+def test_profiles_in_order_of_numbers_are_hashed(spark):
+    from quillspark.operators import profiles as pf
+
+    words = spark.createDataFrame([("k", 2, ["a", "b"]), ("k", -1, ["c", "b", "b"]), ("k", None, ["a"])], "key string, o long, w array<string>")
+    got = pf.word_counts(words, ["key"], F.col("w"), "o")
+    assert "SortAggregate" not in exchanges(got)
+    assert sorted((r.word, r.cnt, r["first"].o, r["first"].pos) for r in got.collect()) == [("a", 2, None, 0), ("b", 3, -1, 1), ("c", 1, -1, 0)]
+
+
+def test_words_beyond_plain_letters(spark):
+    from quillspark.functions import rowlocal as rl
+    from quillspark.functions import text as tx
+
+    odd = ["a`b c'd''e", "l’été ‘x’", "日本 かな a1b", "", "٣ab٣"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select("t", tx.tokens(F.col("t")).alias("w")).collect()
+    assert {r.t: r.w for r in rows} == {t: [w for w in rl._word_pattern()[0].findall(t.translate(rl._FOLD))] for t in odd}
