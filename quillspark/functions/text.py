@@ -74,7 +74,8 @@ def kinds(text: Column) -> Column:
 def class_counts(text: Column, names: Sequence[str]) -> Column:
     """How many characters of each of these classes a text has, an array; null for null."""
     ascii_only = {n: "".join(sorted({chr(c) for a, b in charsets.ranges()[n] if a < 0x80 for c in range(a, min(b, 0x7F) + 1)})) for n in names}
-    plain = {n: F.length(text) - F.length(F.regexp_replace(text, f"[{c}]+", "")) for n, c in ascii_only.items() if c}
+    of = {c: F.length(text) - F.length(F.regexp_replace(text, f"[{c}]+", "")) for c in ascii_only.values() if c}
+    plain = {n: of[c] for n, c in ascii_only.items() if c}
     mine = lambda k, n: F.array_join(F.regexp_extract_all(k, F.lit(f"({charsets.java_class(n)})"), F.lit(1)), "")
     held = lambda rest, m: F.when(m == "", 0).otherwise(F.length(rest) - F.length(F.call_function("translate", rest, m, F.lit(""))))
     counted = lambda rest: let(kinds(rest), lambda k: F.transform(F.array(*(mine(k, n) for n in names)), lambda m: held(rest, m)))
@@ -254,6 +255,11 @@ def all_lexical(words: Column) -> Column:
     return F.forall(words, lambda w: w.rlike(charsets.java_class("letter")))
 
 
+def text_all_lexical(text: Column) -> Column:
+    """Whether all words of a text hold a letter: one pass that looks for a word without one, and cuts no words."""
+    return ~text.rlike(rf"(?U)(?:^|\s)(?:(?!{charsets.java_class('letter')})\S)++(?:\s|\z)")
+
+
 def ordered_unique(values: Column) -> Column:
     """Values without nulls, first seen first."""
     return F.array_distinct(F.array_compact(values))

@@ -143,7 +143,7 @@ def eval_quality_checks(spark, sf_dir):
         "has_letter": F.col("text").rlike(charsets.java_class("letter")),
         "no_replacement_character": ~F.col("text").contains("�"),
         "latin_share_over_095": tx.script_share(F.col("text"), "Latn") > 0.95,
-        "all_words_lexical": tx.all_lexical(tx.split_words(F.col("text"))),
+        "all_words_lexical": tx.text_all_lexical(F.col("text")),
         "chars_match": F.length("text") == F.col("n_chars"),
     }
     return ev.violations(spread(documents(spark, sf_dir)), checks)

@@ -123,3 +123,16 @@ def test_evidence_of_languages_is_not_folded(spark):
 
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
     assert "_letter_weights" not in exchanges(dt.detect(docs, "id"))
+
+
+def test_texts_are_not_cut_to_find_words_without_a_letter(spark):
+    from quillspark.functions import text as tx
+    from quillspark.plans import queries as q
+
+    odd = ["", " ", "a", "1", "a 1", "1 a", "1st 2nd", "a\u00a01", "a\u30001\u3000b", "a\u0085- b", "a\u200b- b", "été 日本 ٣", "ñ -\n", "-\n ñ", "a\n1", "𐐨 𝟏", "𝟏𐐨", "x" * 9, "1" * 200_000 + " a", "1" * 200_000 + "a", None]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    rows = df.select(tx.text_all_lexical(F.col("t")).alias("a"), tx.all_lexical(tx.split_words(F.col("t"))).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and {r.a for r in rows} == {True, False, None}
+    import inspect
+
+    assert "split_words" not in inspect.getsource(q.eval_quality_checks)
