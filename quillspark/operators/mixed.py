@@ -59,10 +59,18 @@ def mixed_summary(spans: DataFrame, id_col: str) -> DataFrame:
 
 
 def with_mixed_summary(docs: DataFrame, id_col: str, text_col: str = "text", path: str = STORE) -> DataFrame:
-    """``id``, ``primary`` (the detection of the whole text) and ``mixed_summary`` of every text, by span algebra; an empty or null text has no spans."""
-    whole = in_rows(spread(docs.select(F.col(id_col), F.col(text_col).alias("_whole"))), F.col("_whole"), "primary", path).drop("_whole")
+    """``id``, ``primary`` (the detection of the whole text) and ``mixed_summary`` of every text, by span algebra; an empty or null text has no spans.
+
+    The span of a text that has one is the whole text, and has its detection already.
+    """
     spans = mixed_summary(mixed_spans(docs, id_col, text_col, path), id_col)
-    out = whole.join(spans, id_col, "left")
+    out = docs.select(F.col(id_col), F.col(text_col).alias("_whole")).join(spans, id_col, "left")
+    same = F.get("segments", F.lit(0))
+    one = F.coalesce((F.size("segments") == 1) & (same["text"] == F.col("_whole")), F.lit(False))
+    out = in_rows(out, F.when(~one, F.col("_whole")), "primary", path)
+    fields = [f.name for f in out.schema["primary"].dataType.fields]
+    out = out.withColumn("primary", F.when(one, F.struct(*(same[k].alias(k) for k in fields))).otherwise(F.col("primary"))).drop("_whole")
+    out = out.select(id_col, "primary", *(c for c in out.columns if c not in (id_col, "primary")))
     none = {"segments": F.array().cast(spans.schema["segments"].dataType), "scripts": F.array().cast("array<string>"), "language_codes": F.array().cast("array<string>")}
     flags = ("is_mixed_script", "is_mixed_language", "is_mixed", "has_unresolved_segments")
     return out.withColumns({**{c: F.coalesce(c, v) for c, v in none.items()}, **{c: F.coalesce(c, F.lit(False)) for c in flags}})

@@ -136,3 +136,23 @@ def test_texts_are_not_cut_to_find_words_without_a_letter(spark):
     import inspect
 
     assert "split_words" not in inspect.getsource(q.eval_quality_checks)
+
+
+def test_only_spans_are_not_detected_again(spark, monkeypatch):
+    """Whole texts went through detection beside their spans, also where the only span is the text."""
+    from quillspark.operators import detect as dt
+    from quillspark.operators import mixed as mx
+
+    texts = [*TEXTS, "the right to freedom of all. право на свободу!", "the right. The right to freedom"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    asked, real = [], mx.in_rows
+    monkeypatch.setattr(mx, "in_rows", lambda df, text, *rest: (asked.append(str(text)), real(df, text, *rest))[1])
+    found = mx.with_mixed_summary(docs, "id")
+    assert "segments" in asked[-1] and not any(x == "Column<'_whole'>" for x in asked)
+    rows = {r.id: r for r in found.collect()}
+    whole = {r.id: r for r in dt.detect(docs, "id").collect()}
+    assert len(rows) == len(texts) and {len(r.segments) for r in rows.values()} >= {0, 1, 2}
+    for i, r in rows.items():
+        assert (r.primary is None) == (texts[i] is None)
+        if r.primary is not None:
+            assert r.primary.asDict() == {k: v for k, v in whole[i].asDict().items() if k != "id"}
